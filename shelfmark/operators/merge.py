@@ -132,17 +132,14 @@ def _list_aggregates(spec: MergeSpec) -> list[Column]:
 def ordered_union(rows: DataFrame, key: str, seq: str, arrays: list[str]) -> DataFrame:
     """A3 for keys of any size: every element is reduced to its first place before it is collected,
     so a group only ever holds its distinct elements, which are the result itself."""
-    elements = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.col(a), F.array().cast("array<string>")),
-                    lambda v, p, i=i: F.struct(F.lit(i).alias("f"), p.alias("p"), v.alias("v")),
-                )
-                for i, a in enumerate(arrays)
-            ]
+
+    def placed(i: int, name: str) -> Column:
+        values = F.coalesce(F.col(name), F.array().cast("array<string>"))
+        return F.transform(
+            values, lambda v, p: F.struct(F.lit(i).alias("f"), p.alias("p"), v.alias("v"))
         )
-    )
+
+    elements = F.concat(*[placed(i, a) for i, a in enumerate(arrays)])
     flat = rows.select(key, F.col(seq).alias("_s"), F.explode(elements).alias("_e"))
     firsts = flat.groupBy(key, F.col("_e.f").alias("f"), F.col("_e.v").alias("v")).agg(
         F.min(F.struct("_s", "_e.p")).alias("at")
