@@ -91,7 +91,8 @@ def normalize_isbn10(c: Column) -> Column:
 
 def isbn13_list(values: Column) -> Column:
     """Distinct ISBN-13 forms of a list, order kept; a valid ISBN-10 counts by its 978-form."""
-    forms = F.transform(values, normalize_isbn13)
+    # cleaned in a pass of its own: within a lambda every use of an expression computes it again
+    forms = F.transform(F.transform(values, clean_isbn), _isbn13_of_clean)
     kept = F.array_distinct(F.filter(forms, lambda x: x.isNotNull()))
     return F.coalesce(kept, F.array().cast("array<string>"))
 

@@ -61,16 +61,23 @@ def _known(key: Column) -> Column:
     return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
+def _name(c: Column) -> Column:
+    return F.nullif(F.lower(strip(c)), F.lit(""))
+
+
+def _code(name: Column) -> Column:
+    base = F.nullif(F.regexp_extract(name, REGION_FORM, 1), F.lit(""))
+    return F.coalesce(_known(name), _known(base), F.when(name.rlike(r"^\p{L}{3}$"), name))
+
+
 def normalize_language(c: Column) -> Column:
     """ISO 639-3 code of a name or code, its base language, an unknown 3-letter code, or null."""
-    key = F.nullif(F.lower(strip(c)), F.lit(""))
-    base = F.nullif(F.regexp_extract(key, REGION_FORM, 1), F.lit(""))
-    return F.coalesce(_known(key), _known(base), F.when(key.rlike(r"^\p{L}{3}$"), key))
+    return _code(_name(c))
 
 
 def language_list(values: Column) -> Column:
     """Distinct codes of a list, order kept."""
-    codes = F.filter(F.transform(values, normalize_language), lambda x: x.isNotNull())
+    codes = F.filter(F.transform(F.transform(values, _name), _code), lambda x: x.isNotNull())
     return F.coalesce(F.array_distinct(codes), F.array().cast("array<string>"))
 
 
