@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,9 +60,11 @@ def _char_class(code_points: list[int]) -> str:
             runs[-1][1] = cp
         else:
             runs.append([cp, cp])
-    return "[" + "".join(
-        f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs
-    ) + "]"
+
+    def shown(cp: int) -> str:
+        return chr(cp) if cp > 0x3000 else f"\\x{{{cp:X}}}"
+
+    return "[" + "".join(shown(a) if a == b else f"{shown(a)}-{shown(b)}" for a, b in runs) + "]"
 
 
 @functools.lru_cache(maxsize=1)
@@ -116,16 +119,25 @@ def _expand(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, ""), one), "")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` with the value computed and shown once in the plan, however often the
+    body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(c: Column) -> Column:
     """Comparable form of a text; null becomes the empty string."""
     source, target, _ = _tables()
-    text = F.coalesce(c, F.lit(""))
-    folded = (
-        F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text))
-        .when(~text.rlike(_expanding_class()), F.translate(text, source, target))
-        .otherwise(_expand(F.translate(text, source, target)))
-    )
-    return collapse_spaces(folded)
+
+    def unfold(x: Column) -> Column:
+        return F.when(x.rlike(_expanding_class()), _expand(x)).otherwise(x)
+
+    def folded(x: Column) -> Column:
+        return F.when(x.rlike(r"[^\x00-\x7F]"), bind(F.translate(x, source, target), unfold)).otherwise(
+            F.lower(x)
+        )
+
+    return collapse_spaces(bind(F.coalesce(c, F.lit("")), folded))
 
 
 def tokens(c: Column) -> Column:

@@ -10,8 +10,7 @@ Skew. Keys with more than ``hot_rows`` versions are found by one count over the
 are at most ``total rows / hot_rows`` of them, so that list is safe to broadcast. All other keys
 take one shuffle on the key and one sort. The versions of a hot key are cut into ranges of
 ``hot_rows`` arrival numbers and spread over the cluster: the maxima of each range are combined
-into the state every range starts from, and the final aggregates combine map-side. When there is
-no hot key, adaptive execution drops that half of the plan.
+into the state every range starts from, and the final aggregates combine map-side.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.operators.records import ARRAYS, SCALARS
+from shelfmark.operators.workspace import written
 
 HOT_ROWS = 200_000
 
@@ -191,11 +191,18 @@ def _hot(rows: DataFrame, spec: MergeSpec, hot_rows: int) -> DataFrame:
 def merge_versions(
     rows: DataFrame, spec: MergeSpec | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """One row per key of ``rows``."""
+    """One row per key of ``rows``.
+
+    Asks once, from the key column alone, whether there are hot keys; without any the plan is one
+    shuffle and one sort.
+    """
     spec = spec or MergeSpec()
     rows = rows.select(*spec.columns()).filter(F.col(spec.key).isNotNull())
-    hot = F.broadcast(hot_keys(rows, spec.key, hot_rows))
+    order = [c for c in spec.columns() if c != spec.seq]
+    hot = hot_keys(rows, spec.key, hot_rows)
+    if hot.isEmpty():
+        return _cold(rows, spec).select(*order)
+    hot = F.broadcast(written(hot, "hot-keys"))
     cold_part = _cold(rows.join(hot, spec.key, "left_anti"), spec)
     hot_part = _hot(rows.join(hot, spec.key, "left_semi"), spec, hot_rows)
-    order = [c for c in spec.columns() if c != spec.seq]
     return cold_part.select(*order).unionByName(hot_part.select(*order))

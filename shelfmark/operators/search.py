@@ -11,6 +11,7 @@ from shelfmark.functions.identifiers import normalize_doi, normalize_isbn10, nor
 from shelfmark.functions.languages import normalize_language
 from shelfmark.functions.text import distinct_tokens, normalize_text
 from shelfmark.operators.text_index import match
+from shelfmark.operators.workspace import written
 
 PAGE_SIZE = 20
 
@@ -345,6 +346,6 @@ def search(
     records: DataFrame, index: DataFrame, raw_queries: DataFrame, all_fields: bool = False
 ) -> DataFrame:
     """A page of results for every row of a query table."""
-    queries = prepare_queries(raw_queries)
+    queries = written(prepare_queries(raw_queries), "queries")
     rows = candidates(records, index, queries, all_fields)
     return page(after_key(rows, queries), queries)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Weights of the three indexed fields.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
+# Ranks are rounded, so that a page that starts after (rank, key) finds the same rank again.
+RANK_DIGITS = 9
 QUERY_LISTS = ("terms", "any_of", "exclude", "phrase")
 
 
@@ -140,7 +142,7 @@ def match(
     loose = F.aggregate("events", F.lit(0.0), lambda a, e: a + e["w"])
     score = F.when(F.col("k") > 0, _cover_score(F.col("events"), F.col("k"))).otherwise(loose)
     return checked.select("query_id", key, score.alias("_s")).select(
-        "query_id", key, (F.col("_s") / (F.col("_s") + 1)).alias("rank")
+        "query_id", key, F.round(F.col("_s") / (F.col("_s") + 1), RANK_DIGITS).alias("rank")
     )
 
 
