@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import strip
+from shelfmark.functions.text import bind, strip
 
 # Separators removed from ISBNs (whitespace, hyphen-minus, U+2010..U+2015), the shape
 # of store numbers that only look like ISBNs, the DOI resolver prefixes and DOI shape, and the
@@ -41,15 +41,22 @@ def synthetic_md5(collection: str, record_id: Column) -> Column:
     return F.when(strip(record_id) != "", F.substring(digest, 1, 32))
 
 
-def _digit(c: Column, i: int) -> Column:
-    return F.substring(c, i, 1).try_cast("int")
+def _weighted_digits(digits: Column, weights: list[int]) -> Column:
+    """Sum of the decimal digits of a text times their weights; null when it is no number."""
 
+    def total(n: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for place, weight in enumerate(reversed(weights)):
+            out = out + F.call_function("div", n, F.lit(10**place)) % 10 * weight
+        return out
 
-def _total(terms: list[Column]) -> Column:
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    return bind(digits.try_cast("long"), total)
+
+
+_WEIGHTS_13 = [3 if i % 2 else 1 for i in range(13)]
+_WEIGHTS_10 = list(range(10, 1, -1))
+# the check digit of a 978-form: 978 itself weighs 38, the weights go on from there
+_WEIGHTS_978 = _WEIGHTS_13[3:12]
 
 
 def clean_isbn(c: Column) -> Column:
@@ -57,21 +64,25 @@ def clean_isbn(c: Column) -> Column:
 
 
 def is_isbn13(c: Column) -> Column:
-    check = _total([_digit(c, i + 1) * (3 if i % 2 else 1) for i in range(13)])
-    return F.coalesce(c.rlike("^[0-9]{13}$") & (check % 10 == 0), F.lit(False))
+    check = F.when(c.rlike("^[0-9]{13}$"), _weighted_digits(c, _WEIGHTS_13))
+    return F.coalesce(check % 10 == 0, F.lit(False))
 
 
 def is_isbn10(c: Column) -> Column:
-    last = F.when(F.substring(c, 10, 1) == "X", F.lit(10)).otherwise(_digit(c, 10))
-    check = _total([_digit(c, i + 1) * (10 - i) for i in range(9)]) + last
-    return F.coalesce(c.rlike("^[0-9]{9}[0-9X]$") & (check % 11 == 0), F.lit(False))
+    last = F.substring(c, 10, 1)
+    check = F.when(
+        c.rlike("^[0-9]{9}[0-9X]$"),
+        _weighted_digits(F.substring(c, 1, 9), _WEIGHTS_10)
+        + F.when(last == "X", F.lit(10)).otherwise(last.try_cast("int")),
+    )
+    return F.coalesce(check % 11 == 0, F.lit(False))
 
 
 def isbn10_to_13(c: Column) -> Column:
     """The 978-form of a valid ISBN-10."""
-    weighted = _total([_digit(c, i + 1) * (1 if i % 2 else 3) for i in range(9)])
-    check = F.pmod(F.lit(10) - F.pmod(weighted + 38, F.lit(10)), F.lit(10))
-    return F.concat(F.lit("978"), F.substring(c, 1, 9), check.cast("string"))
+    body = F.substring(c, 1, 9)
+    check = F.pmod(-(_weighted_digits(body, _WEIGHTS_978) + 38), F.lit(10))
+    return F.concat(F.lit("978"), body, check.cast("string"))
 
 
 def _isbn13_of_clean(c: Column) -> Column:
@@ -80,13 +91,12 @@ def _isbn13_of_clean(c: Column) -> Column:
 
 def normalize_isbn13(c: Column) -> Column:
     """X3."""
-    return _isbn13_of_clean(clean_isbn(c))
+    return bind(clean_isbn(c), _isbn13_of_clean)
 
 
 def normalize_isbn10(c: Column) -> Column:
     """X4."""
-    clean = clean_isbn(c)
-    return F.when(is_isbn10(clean), clean)
+    return bind(clean_isbn(c), lambda x: F.when(is_isbn10(x), x))
 
 
 def isbn13_list(values: Column) -> Column:
@@ -112,14 +122,14 @@ def isbn10_list(values: Column) -> Column:
 
 def normalize_doi(c: Column) -> Column:
     """X8."""
-    bare = strip(F.regexp_replace(strip(c), DOI_RESOLVERS, ""))
-    bare = F.regexp_replace(bare, r"\.+$", "")
-    return F.when(
-        bare.rlike(DOI_SHAPE),
-        F.concat(
-            F.lower(F.regexp_extract(bare, DOI_SHAPE, 1)), F.regexp_extract(bare, DOI_SHAPE, 2)
-        ),
-    )
+
+    def shaped(bare: Column) -> Column:
+        registrant = F.regexp_extract(bare, DOI_SHAPE, 1)
+        return F.when(
+            registrant != "", F.concat(F.lower(registrant), F.regexp_extract(bare, DOI_SHAPE, 2))
+        )
+
+    return bind(F.rtrim(strip(F.regexp_replace(strip(c), DOI_RESOLVERS, "")), F.lit(".")), shaped)
 
 
 def work_key(isbn13: Column, isbn10: Column, doi: Column, openlibrary_ids: Column) -> Column:

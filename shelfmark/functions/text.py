@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 _HANGUL_FIRST, _HANGUL_LAST = 0xAC00, 0xD7A3
 _SEP = "\x1f"
+_BEYOND_ASCII = r"(?=[^\x00-\x7F])"  # tested first, so that ASCII never reaches a long class
 
 
 def _folded(ch: str) -> str:
@@ -38,7 +39,7 @@ def _tables() -> tuple[str, str, dict[str, str]]:
         if 0xD800 <= cp <= 0xDFFF or _HANGUL_FIRST <= cp <= _HANGUL_LAST:
             continue
         ch = chr(cp)
-        to = _folded(ch)
+        to = " " if ch.isspace() else _folded(ch)
         if to == ch:
             continue
         if len(to) == 1:
@@ -70,23 +71,31 @@ def _char_class(code_points: list[int]) -> str:
 @functools.lru_cache(maxsize=1)
 def _expanding_class() -> str:
     points = [ord(c) for c in _tables()[2]] + list(range(_HANGUL_FIRST, _HANGUL_LAST + 1))
-    return _char_class(points)
+    return _BEYOND_ASCII + _char_class(points)
 
 
 @functools.lru_cache(maxsize=1)
-def whitespace_class() -> str:
-    return _char_class([cp for cp in range(sys.maxunicode + 1) if chr(cp).isspace()])
+def _maybe_expanding() -> str:
+    """A cheap test that never misses: ranges with small gaps between them are taken as one."""
+    points = sorted([ord(c) for c in _tables()[2]] + [_HANGUL_FIRST, _HANGUL_LAST])
+    wide = set()
+    for left, right in zip(points, points[1:], strict=False):
+        wide.update(range(left, right + 1) if right - left <= 64 else (left, right))
+    wide.update(range(_HANGUL_FIRST, _HANGUL_LAST + 1))
+    return _BEYOND_ASCII + _char_class(sorted(wide))
+
+
+_SPACES = "".join(chr(cp) for cp in range(sys.maxunicode + 1) if chr(cp).isspace())
 
 
 def collapse_spaces(c: Column) -> Column:
     """Runs of Unicode whitespace become one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, whitespace_class() + "+", " "))
+    return F.trim(F.regexp_replace(c, _char_class([ord(ch) for ch in _SPACES]) + "+", " "))
 
 
 def strip(c: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
-    ws = whitespace_class()
-    return F.regexp_replace(c, f"^{ws}+|{ws}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def _jamo(x: Column) -> Column:
@@ -103,20 +112,17 @@ def _jamo(x: Column) -> Column:
     )
 
 
-def _expand(c: Column) -> Column:
+def _expansion(x: Column) -> Column:
     many = _tables()[2]
-    keys = F.lit("".join(many))
     values = F.split(F.lit(_SEP.join(many.values())), _SEP)
+    other = F.try_element_at(values, F.position(x, F.lit("".join(many))))
+    return F.when(x.between(chr(_HANGUL_FIRST), chr(_HANGUL_LAST)), _jamo(x)).otherwise(other)
 
-    def one(x: Column) -> Column:
-        at = F.position(x, keys)
-        return (
-            F.when(x.between(chr(_HANGUL_FIRST), chr(_HANGUL_LAST)), _jamo(x))
-            .when(at > 0, F.try_element_at(values, at))
-            .otherwise(x)
-        )
 
-    return F.array_join(F.transform(F.split(c, ""), one), "")
+def _expand(c: Column) -> Column:
+    """Every distinct one-to-many character of the text replaced by its expansion."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({_expanding_class()})"), F.lit(1)))
+    return F.aggregate(found, c, lambda text, ch: F.replace(text, ch, _expansion(ch)))
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -130,14 +136,14 @@ def normalize_text(c: Column) -> Column:
     source, target, _ = _tables()
 
     def unfold(x: Column) -> Column:
-        return F.when(x.rlike(_expanding_class()), _expand(x)).otherwise(x)
+        return F.when(x.rlike(_maybe_expanding()), _expand(x)).otherwise(x)
 
     def folded(x: Column) -> Column:
-        return F.when(x.rlike(r"[^\x00-\x7F]"), bind(F.translate(x, source, target), unfold)).otherwise(
-            F.lower(x)
-        )
+        plain = F.regexp_replace(F.lower(x), r"[\t-\r\x1C-\x20]+", " ")
+        rich = bind(F.translate(x, source, target), unfold)
+        return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(rich, " {2,}", " ")).otherwise(plain)
 
-    return collapse_spaces(bind(F.coalesce(c, F.lit("")), folded))
+    return F.trim(bind(F.coalesce(c, F.lit("")), folded))
 
 
 def tokens(c: Column) -> Column:

@@ -220,10 +220,10 @@ def collection_overview(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.collection_overview(names, latest, ledger.last_imported(rows))
 
 
-@query("""select 'c' || c_custkey as collection from customer
+@query("""select 'c' || p_partkey as collection from part
 except select 'c' || o_custkey from orders""")
 def collections_not_found(spark: SparkSession, folder: str) -> DataFrame:
-    names = table(spark, folder, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("collection"))
+    names = table(spark, folder, "part").select(F.concat(F.lit("c"), "p_partkey").alias("collection"))
     return ledger.not_found(names, releases(spark, folder))
 
 
@@ -328,17 +328,26 @@ def release_upserts(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.upsert_releases(known, found)
 
 
-@query(f"""with {_LEDGER}
-select p_partkey, 'c' || p_size as collection, release_id from part
-left join ledger on collection = 'c' || p_size and release_identifier = 'r' || lpad(p_partkey::varchar, 12, '0')""")
+@query(f"""with {_LEDGER}, payloads as (
+  select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 'c0' else 'c' || o_custkey end as collection,
+    'r' || lpad(l_orderkey::varchar, 12, '0') as release_identifier
+  from lineitem join orders on l_orderkey = o_orderkey)
+select l_orderkey, l_linenumber, collection, release_id
+from payloads left join ledger using (collection, release_identifier)""")
 def payload_releases(spark: SparkSession, folder: str) -> DataFrame:
-    """J12."""
-    payloads = table(spark, folder, "part").select(
-        "p_partkey", F.concat(F.lit("c"), "p_size").alias("collection"),
-        F.concat(F.lit("r"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("release_identifier"),
+    """Line items as payloads of their order; returned ones name a collection of their own."""
+    items = table(spark, folder, "lineitem").join(
+        table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    payloads = items.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", F.lit("c0")).otherwise(F.concat(F.lit("c"), "o_custkey")).alias(
+            "collection"
+        ),
+        F.concat(F.lit("r"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("release_identifier"),
     )
     rows = ledger.attach_release(payloads, releases(spark, folder))
-    return rows.select("p_partkey", "collection", "release_id")
+    return rows.select("l_orderkey", "l_linenumber", "collection", "release_id")
 
 
 # ---- reports --------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from shelfmark.operators.discards import discard_counts, error_samples, import_c
 from shelfmark.operators.workspace import new_dir
 from shelfmark.plans.imports import import_release
 from shelfmark.plans.queries.accounting import BUCKET_SQL, bucket_columns, samples
-from shelfmark.plans.queries.registry import joined, query, table, utc
+from shelfmark.plans.queries.registry import joined, query, spread, table, utc
 from shelfmark.sources import adapters
 from shelfmark.sources.adapters import adapt, adapt_mixed
 from shelfmark.sources.jsonl import read_lines
@@ -26,7 +26,7 @@ def _line(aacid: Column, metadata: Column) -> Column:
 
 
 def zlib3_lines(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    d = spread(table(spark, folder, "documents")).join(table(spark, folder, "labels"), "doc_id", "left")
     short = F.col("n_chars") < 200
     meta = F.struct(
         F.when(F.col("lang") != "es", F.upper(_md5("text"))).otherwise(F.col("source")).alias("md5_reported"),
@@ -152,7 +152,7 @@ def adapter_ia2(spark: SparkSession, folder: str) -> DataFrame:
 
 def upload_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A page is an uploaded file; its host decides about the group and what the file tells."""
-    p = table(spark, folder, "pages")
+    p = spread(table(spark, folder, "pages"))
     host = F.regexp_extract("url", "^https?://([^/]*)", 1)
     kind = F.regexp_extract("url", r"\.(com|net|org)", 1)
     secure = F.col("url").startswith("https")
@@ -221,7 +221,7 @@ def adapter_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 def goodreads_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A customer is a book; those of one market segment have broken XML, those of another no id."""
-    people = table(spark, folder, "customer").join(
+    people = spread(table(spark, folder, "customer")).join(
         table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
     segment = F.col("c_mktsegment")
@@ -282,7 +282,7 @@ def gbooks_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format(utc("o_orderdate"), "yyyy-MM-dd").alias("publishedDate"),
     )
     aacid = F.concat(F.lit("aacid__gbooks_records__20240102T030405Z__"), key)
-    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("seq"), _line(aacid, meta))
+    return spread(table(spark, folder, "orders")).select(F.col("o_orderkey").alias("seq"), _line(aacid, meta))
 
 
 @query("""

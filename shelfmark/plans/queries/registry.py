@@ -28,6 +28,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a single small file, spread over the cores for work that costs more than reading.
+
+    Larger tables have more scan tasks than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def utc(c: Column | str) -> Column:
     """The zone-less times of the tables as UTC instants."""
     return (F.col(c) if isinstance(c, str) else c).cast("timestamp")

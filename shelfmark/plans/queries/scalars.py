@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import fields, identifiers, languages, maps, text
-from shelfmark.plans.queries.registry import joined, query, sql_norm, sql_words, table, utc
+from shelfmark.plans.queries.registry import joined, query, spread, sql_norm, sql_words, table, utc
 
 _LANGUAGE_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in languages.LANGUAGE_CODES.items())
 
@@ -28,7 +28,7 @@ _LANGS = (
 
 @query(f"select doc_id, {sql_norm('text')} as norm from documents")
 def text_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     return docs.select("doc_id", text.normalize_text(F.col("text")).alias("norm"))
 
 
@@ -37,7 +37,7 @@ select token, count(*) as n_docs
 from (select distinct doc_id, unnest({sql_words(sql_norm('text'))}) as token from documents)
 group by token""")
 def tokens_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     words = docs.select(F.explode(text.distinct_tokens(text.normalize_text(F.col("text")))).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n_docs"))
 
@@ -118,7 +118,7 @@ from forms""")
 def isbn_validate(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     body = F.lpad(key, 10, "0")
-    df = table(spark, folder, "orders").select(
+    df = spread(table(spark, folder, "orders")).select(
         "o_orderkey",
         F.concat(F.lit("978-"), F.substring(body, 1, 5), F.lit(" "), F.substring(body, 6, 5)).alias("a"),
         F.concat(F.substring(body, 1, 1), F.lit("‐"), F.substring(body, 2, 9)).alias("b"),
@@ -143,7 +143,7 @@ with forms as (
 select p_partkey, form, case when form <> '1' then doi end as doi from forms""")
 def doi_normalize(spark: SparkSession, folder: str) -> DataFrame:
     forms = ["", "https://doi.org/", "HTTP://dx.doi.org/", "doi:", "info:doi/", "1"]
-    df = table(spark, folder, "part").select(
+    df = spread(table(spark, folder, "part")).select(
         "p_partkey",
         F.explode(F.array(*[F.lit(f) for f in forms])).alias("form"),
         F.concat_ws("", F.lit("10."), F.col("p_size") + 1000, F.lit("/"), "p_brand", F.lit("."), "p_partkey",
@@ -161,10 +161,10 @@ with raw as (
   select 'page', page_id, try_cast(regexp_extract(html, '([0-9]{4})', 1) as int) from pages)
 select kind, id, case when y between 1000 and 2100 then y end as year from raw""")
 def year_extract(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents")).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("t")
     )
-    pages = table(spark, folder, "pages").select(F.lit("page"), "page_id", "html")
+    pages = spread(table(spark, folder, "pages")).select(F.lit("page"), "page_id", "html")
     return docs.union(pages).select("kind", "id", fields.normalize_year(F.col("t")).alias("year"))
 
 

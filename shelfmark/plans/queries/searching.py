@@ -23,14 +23,14 @@ from shelfmark.operators.search import (
 )
 from shelfmark.operators.text_index import build_index, match, write_index
 from shelfmark.operators.workspace import new_dir, written
-from shelfmark.plans.queries.registry import query, sql_norm, sql_words, table
+from shelfmark.plans.queries.registry import query, spread, sql_norm, sql_words, table
 
 
 def document_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Every document is a version of the record of its text: the whole text is the title, the source
     the author; toxic documents are tombstones."""
     labels = table(spark, folder, "labels").select("doc_id", "toxic", "quality")
-    docs = table(spark, folder, "documents").join(labels, "doc_id", "left")
+    docs = spread(table(spark, folder, "documents")).join(labels, "doc_id", "left")
     work = F.array(F.concat(F.lit("10.1000/"), "source", F.lit("."), "lang"))
     code = normalize_language(F.col("lang"))
     columns = record_columns(
@@ -357,7 +357,7 @@ def query_validation(spark: SparkSession, folder: str) -> DataFrame:
     p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
     empty = (s == "P") & (p == "5-LOW")
     bad = p.isin("1-URGENT", "2-HIGH", "3-MEDIUM")
-    raw = table(spark, folder, "orders").select(
+    raw = spread(table(spark, folder, "orders")).select(
         F.col("o_orderkey").alias("query_id"),
         F.when(~empty, F.lit("some words")).alias("q"),
         F.when(p == "1-URGENT", F.lit(2001)).alias("year_from"),

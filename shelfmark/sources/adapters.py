@@ -8,6 +8,8 @@ record columns plus
 * ``outcome``  kept, skipped (no key), discarded (with ``discard_reason``) or failed,
 * ``error``    what was wrong with a failed line.
 
+Every valid ISBN-10 has a 978-form, so the raw identifier lists of dumps fill ``isbn13`` only.
+
 The envelope is the same everywhere, the payload is a VARIANT, so fields that change shape between
 lines are read by path instead of failing the line.
 """
@@ -28,7 +30,6 @@ from shelfmark.functions.fields import (
 )
 from shelfmark.functions.identifiers import (
     OPEN_LIBRARY_ID,
-    isbn10_list,
     isbn13_list,
     md5_hex,
     record_timestamp,
@@ -178,7 +179,6 @@ def zlib3(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> Da
         ),
         "filesize": safe_long(size),
         "isbn13": isbn13_list(isbns),
-        "isbn10": isbn10_list(isbns),
         "series_name": as_text(_field("series", "variant")),
         "series_position": normalize_series_position(_field("volume")),
         "edition": as_text(_field("edition", "variant")),
@@ -236,7 +236,6 @@ def ia2(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> Data
         "extension": normalize_extension(path_suffix(F.col("_file.name"))),
         "filesize": safe_long(F.col("_file.size")),
         "isbn13": isbn13_list(isbns),
-        "isbn10": isbn10_list(isbns),
         "oclc": F.filter(as_list(item("oclc-id")), lambda x: x.rlike(r"^\p{Nd}+$")),
         "openlibrary_ids": F.filter(libraries, lambda x: x.rlike(OPEN_LIBRARY_ID)),
         "series_name": as_text(item("series")),
@@ -357,7 +356,6 @@ def goodreads(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -
         ),
         "languages": one_language(normalize_language(book("language_code"))),
         "isbn13": isbn13_list(isbns),
-        "isbn10": isbn10_list(isbns),
         "source_collection": F.lit(GOODREADS),
         "source_record_id": record_id,
         "aacid": F.col("raw.aacid"),
@@ -386,7 +384,6 @@ def gbooks(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> D
         "publication_year": normalize_year(_field("publishedDate")),
         "languages": one_language(normalize_language(as_text(_field("language", "variant")))),
         "isbn13": isbn13_list(F.filter(ids, lambda x: x.isNotNull())),
-        "isbn10": isbn10_list(F.filter(ids, lambda x: x.isNotNull())),
         "source_collection": F.lit(GBOOKS),
         "source_record_id": record_id,
         "aacid": F.col("raw.aacid"),
