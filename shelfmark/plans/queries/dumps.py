@@ -85,8 +85,9 @@ def adapter_zlib3(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ia2_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """A conversation is an item, its turns are the files; equal turns are equal files."""
-    turns = table(spark, folder, "conversations")
+    """Fifty turns of a conversation are an item, so that no item grows with the data; the turns are
+    its files, equal turns are equal files."""
+    turns = table(spark, folder, "conversations").withColumn("part", F.floor(F.col("turn") / 50))
     name = F.concat(F.lit("dir.x/"), "role", F.lit("."), "turn", F.lit(".TXT"))
     files = F.transform(
         F.array_sort(
@@ -100,7 +101,7 @@ def ia2_lines(spark: SparkSession, folder: str) -> DataFrame:
         ),
         lambda f: F.struct(f["name"].alias("name"), f["size"].alias("size"), f["md5"].alias("md5")),
     )
-    items = turns.groupBy("conv_id").agg(files.alias("files"), F.count("*").alias("n"))
+    items = turns.groupBy("conv_id", "part").agg(files.alias("files"), F.count("*").alias("n"))
     audio = F.col("n") < 4
     meta = F.struct(
         F.concat(F.lit("item"), "conv_id").alias("ia_id"),
@@ -124,9 +125,10 @@ def ia2_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FILES = """
-turns as (select conv_id, turn, md5(text) as md5, role, length(text) as n_text,
-                 count(*) over (partition by conv_id) as n from conversations),
-firsts as (select *, row_number() over (partition by conv_id, md5 order by turn) as again from turns)"""
+turns as (select conv_id, turn // 50 as part, turn, md5(text) as md5, role, length(text) as n_text,
+                 count(*) over (partition by conv_id, turn // 50) as n from conversations),
+firsts as (select *, row_number() over (partition by conv_id, part, md5 order by turn) as again from turns),
+heads as (select *, row_number() over (partition by conv_id, part order by turn) as place from turns)"""
 
 
 @query(f"""with {_FILES}
@@ -138,7 +140,7 @@ select conv_id as seq, 'kept' as outcome, md5, 'Item ' || conv_id as title,
 from firsts where again = 1 and n >= 4
 union all
 select conv_id, 'discarded', md5, null, '', null, '', '', '', null, null, 'ia_mediatype:audio'
-from turns where n < 4 and turn = (select min(t.turn) from conversations t where t.conv_id = turns.conv_id)""")
+from heads where n < 4 and place = 1""")
 def adapter_ia2(spark: SparkSession, folder: str) -> DataFrame:
     """Items with several files, repeated files once."""
     rows = adapt(ia2_lines(spark, folder), adapters.IA2)
@@ -396,8 +398,8 @@ l as (select case when p_type in ('ECONOMY', 'STANDARD') then 'kept'
 every as (
   select case when lang = 'es' then 'skipped' else 'kept' end as o, 1 as n, 1 as seen from documents
   union all select 'kept', 1, 0 from firsts where again = 1 and n >= 4
-  union all select 'none', 0, 1 from (select distinct conv_id from turns where n >= 4)
-  union all select 'ia_mediatype:audio', 1, 1 from (select distinct conv_id from turns where n < 4)
+  union all select 'none', 0, 1 from (select distinct conv_id, part from turns where n >= 4)
+  union all select 'ia_mediatype:audio', 1, 1 from (select distinct conv_id, part from turns where n < 4)
   union all select o, 1, 1 from uo
   union all select case c_mktsegment when 'FURNITURE' then 'skipped' when 'BUILDING' then 'failed' else 'kept' end,
     1, 1 from customer

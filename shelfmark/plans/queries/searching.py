@@ -392,22 +392,16 @@ def identifier_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with {_RECORDS}
-select work_key, md5, quality_score, count(*) over (partition by work_key) as total_editions,
-       row_number() over (partition by work_key order by quality_score desc, md5) as place
-from live where work_key is not null""")
+select work_key, md5, quality_score, count(*) over (partition by work_key) as total_editions
+from live where work_key is not null order by work_key, quality_score desc, md5""")
 def editions_by_work(spark: SparkSession, folder: str) -> DataFrame:
     """The editions of all works, best first."""
-    from pyspark.sql import Window as W
-
     docs = table(spark, folder, "documents")
     works = docs.select(
         F.concat(F.lit(" doi:10.1000/"), "source", F.lit("."), "lang").alias("work_key")
     ).union(docs.select(F.col("source")))  # sources are no work keys
-    rows = lookup.editions(stored_catalogue(spark, folder)[0], works)
-    order = W.partitionBy("work_key").orderBy(F.desc("quality_score"), F.asc("md5"))
-    return rows.select(
-        "work_key", "md5", "quality_score", "total_editions", F.row_number().over(order).alias("place")
-    )
+    rows = lookup.best_first(lookup.editions(stored_catalogue(spark, folder)[0], works))
+    return rows.select("work_key", "md5", "quality_score", "total_editions")
 
 
 @query(f"""with {_RECORDS}

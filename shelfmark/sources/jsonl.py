@@ -51,6 +51,11 @@ def read_line_stream(
     ).filter(F.length("line") > 0)
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a path, their content unread."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+
+
 def unread_files(listing: DataFrame, lines: DataFrame) -> DataFrame:
     """S3: files of a listing (column ``file``) from which no line could be read."""
     return listing.join(lines.select("file").distinct(), "file", "left_anti")
