@@ -43,14 +43,9 @@ def synthetic_md5(collection: str, record_id: Column) -> Column:
 
 def _weighted_digits(digits: Column, weights: list[int]) -> Column:
     """Sum of the decimal digits of a text times their weights; null when it is no number."""
-
-    def total(n: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for place, weight in enumerate(reversed(weights)):
-            out = out + F.call_function("div", n, F.lit(10**place)) % 10 * weight
-        return out
-
-    return bind(digits.try_cast("long"), total)
+    terms = [f"(n div {10**place}L) % 10 * {w}" for place, w in enumerate(reversed(weights))]
+    number = F.array(digits.try_cast("long"))
+    return F.get(F.call_function("transform", number, F.expr("n -> " + " + ".join(terms))), F.lit(0))
 
 
 _WEIGHTS_13 = [3 if i % 2 else 1 for i in range(13)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.identifiers import work_key
-from shelfmark.functions.text import distinct_tokens, normalize_text, strip_nul
+from shelfmark.functions.text import distinct_tokens, normalize_text, strip_nul, tokens
 
 SCALARS = [
     "title",
@@ -49,6 +49,8 @@ RECORD_TYPES: dict[str, str] = {
 DERIVED_TYPES: dict[str, str] = {
     "title_norm": "string",
     "author_tokens": "array<string>",
+    "publisher_tokens": "array<string>",
+    "series_tokens": "array<string>",
     "work_key": "string",
     "quality_score": "short",
 }
@@ -109,14 +111,8 @@ def quality_score(fields: list[str] | None = None) -> Column:
     return total.cast("short")
 
 
-def author_tokens(authors: Column) -> Column:
-    """Distinct tokens over all normalised author names, order kept."""
-    names = F.transform(authors, normalize_text)
-    return F.array_distinct(F.flatten(F.transform(names, distinct_tokens)))
-
-
 def with_derived(df: DataFrame, score: bool = True) -> DataFrame:
-    """NUL-free text plus the derived columns.
+    """NUL-free text plus the derived columns, so that searches never normalise stored text.
 
     Merged rows keep the score the merge gave them (``score=False``).
     """
@@ -132,11 +128,16 @@ def with_derived(df: DataFrame, score: bool = True) -> DataFrame:
             "languages": F.transform("languages", strip_nul),
         }
     )
+    texts = F.concat(F.array("title", "publisher", "series_name"), "authors")
+    clean = clean.withColumn("_norm", F.transform(texts, normalize_text))
+    names = F.slice("_norm", F.lit(4), F.greatest(F.size("_norm") - 3, F.lit(0)))
     derived = {
-        "title_norm": normalize_text(F.col("title")),
-        "author_tokens": author_tokens(F.col("authors")),
+        "title_norm": F.get("_norm", F.lit(0)),
+        "author_tokens": F.array_distinct(F.flatten(F.transform(names, distinct_tokens))),
+        "publisher_tokens": tokens(F.get("_norm", F.lit(1))),
+        "series_tokens": distinct_tokens(F.get("_norm", F.lit(2))),
         "work_key": work_key(*[F.col(n) for n in ("isbn13", "isbn10", "doi", "openlibrary_ids")]),
     }
     if score:
         derived["quality_score"] = quality_score()
-    return clean.withColumns(derived)
+    return clean.withColumns(derived).drop("_norm")

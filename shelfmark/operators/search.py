@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.fields import EXTENSION_SHAPE, YEAR_MAX, YEAR_MIN
 from shelfmark.functions.identifiers import normalize_doi, normalize_isbn10, normalize_isbn13
 from shelfmark.functions.languages import normalize_language
-from shelfmark.functions.text import distinct_tokens, normalize_text
+from shelfmark.functions.text import distinct_tokens, normalize_text, tokens
 from shelfmark.operators.text_index import match
 from shelfmark.operators.workspace import written
 
@@ -69,21 +69,22 @@ def prepare_queries(raw: DataFrame) -> DataFrame:
         )
         .when((F.col("extension") != "") & bad_shape, "invalid extension")
     )
+    texts = ["q", "phrase", "any_of", "exclude", "title", "author", "series"]
+    q = q.withColumn("_words", F.transform(F.transform(F.array(*texts), normalize_text), tokens))
+    words = {n: F.array_distinct(F.get("_words", F.lit(i))) for i, n in enumerate(texts)}
     return q.select(
         "query_id",
         reason.alias("invalid_reason"),
-        _words(F.col("q")).alias("terms"),
-        F.regexp_extract_all(normalize_text(F.col("phrase")), F.lit(r"([\p{L}\p{N}_]+)"), 1).alias(
-            "phrase"
-        ),
-        _words(F.col("any_of")).alias("any_of"),
-        _words(F.col("exclude")).alias("exclude"),
-        _words(F.col("title")).alias("title_prefixes"),
-        _words(F.col("author")).alias("author_tokens"),
+        words["q"].alias("terms"),
+        F.get("_words", F.lit(1)).alias("phrase"),
+        words["any_of"].alias("any_of"),
+        words["exclude"].alias("exclude"),
+        words["title"].alias("title_prefixes"),
+        words["author"].alias("author_tokens"),
         F.filter(F.array(isbn13, isbn10), lambda x: x.isNotNull()).alias("isbns"),
         normalize_doi(F.col("doi")).alias("doi"),
         normalize_language(F.col("language")).alias("language"),
-        _words(F.col("series")).alias("series_prefixes"),
+        words["series"].alias("series_prefixes"),
         "series_position",
         F.nullif(F.lower("extension"), F.lit("")).alias("extension"),
         "year_from",
@@ -132,7 +133,7 @@ def record_filter(
     if title is not None:
         cond &= has_prefixes(distinct_tokens(F.col("title_norm")), _words(F.lit(title)))
     if series is not None:
-        cond &= has_prefixes(_words(F.col("series_name")), _words(F.lit(series)))
+        cond &= has_prefixes(F.col("series_tokens"), _words(F.lit(series)))
     if series_position is not None:
         cond &= F.col("series_position") == series_position
     if extension is not None:
@@ -153,7 +154,7 @@ def _batch_filter(all_fields: bool) -> Column:
     q, r = (lambda n: F.col(f"q.{n}")), (lambda n: F.col(f"r.{n}"))
     title_words = distinct_tokens(r("title_norm"))
     if all_fields:
-        title_words = F.concat(title_words, r("author_tokens"), _words(r("publisher")))
+        title_words = F.concat(title_words, r("author_tokens"), r("publisher_tokens"))
     no = F.array().cast("array<string>")
     cond = ~r("deleted")
     cond &= _asked_or_true(
@@ -167,7 +168,7 @@ def _batch_filter(all_fields: bool) -> Column:
     cond &= has_all(F.coalesce(r("author_tokens"), no), q("author_tokens"))
     cond &= (F.size(q("title_prefixes")) == 0) | has_prefixes(title_words, q("title_prefixes"))
     cond &= (F.size(q("series_prefixes")) == 0) | has_prefixes(
-        _words(r("series_name")), q("series_prefixes")
+        r("series_tokens"), q("series_prefixes")
     )
     for name, ok in (
         ("series_position", r("series_position") == q("series_position")),
@@ -193,7 +194,7 @@ def identifiers(records: DataFrame, key: str = "md5") -> DataFrame:
         pairs("doi", F.array_distinct("doi")),
         pairs("author", F.col("author_tokens")),
         pairs("title", distinct_tokens(F.col("title_norm"))),
-        pairs("series", _words(F.col("series_name"))),
+        pairs("series", F.col("series_tokens")),
         pairs("position", single(F.col("series_position"))),
         pairs("year", single(F.col("publication_year"))),
         pairs("extension", single(F.col("extension"))),
@@ -258,35 +259,51 @@ def _expand_prefixes(points: DataFrame, ids: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _looked_up(records: DataFrame, index: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, md5) of queries without text terms, from their entry points."""
+    ids, points = identifiers(records), _entry_points(q)
+    by_prefix, excludes = q.agg(
+        F.max((F.size("title_prefixes") > 0) | (F.size("series_prefixes") > 0)),
+        F.max(F.size("exclude") > 0),
+    ).first()
+    if by_prefix:
+        points = _expand_prefixes(points, ids)
+    hits = points.join(ids, ["kind", "value"]).select("query_id", "md5").distinct()
+    if excludes:
+        barred = q.select("query_id", F.explode("exclude").alias("token")).join(
+            index.select("token", "md5"), "token"
+        )
+        hits = hits.join(barred, ["query_id", "md5"], "left_anti")
+    return hits
+
+
 def candidates(
     records: DataFrame, index: DataFrame, queries: DataFrame, all_fields: bool = False
 ) -> DataFrame:
-    """Rows of every valid query: (query_id, rank, edition_count, record columns).
+    """Rows of every valid query: (query_id, md5, rank, work_key, edition_count).
 
     ``edition_count`` (W1) counts the rows of the same query with the same work key; rows without a
-    work key have none.
+    work key have none. The narrow rows are written once, because the count and the page both read
+    them; the other record columns are only fetched for the rows of a page.
     """
     valid = queries.filter(F.col("invalid_reason").isNull())
     textual = (F.size("terms") > 0) | (F.size("any_of") > 0) | (F.size("phrase") > 0)
-    text_q = valid.filter(textual)
-    ranked = match(index, text_q)
-    plain_q = valid.filter(~textual)
-    ids = identifiers(records)
-    points = _expand_prefixes(_entry_points(plain_q), ids)
-    looked_up = points.join(ids, ["kind", "value"]).select("query_id", "md5").distinct()
-    barred = plain_q.select("query_id", F.explode("exclude").alias("token")).join(
-        index.select("token", "md5"), "token"
-    )
-    looked_up = looked_up.join(barred, ["query_id", "md5"], "left_anti")
-    hits = ranked.unionByName(looked_up.withColumn("rank", F.lit(0.0)))
+    # one look at the query table, so that the plan holds only the branches some query needs
+    has_text, has_plain = valid.agg(F.max(textual), F.max(~textual)).first()
+    hits = None
+    if has_text or not has_plain:
+        hits = match(index, valid.filter(textual))
+    if has_plain:
+        looked_up = _looked_up(records, index, valid.filter(~textual)).withColumn("rank", F.lit(0.0))
+        hits = looked_up if hits is None else hits.unionByName(looked_up)
     rows = (
         hits.alias("h")
         .join(valid.alias("q"), F.col("h.query_id") == F.col("q.query_id"))
         .join(records.alias("r"), F.col("h.md5") == F.col("r.md5"))
         .filter(_batch_filter(all_fields))
-        .select("h.query_id", F.coalesce("h.rank", F.lit(0.0)).alias("rank"), "r.*")
+        .select("h.query_id", "r.md5", F.coalesce("h.rank", F.lit(0.0)).alias("rank"), "r.work_key")
     )
-    return with_edition_count(rows)
+    return with_edition_count(written(rows, "hits"))
 
 
 def with_edition_count(rows: DataFrame) -> DataFrame:
@@ -348,4 +365,4 @@ def search(
     """A page of results for every row of a query table."""
     queries = written(prepare_queries(raw_queries), "queries")
     rows = candidates(records, index, queries, all_fields)
-    return page(after_key(rows, queries), queries)
+    return page(after_key(rows, queries), queries).join(records.drop("work_key"), "md5")

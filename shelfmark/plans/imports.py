@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import tokens
-from shelfmark.functions.text import normalize_text
 from shelfmark.operators.discards import ABORT_RATE, check_error_rate, import_counters
 from shelfmark.operators.merge import HOT_ROWS
 from shelfmark.operators.records import quality_score, with_derived
@@ -59,7 +58,7 @@ def index_fields() -> dict[str, Column]:
     return {
         "A": tokens(F.col("title_norm")),
         "B": F.col("author_tokens"),
-        "C": tokens(normalize_text(F.col("publisher"))),
+        "C": F.col("publisher_tokens"),
     }
 
 

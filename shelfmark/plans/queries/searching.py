@@ -21,8 +21,9 @@ from shelfmark.operators.search import (
     record_filter,
     search,
 )
-from shelfmark.operators.text_index import build_index, match, write_index
+from shelfmark.operators.text_index import match, write_index
 from shelfmark.operators.workspace import new_dir, written
+from shelfmark.plans.imports import index_records
 from shelfmark.plans.queries.registry import query, spread, sql_norm, sql_words, table
 
 
@@ -59,17 +60,6 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return with_derived(merged, score=False)
 
 
-def index_of(records: DataFrame) -> DataFrame:
-    return build_index(
-        records.filter(~F.col("deleted")),
-        {
-            "A": tokens(F.col("title_norm")),
-            "B": F.col("author_tokens"),
-            "C": tokens(normalize_text(F.col("publisher"))),
-        },
-    )
-
-
 _stored: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
@@ -79,7 +69,7 @@ def stored_catalogue(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     if key not in _stored:
         records = written(catalogue(spark, folder), "records")
         path = new_dir(spark, "index")
-        write_index(index_of(records), path)
+        write_index(index_records(records), path)
         _stored[key] = records, spark.read.parquet(path)
     return _stored[key]
 
@@ -165,7 +155,7 @@ select token, count(*) as n_docs, sum(n)::bigint as n_places from (
     "select token, count(*) as n_docs", "select token, count(distinct md5) as n_docs"))
 def index_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Document frequency and places per token."""
-    index = index_of(catalogue(spark, folder))
+    index = index_records(catalogue(spark, folder))
     return index.groupBy("token").agg(
         F.count("*").alias("n_docs"), F.sum(F.size("places")).cast("long").alias("n_places")
     )
