@@ -22,6 +22,7 @@ RELEASE_NAME = (
     r"(\d{8}T\d{6}Z)--(\d{8}T\d{6}Z)\.jsonl\.seekable\.zst$"
 )
 STAMP_FORMAT = "yyyyMMdd'T'HHmmss'Z'"
+STAMP_PARSE = "yyyyMMdd'T'HHmmssX"  # the Z is read as the zone, whatever the session's zone is
 
 
 def md5_hex(c: Column) -> Column:
@@ -141,7 +142,7 @@ def work_key(isbn13: Column, isbn10: Column, doi: Column, openlibrary_ids: Colum
 def record_timestamp(aacid: Column) -> Column:
     """The UTC time inside a record reference; impossible dates give null."""
     stamp = F.nullif(F.regexp_extract(aacid, RECORD_STAMP, 1), F.lit(""))
-    return F.try_to_timestamp(stamp, F.lit(STAMP_FORMAT))
+    return F.try_to_timestamp(stamp, F.lit(STAMP_PARSE))
 
 
 def upload_group(aacid: Column) -> Column:
