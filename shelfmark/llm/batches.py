@@ -2,16 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import shelfmark
+
 #: Rows turned into Python objects at a time: few, because a single text may be very long.
 ROWS = 256
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once for each application; Spark serves the file to new executors too."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(shelfmark.__file__)
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "shelfmark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("shelfmark", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from shelfmark.llm.batches import id_and_text, record_batch, slices, texts
+from shelfmark.llm.batches import arrow_map, id_and_text, record_batch, slices, texts
 
 #: Entries of each memo of a worker; a full one starts anew after a block.
 MEMO_ENTRIES = 600_000
@@ -244,7 +244,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         for b in slices(batches, 64):
             yield record_batch(ENCODED, b.column(0), [list(chain.from_iterable(c.encode(t))) for t in texts(b, 1)])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>")
+    return arrow_map(id_and_text(docs, id_col, text_col), run, "id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
@@ -256,7 +256,7 @@ def decode(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
         for b in slices(batches, 64):
             yield record_batch(schema, b.column(0), [c.decode(ids or []) for ids in b.column(1).to_pylist()])
 
-    return encoded.select("id", "ids").mapInArrow(run, "id long, bytes binary")
+    return arrow_map(encoded.select("id", "ids"), run, "id long, bytes binary")
 
 
 def round_trip(
@@ -288,4 +288,4 @@ def round_trip(
             yield record_batch(DIGESTS, b.column(0), counts, ids_hex, bytes_hex)
 
     ids = id_and_text(docs, id_col, text_col)
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(ids, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shelfmark.llm.batches import id_and_text, record_batch, slices, texts
+from shelfmark.llm.batches import arrow_map, id_and_text, record_batch, slices, texts
 
 #: Code points of a chunk and of the first overlap.
 CHUNK, OVERLAP = 32_768, 512
@@ -163,4 +163,4 @@ def token_counts(
             yield record_batch(COUNTS, b.column(0), sizes, found, [k > limit for k in found])
 
     counted = id_and_text(docs, id_col, text_col)
-    return counted.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(counted, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
