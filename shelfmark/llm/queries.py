@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, packing, token_counts
+from shelfmark.llm import bpe, order_minhash, packing, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.compare_with_next(table(spark, folder, "documents"))
