@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, order_minhash, packing, token_counts
+from shelfmark.llm import bpe, exact_dedup, order_minhash, packing, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, folder, "documents"))
+
+
+@query
+def op8_grace_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
