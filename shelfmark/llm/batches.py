@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import shelfmark
@@ -43,6 +43,12 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def arrow_column(run: Callable, kind: str, *columns: Column | str) -> Column:
+    """A column made by a function of this package from whole Arrow columns."""
+    ship(SparkSession.active())
+    return F.arrow_udf(run, kind)(*columns)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import arrow_map, id_and_text, record_batch, slices
+from shelfmark.llm.batches import arrow_column, arrow_map, id_and_text, record_batch, slices
 from shelfmark.operators.workspace import written
 
 #: Bytes of content a table holds; one content of any length always fits.
@@ -173,7 +173,7 @@ def digest_of(text_col: str):
     def digests(column: pa.Array) -> pa.Array:
         return pa.array([hashlib.sha256(normalised(t)).digest() for t in column.to_pylist()], pa.binary())
 
-    return F.arrow_udf(digests, "binary")(F.col(f"`{text_col}`").cast("string"))
+    return arrow_column(digests, "binary", F.col(f"`{text_col}`").cast("string"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.batches import arrow_map, record_batch, slices
+from shelfmark.llm.batches import arrow_column, arrow_map, record_batch, slices
 
 #: Code points of a k-mer (a power of two), components of a fingerprint, k-mers in a component.
 K, COMPONENTS, CHOSEN = 8, 32, 2
@@ -156,8 +156,7 @@ def neighbours(docs: DataFrame, partitions: int, id_col: str = "doc_id", text_co
     def block(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
 
-    block_of = F.arrow_udf(block, "int")
-    placed = docs.withColumn("block", block_of("id"))
+    placed = docs.withColumn("block", arrow_column(block, "int", "id"))
     firsts = sorted((r["block"], r["first"]) for r in placed.groupBy("block").agg(F.min("id").alias("first")).collect())
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # -1: the last block
 
@@ -165,7 +164,7 @@ def neighbours(docs: DataFrame, partitions: int, id_col: str = "doc_id", text_co
         return pa.array([before.get(i) for i in ids.to_pylist()], pa.int32())
 
     seats = F.array(F.struct("block", F.lit(False).alias("guest")), F.struct(F.col("host").alias("block"), F.lit(True).alias("guest")))
-    seated = placed.withColumn("host", F.arrow_udf(host, "int")("id")).select("id", "text", F.explode(seats).alias("seat"))
+    seated = placed.withColumn("host", arrow_column(host, "int", "id")).select("id", "text", F.explode(seats).alias("seat"))
     seated = seated.where("seat.block is not null").select("seat.block", "seat.guest", "id", "text")
     return seated.repartition(partitions, "block").sortWithinPartitions("block", "guest", "id", "text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, exact_dedup, order_minhash, packing, token_counts
+from shelfmark.llm import bpe, exact_dedup, order_minhash, packing, simhash, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_grace_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
