@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, exact_dedup, order_minhash, packing, simhash, token_counts
+from shelfmark.llm import bpe, exact_dedup, order_minhash, packing, quality, simhash, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op8_grace_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op5_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
