@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, exact_dedup, order_minhash, packing, quality, simhash, token_counts
+from shelfmark.llm import bpe, exact_dedup, order_minhash, packing, pii, quality, simhash, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op4_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op7_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
