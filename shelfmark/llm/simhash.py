@@ -4,11 +4,14 @@ A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, each a (s
 Three or fewer differing bits leave at least two segments with at most one difference each. Segments that differ
 in one bit decode to indices near each other: the index of one is among the indices of the other and of its
 one-bit neighbours. So for every pair of segments a fingerprint gives keys (own index of one segment, nearby
-indices of the other) and (the other way round); two fingerprints within three bits share a key of each kind.
-Those that share a key are compared in full.
+indices of the other) and (the other way round); two fingerprints within three bits surely share a key, and others share
+one the likelier the closer they are. Those that share a key are compared in full.
 
-Equal fingerprints are one node. Within a key only links that join what was not joined yet are returned, and a key
-with many nodes is cut into blocks whose pairs are spread over tasks.
+A node may have several fingerprints, from hashes that are mixed anew, which count together: 64 bits each, and keys of each.
+So a threshold in wider reach than three bits is met with high probability; only three bits in any one are certain.
+
+Equal fingerprints are one node. Within a key only links that join what was not joined yet are returned. A key
+with many nodes is cut into blocks, and pairs of blocks are spread over tasks.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from shelfmark.operators.workspace import written
 #: Bits of the segments and the pairs of them that are keyed.
 WIDTHS = (22, 21, 21)
 PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Differing bits of linked fingerprints at most; the keys are built for this number.
+#: Differing bits of linked fingerprints at most; for one fingerprint, keys up to three are complete.
 DISTANCE = 3
-#: Nodes of a key compared in one task.
+#: Nodes of a key compared in one go.
 BLOCK = 2048
 
 
@@ -45,29 +48,39 @@ def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> list[int]:
     return [digest(join(run), seed) for run in zip(*(found[i:] for i in range(words)))]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def remixed(hashes: np.ndarray, copy: int) -> np.ndarray:
+    """The hashes themselves for the first fingerprint, and others made from them for further ones."""
+    if not copy:
+        return hashes
+    x = hashes + np.uint64(copy * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(hashes: list[int], copy: int = 0) -> int:
     """The bits set in over half of the hashes."""
     if not hashes:
         return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], "<u8")
+        part = remixed(np.array(hashes[at : at + (1 << 16)], "<u8"), copy)
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * counts > len(hashes), bitorder="little")
     return int(bits.view("<u8")[0])
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def fingerprint_column(text_col: str, words: int = 3):
-    """The fingerprint of a text as a signed 64-bit column; zero for a null."""
+def fingerprint_column(text_col: str, words: int = 3, copies: int = 1):
+    """The fingerprints of a text as 8 bytes each, highest first; all zero for a null."""
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([signed(fingerprint(shingle_hashes(t or "", words))) for t in column.to_pylist()], pa.int64())
+        out = []
+        for t in column.to_pylist():
+            hashes = shingle_hashes(t or "", words)
+            out.append(b"".join(fingerprint(hashes, c).to_bytes(8, "big") for c in range(copies)))
+        return pa.array(out, pa.binary())
 
-    return arrow_column(run, "long", F.col(f"`{text_col}`").cast("string"))
+    return arrow_column(run, "binary", F.col(f"`{text_col}`").cast("string"))
 
 
 def segments(fps: np.ndarray) -> list[np.ndarray]:
@@ -78,44 +91,48 @@ def segments(fps: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, which fingerprint) of all keys; a key names the pair of segments and an index in each."""
-    parts = segments(fps)
-    own = [decode(p).astype(np.int64) for p in parts]
-    near = [nearby(p, w).astype(np.int64) for p, w in zip(parts, WIDTHS)]
+def keys_of(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, which node) of all keys of nodes, a row of fingerprints each. A key names the fingerprint, the pair of
+    segments and an index in each."""
     keys, rows = [], []
-    for k, (i, j) in enumerate(PAIRS):
-        for a, b in ((own[i][:, None], near[j]), (near[i], own[j][:, None])):
-            grid = (k << 24) + (a << 12) + b
-            row, column = np.nonzero(np.broadcast_to((a >= 0) & (b >= 0), grid.shape))
-            keys.append(grid[row, column])
-            rows.append(row)
-    keys, rows = np.concatenate(keys), np.concatenate(rows)
-    order = np.lexsort((keys, rows))  # both own indices give the same key twice
-    keys, rows = keys[order], rows[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-    return keys[first], rows[first]
-
-
-def close(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    for copy in range(nodes.shape[1]):
+        parts = segments(nodes[:, copy])
+        own = [decode(p).astype(np.int64) for p in parts]
+        near = [nearby(p, w).astype(np.int64) for p, w in zip(parts, WIDTHS)]
+        for k, (i, j) in enumerate(PAIRS):
+            kind = copy * len(PAIRS) + k << 24
+            # both ways round give the key of both own indices; the second leaves it out
+            near_i = np.where(near[i] == own[i][:, None], -1, near[i])
+            for a, b in ((own[i][:, None], near[j]), (near_i, own[j][:, None])):
+                row, column = np.nonzero(np.broadcast_to((a >= 0) & (b >= 0), (len(nodes), max(a.shape[1], b.shape[1]))))
+                grid = kind + (a << 12) + b
+                keys.append(grid[row, column])
+                rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def bits_apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+
+
+def close(left: np.ndarray, right: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (in left, in right) of the pairs within the distance."""
     found = []
-    step = max(1, (1 << 20) // max(1, len(right)))
+    step = max(1, (1 << 20) // max(1, right.size))
     for at in range(0, len(left), step):
-        bits = np.bitwise_count(left[at : at + step, None] ^ right[None, :])
-        a, b = np.nonzero(bits <= distance)
+        a, b = np.nonzero(bits_apart(left[at : at + step, None, :], right[None, :, :]) <= distance)
         found.append((a + at, b))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def joining(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two blocks, or within one."""
-    a, b = close(left, right)
-    if same:
+def joining(left: np.ndarray, right: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two blocks of nodes, or within one: the linked nodes."""
+    other = left if right is None else right
+    a, b = close(left, other, distance)
+    if right is None:
         a, b = a[a < b], b[a < b]
-    parent = list(range(len(left) + (0 if same else len(right))))
-    shift = 0 if same else len(left)
+    shift = 0 if right is None else len(left)
+    parent = list(range(shift + len(other)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -128,82 +145,166 @@ def joining(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray
         if x != y:
             parent[max(x, y)] = min(x, y)
             kept.append(n)
-    return left[a[kept]], right[b[kept]]
+    return left[a[kept]], other[b[kept]]
+
+
+def as_nodes(column: pa.Array) -> np.ndarray:
+    """Fingerprints of a binary column, one row for each value."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
+
 
+def as_bytes(nodes: np.ndarray) -> list[bytes]:
+    raw, width = nodes.astype(">u8").tobytes(), 8 * nodes.shape[1]
+    return [raw[at : at + width] for at in range(0, len(raw), width)]
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64()), ("block", pa.int32())])
+LINKS_DDL = "a binary, b binary, key long, block int"
 
-def links(nodes: DataFrame, partitions: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join all fingerprints `fp` of nodes, distinct ones, that are within DISTANCE of each other,
+
+def links(nodes: DataFrame, partitions: int, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join all nodes `fp`, distinct ones, that share a key and are within the distance of each other,
     directly or over others."""
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.binary())])
 
     def key_rows(batches):
-        for b in slices(batches, 4096):
-            fps = b.column(0).to_numpy()
-            keys, rows = keys_of(fps.view(np.uint64))
-            yield record_batch(schema, keys, fps[rows])
-
-    keyed = arrow_map(nodes.select("fp"), key_rows, "key long, fp long")
-    # how many nodes each key has is counted map-side first; keys of one node have no pair
-    sizes = keyed.groupBy("key").count().where("count > 1")
-    cut = F.ceil(F.col("count") / block).cast("int")
-    held = keyed.join(sizes.withColumn("blocks", cut).drop("count"), "key")
-    # a key of n blocks gives every node to its block paired with each of the others, and with itself
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    seats = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("own")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda other: F.struct(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), own.alias("own")),
-        )
-    )
-    dealt = held.select("key", "fp", F.explode(seats).alias("s")).select("key", "s.x", "s.y", "s.own", "fp")
-    dealt = dealt.repartition(partitions, "key", "x", "y").sortWithinPartitions("key", "x", "y", "own", "fp")
+        for b in slices(batches, 2048):
+            values = b.column(0)
+            keys, rows = keys_of(as_nodes(values))
+            for at in range(0, len(keys), 1 << 16):
+                yield record_batch(schema, keys[at : at + (1 << 16)], values.take(pa.array(rows[at : at + (1 << 16)])))
+
+    keyed = arrow_map(nodes.select("fp"), key_rows, "key long, fp binary")
+    dealt = keyed.repartition(partitions, "key").sortWithinPartitions("key", "fp")
+
+    def result(pairs: list[tuple[np.ndarray, np.ndarray]], over: list[tuple[int, int, np.ndarray]]):
+        a = [x for left, _ in pairs for x in as_bytes(left)]
+        b = [x for _, right in pairs for x in as_bytes(right)]
+        if a:
+            yield record_batch(LINKS, a, b, [None] * len(a), [None] * len(a))
+        for key, number, members in over:
+            n = len(members)
+            yield record_batch(LINKS, as_bytes(members), [None] * n, [key] * n, [number] * n)
 
     def compare(batches) -> Iterator[pa.RecordBatch]:
-        at, left, right = None, [], []
+        """Nodes come sorted by key. A key of more than a block gives its blocks on, each compared in itself."""
+        held_key, held, number = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, rows = batch.column(0).to_numpy(), as_nodes(batch.column(1))
+            pairs, over = [], []
+            if held is not None:
+                keys = np.concatenate([np.full(len(held), held_key, np.int64), keys])
+                rows = np.concatenate([held, rows])
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            sizes = np.diff(starts)
+            full = starts[:-1][:-1]  # the last key may go on in the next batch
+            two = full[sizes[:-1] == 2]
+            near = two[bits_apart(rows[two], rows[two + 1]) <= distance]
+            first_cut = number > 0  # the first key has given blocks on before
+            if first_cut and len(near) and near[0] == 0:
+                near = near[1:]
+            pairs.append((rows[near], rows[near + 1]))
+            for g in np.flatnonzero((sizes[:-1] > 2) | ((np.arange(len(sizes) - 1) == 0) & first_cut)):
+                members, part = rows[starts[g] : starts[g + 1]], number if g == 0 else 0
+                many = part > 0 or len(members) > block
+                for at in range(0, len(members), block):
+                    one = members[at : at + block]
+                    pairs.append(joining(one, None, distance))
+                    if many:
+                        over.append((int(keys[starts[g]]), part, one))
+                        part += 1
+            last = starts[-2]
+            if last > 0:
+                number = 0
+            held_key, held = int(keys[last]), rows[last:]
+            while len(held) > block:
+                one, held = held[:block], held[block:]
+                pairs.append(joining(one, None, distance))
+                over.append((held_key, number, one))
+                number += 1
+            yield from result(pairs, over)
+        if held is not None and (len(held) > 1 or number):
+            yield from result([joining(held, None, distance)], [(held_key, number, held)] if number else [])
+
+    found = written(arrow_map(dealt, compare, LINKS_DDL), "key-links")
+    direct = found.where("key is null").select("a", "b").distinct()
+    over = found.where("key is not null").select("key", "block", F.col("a").alias("fp"))
+    if over.isEmpty():
+        return direct
+
+    # pairs of blocks of one key, each in one group of rows
+    blocks = over.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
+    seats = over.join(blocks, "key").withColumn("other", F.explode(others))
+    seats = seats.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).alias("right"), "fp")
+    seats = seats.repartition(4 * partitions, "key", "x", "y").sortWithinPartitions("key", "x", "y", "right", "fp")
+
+    def compare_blocks(batches):
+        at, sides = None, ([], [])
 
         def finish():
-            if at is None:
-                return
-            a = np.array(left, np.int64).view(np.uint64)
-            b = np.array(right, np.int64).view(np.uint64)
-            same = at[1] == at[2]
-            if len(a) and (same or len(b)):
-                x, y = joining(a, a if same else b, same)
-                if len(x):
-                    yield record_batch(LINKS, x.view(np.int64), y.view(np.int64))
+            if at is not None and sides[0] and sides[1]:
+                left, right = (np.frombuffer(b"".join(s), ">u8").astype(np.uint64).reshape(len(s), -1) for s in sides)
+                yield from result([joining(left, right, distance)], [])
 
         for batch in batches:
-            for key, x, y, seat, fp in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, x, y, right, fp in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, x, y) != at:
                     yield from finish()
-                    at, left, right = (key, x, y), [], []
-                (left if seat == x else right).append(fp)
+                    at, sides = (key, x, y), ([], [])
+                sides[right].append(fp)
         yield from finish()
 
-    return arrow_map(dealt, compare, "a long, b long").distinct()
+    between = arrow_map(seats, compare_blocks, LINKS_DDL).select("a", "b")
+    return direct.unionByName(between).distinct()
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, copies: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, and (fp, component_id), the smallest id reachable from the rows of each fingerprint."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = id_and_text(docs, id_col, text_col).select("id", fingerprint_column("text", words, copies).alias("fp"))
+    ids = written(ids, "fingerprints")
+    nodes = written(ids.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    joined = components(links(nodes, partitions, distance))
+    # nodes with links take the label of their component's least fingerprint, whose ids give the smallest id
+    rooted = nodes.join(joined.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
+    rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return ids, rooted.join(smallest, "root").select("fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links, of every row.
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, copies: int = 1, distance: int = DISTANCE
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits for each copy) and component_id, the smallest id reachable over links.
 
     Rows with equal fingerprints are linked too, those of texts without a word (fingerprint zero) like any other. A null
     text has no word. A null id is nobody's component: one with only null ids has a null component_id.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = id_and_text(docs, id_col, text_col).select("id", fingerprint_column("text").alias("fp"))
-    ids = written(ids, "fingerprints")
-    nodes = ids.groupBy("fp").agg(F.min("id").alias("least"))
-    nodes = written(nodes, "nodes")
-    joined = components(links(nodes, partitions))
-    # nodes with links take the label of their component's least fingerprint, whose ids give the smallest id
-    labelled = nodes.join(joined.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
-    labelled = labelled.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(smallest, "root").select("fp", "component_id")
-    return ids.join(labels, "fp").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    ids, labels = labelled(docs, id_col, text_col, words, copies, distance)
+    return ids.join(labels, "fp").select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, copies: int = 4, similarity: float = 0.8
+) -> DataFrame:
+    """All columns of one row of each group, the one with the smallest id; groups are linked where at least such a share
+    of the fingerprints' bits is equal. Of rows that repeat this id the one with the least text stays.
+
+    Texts without a word tell nothing about each other, so they stay."""
+    distance = int(round((1 - similarity) * 64 * copies, 6))
+    ids, labels = labelled(docs, id_col, text_col, words, copies, distance)
+    empty = F.col("fp") == F.lit(bytes(8 * copies))
+    kept = ids.join(labels, "fp").where(empty | F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
+    rows = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept"]), "left_semi")
+    repeated = ids.groupBy("id").count().where("count > 1").select(F.col("id").alias("_again"))
+    if repeated.isEmpty():
+        return rows
+    again = rows[f"`{id_col}`"].eqNullSafe(repeated["_again"])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = F.min_by(row, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    one = rows.join(repeated, again, "left_semi").groupBy(F.col(f"`{id_col}`").alias("_id")).agg(least.alias("row"))
+    return rows.join(repeated, again, "left_anti").unionByName(one.select("row.*"))
