@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,8 @@ def op6_relational_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
     return chat.digests(chat.formatted(chat.turns_of(rows)))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
