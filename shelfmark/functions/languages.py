@@ -7,54 +7,52 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import strip
 
-# Names and codes (ISO 639-1, 639-2 B/T, 639-3) of each ISO 639-3 language.
-LANGUAGE_NAMES: dict[str, str] = {
-    "deu": "de ger deu german deutsch",
-    "eng": "en eng english",
-    "fra": "fr fre fra french français franzosisch",
-    "spa": "es spa spanish español spanisch",
-    "ita": "it ita italian italienisch",
-    "nld": "nl dut nld dutch niederlandisch",
-    "rus": "ru rus russian russisch",
-    "por": "pt por portuguese",
-    "pol": "pl pol polish polnisch",
-    "zho": "zh chi zho chinese mandarin",
-    "jpn": "ja jpn japanese",
-    "kor": "ko kor korean",
-    "ara": "ar ara arabic",
-    "tur": "tr tur turkish",
-    "swe": "sv swe swedish",
-    "nor": "no nor norwegian",
+# Names and codes (ISO 639-1, 639-2 B/T, 639-3) and the ISO 639-3 code of each.
+# fmt: off
+LANGUAGE_CODES: dict[str, str] = {
+    "de": "deu", "ger": "deu", "deu": "deu", "german": "deu", "deutsch": "deu",
+    "en": "eng", "eng": "eng", "english": "eng",
+    "fr": "fra", "fre": "fra", "fra": "fra", "french": "fra", "français": "fra", "franzosisch": "fra",
+    "es": "spa", "spa": "spa", "spanish": "spa", "español": "spa", "spanisch": "spa",
+    "it": "ita", "ita": "ita", "italian": "ita", "italienisch": "ita",
+    "nl": "nld", "dut": "nld", "nld": "nld", "dutch": "nld", "niederlandisch": "nld",
+    "ru": "rus", "rus": "rus", "russian": "rus", "russisch": "rus",
+    "pt": "por", "por": "por", "portuguese": "por",
+    "pl": "pol", "pol": "pol", "polish": "pol", "polnisch": "pol",
+    "zh": "zho", "chi": "zho", "zho": "zho", "chinese": "zho", "mandarin": "zho",
+    "ja": "jpn", "jpn": "jpn", "japanese": "jpn",
+    "ko": "kor", "kor": "kor", "korean": "kor",
+    "ar": "ara", "ara": "ara", "arabic": "ara",
+    "tr": "tur", "tur": "tur", "turkish": "tur",
+    "sv": "swe", "swe": "swe", "swedish": "swe",
+    "no": "nor", "nor": "nor", "norwegian": "nor",
     "nob": "nob",
     "nno": "nno",
-    "dan": "da dan danish",
-    "fin": "fi fin finnish",
-    "ces": "cs cze ces czech",
-    "hun": "hu hun hungarian",
-    "ron": "ro rum ron romanian",
-    "ell": "el gre ell greek",
-    "heb": "he heb hebrew",
-    "hin": "hi hin hindi",
-    "ind": "id ind indonesian",
-    "ukr": "uk ukr ukrainian",
-    "bul": "bg bul bulgarian",
-    "hrv": "hr hrv croatian",
-    "srp": "sr srp serbian",
-    "slk": "sk slo slk slovak",
-    "slv": "sl slv slovenian",
-    "vie": "vi vie vietnamese",
-    "tha": "th tha thai",
-    "fas": "fa fas per persian farsi",
-    "lat": "la lat latin",
-    "mul": "mul multiple",
+    "da": "dan", "dan": "dan", "danish": "dan",
+    "fi": "fin", "fin": "fin", "finnish": "fin",
+    "cs": "ces", "cze": "ces", "ces": "ces", "czech": "ces",
+    "hu": "hun", "hun": "hun", "hungarian": "hun",
+    "ro": "ron", "rum": "ron", "ron": "ron", "romanian": "ron",
+    "el": "ell", "gre": "ell", "ell": "ell", "greek": "ell",
+    "he": "heb", "heb": "heb", "hebrew": "heb",
+    "hi": "hin", "hin": "hin", "hindi": "hin",
+    "id": "ind", "ind": "ind", "indonesian": "ind",
+    "uk": "ukr", "ukr": "ukr", "ukrainian": "ukr",
+    "bg": "bul", "bul": "bul", "bulgarian": "bul",
+    "hr": "hrv", "hrv": "hrv", "croatian": "hrv",
+    "sr": "srp", "srp": "srp", "serbian": "srp",
+    "sk": "slk", "slo": "slk", "slk": "slk", "slovak": "slk",
+    "sl": "slv", "slv": "slv", "slovenian": "slv",
+    "vi": "vie", "vie": "vie", "vietnamese": "vie",
+    "th": "tha", "tha": "tha", "thai": "tha",
+    "fa": "fas", "fas": "fas", "per": "fas", "persian": "fas", "farsi": "fas",
+    "la": "lat", "lat": "lat", "latin": "lat",
+    "mul": "mul", "multiple": "mul",
 }
+# fmt: on
 REGION_FORM = r"^([a-z]{2,3})[-_]"
 LIST_SEPARATORS = "[,;/]"
 
-LANGUAGE_CODES: dict[str, str] = {
-    name: code for code, names in LANGUAGE_NAMES.items() for name in names.split()
-}
-
 
 def _known(key: Column) -> Column:
     pairs = ", ".join(f"'{k}', '{v}'" for k, v in LANGUAGE_CODES.items())

@@ -6,11 +6,11 @@ scalar field the last advancing version with a value wins, else the first versio
 Only two running maxima (score, timestamp) are needed to know which versions advance; everything
 after that is a plain aggregate.
 
-Skew. Keys with more than ``hot_rows`` versions are found by one count over the key column. There
-are at most ``total rows / hot_rows`` of them, so that list is safe to broadcast. All other keys
-take one shuffle on the key and one sort. The versions of a hot key are cut into ranges of
-``hot_rows`` arrival numbers and spread over the cluster: the maxima of each range are combined
-into the state every range starts from, and the final aggregates combine map-side.
+Skew. Keys with more than ``hot_rows`` versions are found by one count over the key column. All other
+keys take one shuffle on the key and one sort. The versions of hot keys are range-partitioned by key and
+arrival, so that a key takes as many partitions as its share of the rows asks for, however sparsely it
+arrives: the maxima of each part are combined into the state the next one starts from, and the final
+aggregates combine map-side.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from shelfmark.operators.records import ARRAYS, SCALARS
 from shelfmark.operators.workspace import written
 
-HOT_ROWS = 200_000
+HOT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
 class MergeSpec:
-    """Which columns play which part in a merge. ``seq`` is a LONG, unique within a key."""
+    """Which columns play which part in a merge. ``seq`` is of any
+    orderable type and unique within a key."""
 
     key: str = "md5"
     seq: str = "seq"
@@ -109,7 +110,7 @@ def _aggregates(rows: DataFrame, spec: MergeSpec) -> list[Column]:
         gone = pick(F.max_by, "_gone", F.col("_gone") | F.col("_clears"))
         out.append(F.coalesce(gone, F.lit(False)).alias(spec.deleted))
         if spec.reason:
-            since = F.col("_gone") & (seq > F.coalesce("_cleared_at", seq - 1))
+            since = F.col("_gone") & (F.col("_cleared_at").isNull() | (seq > F.col("_cleared_at")))
             # a null reason of the deciding deletion stays null: the struct keeps it comparable
             first = F.min(F.when(since, F.struct(seq.alias("s"), F.col(spec.reason).alias("r"))))
             out.append(F.when(gone, first["r"]).alias(spec.reason))
@@ -163,9 +164,11 @@ def _cold(rows: DataFrame, spec: MergeSpec) -> DataFrame:
     return marked.groupBy(spec.key).agg(*_aggregates(marked, spec), *_list_aggregates(spec))
 
 
-def _hot(rows: DataFrame, spec: MergeSpec, hot_rows: int) -> DataFrame:
+def _hot(rows: DataFrame, spec: MergeSpec) -> DataFrame:
     part = [spec.key, "_range"]
-    ranged = rows.withColumn("_range", F.floor(F.col(spec.seq) / hot_rows))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(tasks, spec.key, spec.seq).withColumn("_range", F.spark_partition_id())
+    ranged = written(dealt, "hot-versions")  # the cuts are drawn from a sample, so they are kept
     before = W.partitionBy(spec.key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     start = (
         ranged.groupBy(*part)
@@ -177,10 +180,10 @@ def _hot(rows: DataFrame, spec: MergeSpec, hot_rows: int) -> DataFrame:
         cleared = marked.groupBy(spec.key).agg(
             F.max(F.when(F.col("_clears"), F.col(spec.seq))).alias("_cleared_at")
         )
-        marked = marked.join(F.broadcast(cleared), spec.key, "left")  # one row per hot key
+        marked = marked.join(cleared, spec.key, "left")
     merged = marked.groupBy(spec.key).agg(*_aggregates(marked, spec))
     if spec.arrays:
-        lists = ordered_union(rows, spec.key, spec.seq, spec.arrays)
+        lists = ordered_union(ranged, spec.key, spec.seq, spec.arrays)
         merged = merged.join(lists, spec.key, "left")
         merged = merged.withColumns(
             {a: F.coalesce(F.col(a), F.array().cast("array<string>")) for a in spec.arrays}
@@ -202,7 +205,7 @@ def merge_versions(
     hot = hot_keys(rows, spec.key, hot_rows)
     if hot.isEmpty():
         return _cold(rows, spec).select(*order)
-    hot = F.broadcast(written(hot, "hot-keys"))
+    hot = written(hot, "hot-keys")
     cold_part = _cold(rows.join(hot, spec.key, "left_anti"), spec)
-    hot_part = _hot(rows.join(hot, spec.key, "left_semi"), spec, hot_rows)
+    hot_part = _hot(rows.join(hot, spec.key, "left_semi"), spec)
     return cold_part.select(*order).unionByName(hot_part.select(*order))

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.operators.merge import HOT_ROWS, MergeSpec, merge_versions
 
 # Overwrite mode: columns that keep the stored value when the incoming one is null.
 KEEP_WHEN_NULL = ("series_name", "series_position", "edition", "source_timestamp", "ipfs_cid")
-STORED_SEQ = -1  # a stored row is the version before all incoming ones
+
+
+def before_all(kind: T.DataType) -> Column:
+    """An arrival before any other: a stored row is the version before all incoming ones."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*(before_all(f.dataType).alias(f.name) for f in kind.fields))
+    return F.lit("" if isinstance(kind, T.StringType) else -1).cast(kind)
 
 
 def upsert_merge(
@@ -21,7 +28,7 @@ def upsert_merge(
     by batch gives the same rows as one merge of everything.
     """
     spec = spec or MergeSpec()
-    first = stored.withColumn(spec.seq, F.lit(STORED_SEQ).cast("long"))
+    first = stored.withColumn(spec.seq, before_all(incoming.schema[spec.seq].dataType))
     rows = first.select(*spec.columns()).unionByName(incoming.select(*spec.columns()))
     return merge_versions(rows, spec, hot_rows)
 
@@ -89,10 +96,10 @@ def once_per_record(
 
 
 def kept_rows(rows: DataFrame, keep: list[str], column: str = "source_collection") -> DataFrame:
-    """rows of the collections to keep."""
+    """rows of the collections to keep, and rows of none, which no purge names."""
     if not keep:
         raise ValueError("an empty keep list would purge everything")
-    return rows.filter(F.col(column).isin(keep))
+    return rows.filter(F.col(column).isin(keep) | F.col(column).isNull())
 
 
 def purged_rows(rows: DataFrame, keep: list[str], column: str = "source_collection") -> DataFrame:
@@ -111,22 +118,20 @@ def purge(
 ) -> dict[str, int]:
     """Back up what goes, write what stays, verify; returns removed rows per table.
 
-    ``tables`` maps a name to (rows, collection column). The backup is complete before anything of the
-    target is written.
+    ``tables`` maps a name to (rows, collection column). Before anything of the target is written, the rows that stay
+    and the rows in the backup are checked to be all rows of every table.
     """
     spark = next(iter(tables.values()))[0].sparkSession
-    for name, (rows, column) in tables.items():
-        purged_rows(rows, keep, column).write.mode("overwrite").partitionBy(column).parquet(
-            f"{backup}/{name}"
-        )
     removed = {}
+    for name, (rows, column) in tables.items():
+        purged_rows(rows, keep, column).write.mode("overwrite").parquet(f"{backup}/{name}")
+        every, stay = rows.count(), kept_rows(rows, keep, column).count()
+        removed[name] = spark.read.parquet(f"{backup}/{name}").count()
+        if stay + removed[name] != every:
+            raise RuntimeError(f"backup of {name} is incomplete: {stay} + {removed[name]} of {every}")
     for name, (rows, column) in tables.items():
         kept_rows(rows, keep, column).write.mode("overwrite").parquet(f"{target}/{name}")
         left = strays(spark.read.parquet(f"{target}/{name}"), keep, column).limit(5).collect()
         if left:
             raise RuntimeError(f"purge of {name} is incomplete: {left}")
-        gone = purged_rows(rows, keep, column).count()
-        if gone and spark.read.parquet(f"{backup}/{name}").count() != gone:
-            raise RuntimeError(f"backup of {name} is incomplete")
-        removed[name] = gone
     return removed

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.discards import discard_counts, error_samples, import_counters
+from shelfmark.operators.tables import upsert_merge
 from shelfmark.operators.workspace import new_dir
 from shelfmark.plans.imports import import_release
 from shelfmark.plans.queries.accounting import BUCKET_SQL, bucket_columns, samples
@@ -38,7 +39,7 @@ def zlib3_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("Vol. x").alias("volume"),
         F.lit("ePub ").alias("extension"),
         F.when(~short, F.col("n_chars")).alias("filesize_reported"),
-        F.array(F.lit("B0B6HNHVV9"), F.lit("0-306-40615-2"), F.lit("9780306406157")).alias("isbns"),
+        F.array(F.lit("B0SHELFMRK"), F.lit("1-234-56789-X"), F.lit("9781234567897")).alias("isbns"),
         F.when(F.col("toxic") == 1, F.lit(1)).alias("removed"),
         F.when(F.col("toxic") == 1, F.col("source")).alias("removalReason"),
         F.when(
@@ -67,7 +68,7 @@ select doc_id as seq, case when lang = 'es' then 'skipped' else 'kept' end as ou
   case when lang <> 'es' then 'epub' end as extension,
   case when lang <> 'es' then case when n_chars >= 200 then n_chars else 77 end end as filesize,
   case when lang <> 'es' and n_chars < 200 then 1999 end as year,
-  case when lang <> 'es' then '9780306406157' else '' end as isbns,
+  case when lang <> 'es' then '9781234567897' else '' end as isbns,
   coalesce(toxic = 1, false) and lang <> 'es' as deleted,
   case when toxic = 1 and lang <> 'es' then source end as removed_reason,
   case when lang <> 'es' and n_chars < 200 then source end as ipfs_cid,
@@ -229,7 +230,7 @@ def goodreads_lines(spark: SparkSession, folder: str) -> DataFrame:
     segment = F.col("c_mktsegment")
     xml = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<Response><book><id>1</id><title><![CDATA['),
-        "c_name", F.lit(" & more]]></title><isbn>0306406152</isbn><isbn13/><publisher>"), "n_name",
+        "c_name", F.lit(" & more]]></title><isbn>123456789X</isbn><isbn13/><publisher>"), "n_name",
         F.lit("</publisher><language_code>ger</language_code><publication_year>"),
         F.when(segment == "MACHINERY", F.lit("")).otherwise(F.lit("1974")),
         F.lit("</publication_year><authors><author><id>1</id><name>"), "n_name",
@@ -255,7 +256,7 @@ select c_custkey as seq, outcome,
   case when outcome = 'kept' then n_name end as publisher,
   case when outcome = 'kept' then case when c_mktsegment = 'MACHINERY' then 1927 else 1974 end end as year,
   case when outcome = 'kept' then 'deu' else '' end as languages,
-  case when outcome = 'kept' then '9780306406157' else '' end as isbns
+  case when outcome = 'kept' then '9781234567897' else '' end as isbns
 from r""")
 def adapter_goodreads(spark: SparkSession, folder: str) -> DataFrame:
     """P4."""
@@ -441,24 +442,62 @@ def failed_samples(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _written_lines(lines: DataFrame, label: str, files: int) -> str:
-    """Dump files in the shared folder; copies of a key go to several of them."""
+    """Text files in the shared folder."""
     path = new_dir(lines.sparkSession, label)
     lines.select("line").repartition(files).write.mode("overwrite").text(path)
     return path
 
 
+def _written_dump(lines: DataFrame, label: str) -> str:
+    """Four dump files of unequal size, the later ones larger; copies of a key go to several of them."""
+    path = new_dir(lines.sparkSession, label)
+    file = F.when(F.col("seq") % 10 < 1, 0).when(F.col("seq") % 10 < 3, 1).when(F.col("seq") % 10 < 5, 2).otherwise(3)
+    dealt = lines.select(file.alias("file"), "seq", "line").repartitionByRange(4, "file")
+    dealt.sortWithinPartitions("file", "seq").select("line").write.mode("overwrite").text(path)
+    return path
+
+
+# Lines arrive by file, then by document: the last one names the record, authors are listed as they come.
 _IMPORTED = """
-select md5(text) as md5, any_value(trim(text, ' \n\t\r')) as title, count(*) > 0 as there,
+with d as (
+  select *, md5(text) as md5, case when doc_id % 10 < 1 then 0 when doc_id % 10 < 3 then 1
+    when doc_id % 10 < 5 then 2 else 3 end as file from documents left join labels using (doc_id) where lang <> 'es'),
+people as (
+  select md5, file, doc_id, unnest([1, 2]) as i, unnest([source, lang]) as name from d),
+listed as (select md5, name, min([file, doc_id, i]) as spot from people group by all),
+named as (select md5, string_agg(name, '|' order by spot) as authors from listed group by 1)
+select md5, any_value(trim(text, ' \n\t\r')) as title, any_value(authors) as authors,
+  'aacid__zlib3_records__20240102T030405Z__' || arg_max(doc_id, [file, doc_id]) || '__x' as aacid,
   coalesce(bool_or(toxic = 1), false) as deleted
-from documents left join labels using (doc_id) where lang <> 'es' group by 1"""
+from d join named using (md5) group by 1"""
+
+
+def _imported(records: DataFrame) -> DataFrame:
+    return records.select("md5", "title", joined("authors").alias("authors"), "aacid", "deleted")
+
+
+@query(_IMPORTED)
+def file_import_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The same dump cut into many small pieces arrives in the same order."""
+    path = _written_dump(zlib3_lines(spark, folder), "dump")
+    keys = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        parsed = import_release(spark, path, adapters.ZLIB3).parsed  # written, so the cuts are made here
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = parsed.filter(F.col("outcome") == "kept")
+    return _imported(upsert_merge(rows.limit(0), rows))
 
 
 @query(_IMPORTED)
 def file_import(spark: SparkSession, folder: str) -> DataFrame:
     """A dump of files imported in one go."""
-    path = _written_lines(zlib3_lines(spark, folder), "dump", 4)
-    records = import_release(spark, path, adapters.ZLIB3).records
-    return records.select("md5", "title", F.lit(True).alias("there"), "deleted")
+    path = _written_dump(zlib3_lines(spark, folder), "dump")
+    return _imported(import_release(spark, path, adapters.ZLIB3).records)
 
 
 @query("select count(*) as lines, count(distinct text) as texts from benchmark")
@@ -476,13 +515,13 @@ def line_scan(spark: SparkSession, folder: str) -> DataFrame:
 def stream_import(spark: SparkSession, folder: str) -> DataFrame:
     """The same dump as a stream of files in several micro-batches, staged and folded; the
     second release repeats the first one and changes nothing."""
-    path = _written_lines(zlib3_lines(spark, folder), "dump", 4)
+    path = _written_dump(zlib3_lines(spark, folder), "dump")
     base = new_dir(spark, "catalogue")
     records = None
     for rank in (1, 2):
         stage_stream(spark, path, adapters.ZLIB3, base, rank, max_files=2).awaitTermination()
         records = fold_staged(spark, base, rank)
-    return records.select("md5", "title", F.lit(True).alias("there"), "deleted")
+    return _imported(records)
 
 
 @query("""
@@ -490,7 +529,7 @@ select count(*) as seen, count(*) filter (where lang <> 'es') as kept, count(*)
   0 as discarded, 0 as failed from documents""")
 def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Counters observed while the stream is staged, summed over its micro-batches."""
-    path = _written_lines(zlib3_lines(spark, folder), "dump", 4)
+    path = _written_dump(zlib3_lines(spark, folder), "dump")
     base = new_dir(spark, "catalogue")
     stage_stream(spark, path, adapters.ZLIB3, base, 1, max_files=1).awaitTermination()
     return staged_counters(spark, base, 1)

@@ -7,32 +7,35 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import strip
 
-_RELEASE_BITS = 55  # arrival number = release rank, then partition and row of the scan
 
+def arrival(release_rank: int, file: Column, block: Column) -> Column:
+    """The place of a line in the order of arrival: release, file by name, place in the file.
 
-def _numbered(df: DataFrame, release_rank: int) -> DataFrame:
-    line = strip(F.col("value"))
-    return (
-        df.select(
-            (F.lit(release_rank).cast("long") * (1 << _RELEASE_BITS) + F.monotonically_increasing_id())
-            .alias("seq"),
-            line.alias("line"),
-            F.col("_metadata.file_path").alias("file"),
-        )
-        .filter(F.length("line") > 0)
+    Spark deals pieces of files to tasks by size, but reads each piece in order; so the start of the piece and the row
+    within the task order the lines of a file, however it is cut.
+    """
+    return F.struct(
+        F.lit(release_rank).cast("long").alias("release"),
+        file.alias("file"),
+        block.cast("long").alias("block"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"),
     )
 
 
+def _numbered(df: DataFrame, release_rank: int) -> DataFrame:
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return df.select(
+        arrival(release_rank, file, block).alias("seq"), strip(F.col("value")).alias("line"), file.alias("file")
+    ).filter(F.length("line") > 0)
+
+
 def read_lines(
     spark: SparkSession, path: str | list[str], release_rank: int = 1, tolerant: bool = False
 ) -> DataFrame:
-    """Non-empty trimmed lines with an arrival number ``seq``.
+    """Non-empty trimmed lines with their place ``seq`` in the order of arrival.
 
-    Releases are ranked in arrival order (1..255); rows of a later release come after all rows of
-    an earlier one. ``tolerant`` (S3) reads what is readable and skips damaged or missing files.
+    Releases are ranked in arrival order; rows of a later release come after all rows of an earlier one. ``tolerant`` (S3) reads what is readable and skips damaged or missing files.
     """
-    if not 0 <= release_rank < 256:
-        raise ValueError("release_rank must be within 0..255")
     reader = spark.read
     if tolerant:
         reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
@@ -48,6 +51,7 @@ def read_line_stream(
         F.lit(release_rank).alias("release_rank"),
         strip(F.col("value")).alias("line"),
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
     ).filter(F.length("line") > 0)
 
 

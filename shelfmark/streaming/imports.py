@@ -3,7 +3,8 @@
 Every micro-batch is parsed once and written to a staging folder named by its batch id, so a batch
 that runs again after a failure replaces its own output. The fold into the record table runs when the
 available input is staged: one rewrite of the table, however many micro-batches there were. This gives
-the same rows as folding batch by batch, because a stored row carries the state of the fold.
+the same rows as folding batch by batch, because a stored row carries the state of the fold. Lines arrive in the
+order of release, file and place in the file, whichever micro-batch brought them.
 
 Folders below ``base``: ``staged/release=R/batch=N`` (all parsed rows), ``records/version=V`` and
 ``seen/version=V`` (merged rows and the record references merged so far), ``commits/version=V`` (one
@@ -13,7 +14,7 @@ row, written last: a version counts when its commit is there).
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,30 +22,16 @@ from shelfmark.operators.discards import ABORT_RATE, check_error_rate
 from shelfmark.operators.merge import HOT_ROWS
 from shelfmark.operators.records import quality_score, with_derived
 from shelfmark.operators.tables import once_per_record, unseen, upsert_merge
+from shelfmark.operators.workspace import written
 from shelfmark.sources.adapters import AdapterSettings, adapt
-from shelfmark.sources.jsonl import read_line_stream
-
-_BATCHES, _PARTITIONS, _ROWS = 1 << 16, 1 << 14, 1 << 26
-
-
-def arrival_number(release_rank: int, batch_id: int) -> Column:
-    """Arrival order over releases, micro-batches, partitions and rows as one LONG."""
-    if not (0 < release_rank < 128 and 0 <= batch_id < _BATCHES):
-        raise ValueError("release_rank must be within 1..127 and batch_id below 65536")
-    scan = F.monotonically_increasing_id()
-    part, row = F.shiftright(scan, 33), scan.bitwiseAND((1 << 33) - 1)
-    base = (release_rank * _BATCHES + batch_id) * _PARTITIONS
-    fits = (part < _PARTITIONS) & (row < _ROWS)
-    return F.when(fits, (F.lit(base) + part) * _ROWS + row).otherwise(
-        F.raise_error(F.lit("micro-batch too large, lower maxFilesPerTrigger")).cast("long")
-    )
-
+from shelfmark.sources.jsonl import arrival, read_line_stream
 
 def _stage(
     batch: DataFrame, batch_id: int, base: str, collection: str, release_rank: int,
     settings: AdapterSettings, abort_rate: float,
 ) -> None:
-    lines = batch.select(arrival_number(release_rank, batch_id).alias("seq"), "line", "file")
+    seq = arrival(release_rank, F.col("file"), F.col("block"))
+    lines = batch.select(seq.alias("seq"), "line", "file")
     parsed = adapt(lines, collection, settings).withColumn("quality_score", quality_score())
     seen = Observation("import")
     is_ = lambda o: F.count_if(F.col("outcome") == o).alias(o)
@@ -124,7 +111,7 @@ def fold_staged(
     the same payload again changes nothing.
     """
     check_error_rate(staged_counters(spark, base, release_rank).first(), abort_rate)
-    rows = once_per_record(staged(spark, base, release_rank).filter(F.col("outcome") == "kept"))
+    rows = written(once_per_record(staged(spark, base, release_rank).filter(F.col("outcome") == "kept")), "fresh")
     version = _latest_version(spark, base)
     following = 0 if version is None else version + 1
     if version is None:
@@ -133,7 +120,7 @@ def fold_staged(
     else:
         stored = spark.read.parquet(f"{base}/records/version={version}")
         before = spark.read.parquet(f"{base}/seen/version={version}")
-        fresh = unseen(rows, before)
+        fresh = written(unseen(rows, before), "fresh")
     merged = with_derived(upsert_merge(stored, fresh, hot_rows=hot_rows), score=False)
     merged.write.mode("overwrite").parquet(f"{base}/records/version={following}")
     named = fresh.select("md5", "aacid").filter(F.col("aacid").isNotNull()).distinct()
