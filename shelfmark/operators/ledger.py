@@ -139,3 +139,9 @@ def release_summary(ledger: DataFrame, as_of: Column) -> DataFrame:
             "completed": clock_text(F.col("completed_at")),
         }
     )
+
+
+def with_releases(stats: DataFrame, releases: DataFrame) -> DataFrame:
+    """Statistics of releases with their identifier and when they were discovered; those of no release are left out."""
+    named = releases.select("release_id", "release_identifier", "discovered_at")
+    return stats.join(named, "release_id")

@@ -14,6 +14,8 @@ from shelfmark.operators.text_index import match
 from shelfmark.operators.workspace import written
 
 PAGE_SIZE = 20
+# Bounds of a request.
+PAGE_SIZES, YEARS, POSITIONS = (1, 100), (1000, 2100), (1, 9999)
 
 # Criteria of a raw query table; columns that are absent count as not asked.
 RAW_CRITERIA: dict[str, str] = {
@@ -58,8 +60,14 @@ def prepare_queries(raw: DataFrame) -> DataFrame:
         something = something | f
     isbn13, isbn10 = normalize_isbn13(F.col("isbn")), normalize_isbn10(F.col("isbn"))
     no_isbn = (F.col("isbn") != "") & isbn13.isNull() & isbn10.isNull()
+    outside = lambda name, bounds: ~F.col(name).between(*bounds)  # noqa: E731  null when it is not asked
+    wordless = (F.trim("q") != "") & (F.size(_words(F.col("q"))) == 0)
     reason = (
         F.when(~something, "no criterion")
+        .when(wordless, "q without a word")
+        .when(outside("page_size", PAGE_SIZES), "invalid page_size")
+        .when(outside("year_from", YEARS) | outside("year_to", YEARS), "invalid year")
+        .when(outside("series_position", POSITIONS), "invalid series_position")
         .when(F.col("year_from") > F.col("year_to"), "year_from after year_to")
         .when(no_isbn, "invalid isbn")
         .when((F.col("doi") != "") & normalize_doi(F.col("doi")).isNull(), "invalid doi")
@@ -193,6 +201,7 @@ def identifiers(records: DataFrame, key: str = "md5") -> DataFrame:
         pairs("isbn", F.array_distinct(F.concat("isbn13", "isbn10"))),
         pairs("doi", F.array_distinct("doi")),
         pairs("author", F.col("author_tokens")),
+        pairs("publisher", F.col("publisher_tokens")),
         pairs("title", distinct_tokens(F.col("title_norm"))),
         pairs("series", F.col("series_tokens")),
         pairs("position", single(F.col("series_position"))),
@@ -203,9 +212,13 @@ def identifiers(records: DataFrame, key: str = "md5") -> DataFrame:
     return records.select(key, F.explode(entries).alias("e")).select("e.kind", "e.value", key)
 
 
-def _entry_points(q: DataFrame) -> DataFrame:
+# Kinds of lookup values in which the beginnings of a title query are looked for.
+TITLE_KINDS, ALL_KINDS = ("title",), ("title", "author", "publisher")
+
+
+def _entry_points(q: DataFrame, all_fields: bool = False) -> DataFrame:
     """Where a query without text terms starts: its most selective criterion as
-    (query_id, kind, value, by_prefix); a query may have several values of one kind."""
+    (query_id, kind, value, by_prefix); a query may have several values and kinds."""
 
     def values(kind: str, vals: Column, by_prefix: bool = False) -> Column:
         return F.transform(
@@ -223,7 +236,12 @@ def _entry_points(q: DataFrame) -> DataFrame:
         F.when(F.size("isbns") > 0, values("isbn", F.col("isbns")))
         .when(F.col("doi").isNotNull(), values("doi", F.array("doi")))
         .when(F.size("author_tokens") > 0, values("author", F.slice("author_tokens", 1, 1)))
-        .when(F.size("title_prefixes") > 0, values("title", F.slice("title_prefixes", 1, 1), True))
+        .when(
+            F.size("title_prefixes") > 0,
+            F.concat(
+                *(values(k, F.slice("title_prefixes", 1, 1), True) for k in (ALL_KINDS if all_fields else TITLE_KINDS))
+            ),
+        )
         .when(F.size("series_prefixes") > 0, values("series", F.slice("series_prefixes", 1, 1), True))
         .when(
             F.col("series_position").isNotNull(),
@@ -239,15 +257,18 @@ def _entry_points(q: DataFrame) -> DataFrame:
 
 
 def _expand_prefixes(points: DataFrame, ids: DataFrame) -> DataFrame:
-    """Prefix entry points become the indexed words that start with them: an equi-join on the
-    prefixes of the distinct words."""
-    words = ids.filter(F.col("kind").isin("title", "series")).select("kind", "value").distinct()
-    prefixes = words.select(
+    """Prefix entry points become the indexed words that start with them: an equi-join on the beginnings of
+    the distinct words, cut to the lengths that are asked for."""
+    asked = points.filter("by_prefix").select("kind", "value", F.length("value").alias("n"))
+    # one row for each kind and length asked: at most the length of the longest word of a query
+    lengths = asked.groupBy("kind").agg(F.collect_set("n").alias("lengths"))
+    words = ids.filter(F.col("kind").isin(*ALL_KINDS, "series")).select("kind", "value").distinct()
+    prefixes = words.join(lengths, "kind").select(
         "kind",
         F.col("value").alias("word"),
         F.explode(
             F.transform(
-                F.sequence(F.lit(1), F.length("value")),
+                F.filter("lengths", lambda n: n <= F.length("value")),
                 lambda n: F.substr(F.col("value"), F.lit(1), n),
             )
         ).alias("value"),
@@ -259,9 +280,9 @@ def _expand_prefixes(points: DataFrame, ids: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _looked_up(records: DataFrame, index: DataFrame, q: DataFrame) -> DataFrame:
+def _looked_up(records: DataFrame, index: DataFrame, q: DataFrame, all_fields: bool = False) -> DataFrame:
     """(query_id, md5) of queries without text terms, from their entry points."""
-    ids, points = identifiers(records), _entry_points(q)
+    ids, points = identifiers(records), _entry_points(q, all_fields)
     by_prefix, excludes = q.agg(
         F.max((F.size("title_prefixes") > 0) | (F.size("series_prefixes") > 0)),
         F.max(F.size("exclude") > 0),
@@ -294,7 +315,7 @@ def candidates(
     if has_text or not has_plain:
         hits = match(index, valid.filter(textual))
     if has_plain:
-        looked_up = _looked_up(records, index, valid.filter(~textual)).withColumn("rank", F.lit(0.0))
+        looked_up = _looked_up(records, index, valid.filter(~textual), all_fields).withColumn("rank", F.lit(0.0))
         hits = looked_up if hits is None else hits.unionByName(looked_up)
     rows = (
         hits.alias("h")
@@ -307,14 +328,12 @@ def candidates(
 
 
 def with_edition_count(rows: DataFrame) -> DataFrame:
-    """W1 by a count joined back: it combines map-side, and rows without a work key are never
-    brought together."""
-    counts = (
-        rows.filter(F.col("work_key").isNotNull())
-        .groupBy("query_id", "work_key")
-        .agg(F.count("*").alias("edition_count"))
-    )
-    return rows.join(counts, ["query_id", "work_key"], "left")
+    """W1 by a count joined back: it combines map-side, and rows without a work key take no part in it."""
+    named = rows.filter(F.col("work_key").isNotNull())
+    counts = named.groupBy("query_id", "work_key").agg(F.count("*").alias("edition_count"))
+    counted = named.join(counts, ["query_id", "work_key"])
+    others = rows.filter(F.col("work_key").isNull()).withColumn("edition_count", F.lit(None).cast("long"))
+    return counted.unionByName(others)
 
 
 def after_key(rows: DataFrame, queries: DataFrame) -> DataFrame:
@@ -330,18 +349,18 @@ def after_key(rows: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def page(rows: DataFrame, queries: DataFrame, max_page_size: int = 100) -> DataFrame:
+def page(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """O1: one page per query in order of rank and key, with ``place`` from 1 and ``has_next``.
 
-    Page sizes are at most ``max_page_size``. That bound as a plain row-number limit lets every task
-    drop all but its own best rows before the shuffle, however many rows one query has.
+    The longest page asked for, as a plain row-number limit, lets every task drop all but its own best rows
+    before the shuffle, however many rows one query has.
     """
+    longest = queries.agg(F.max("page_size")).first()[0] or 0
     order = W.partitionBy("query_id").orderBy(F.desc("rank"), F.asc("md5"))
     best = rows.withColumn("place", F.row_number().over(order)).filter(
-        F.col("place") <= max_page_size + 1
+        F.col("place") <= longest + 1
     )
-    sizes = queries.select("query_id", F.least("page_size", F.lit(max_page_size)).alias("page_size"))
-    best = best.join(sizes, "query_id").filter(F.col("place") <= F.col("page_size") + 1)
+    best = best.join(queries.select("query_id", "page_size"), "query_id").filter(F.col("place") <= F.col("page_size") + 1)
     size = F.max("place").over(W.partitionBy("query_id"))
     return (
         best.withColumn("has_next", size > F.col("page_size"))
@@ -362,7 +381,8 @@ def next_keys(pages: DataFrame) -> DataFrame:
 def search(
     records: DataFrame, index: DataFrame, raw_queries: DataFrame, all_fields: bool = False
 ) -> DataFrame:
-    """A page of results for every row of a query table."""
-    queries = written(prepare_queries(raw_queries), "queries")
+    """A page of results for every row of a query table; a query that is not valid has none."""
+    prepared = written(prepare_queries(raw_queries), "queries")
+    queries = prepared.filter(F.col("invalid_reason").isNull())
     rows = candidates(records, index, queries, all_fields)
     return page(after_key(rows, queries), queries).join(records.drop("work_key"), "md5")

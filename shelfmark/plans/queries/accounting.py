@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators import discards, ledger, tables
+from shelfmark.operators.workspace import new_dir
 from shelfmark.plans import reports
 from shelfmark.plans.queries.registry import joined, query, table, utc
 from shelfmark.streaming.buckets import performance_buckets
@@ -399,16 +400,13 @@ def filter_impact(spark: SparkSession, folder: str) -> DataFrame:
     counted = docs.groupBy("lang", F.concat(F.lit(reports.BLOCKED), "source").alias("reason")).agg(
         F.count("*").alias("n")
     )
-    counted = counted.join(dates, "lang").select(
-        F.col("lang").alias("release_id"), F.col("lang").alias("release_identifier"), "discovered_at",
-        "reason", "n",
+    releases = dates.select(
+        F.col("lang").alias("release_id"), F.col("lang").alias("release_identifier"), "discovered_at"
     )
+    counted = ledger.with_releases(counted.withColumnRenamed("lang", "release_id"), releases)
     toxic = docs.join(labels.filter("toxic = 1"), "doc_id")
     recomputed = toxic.groupBy("lang", F.col("source").alias("subcollection")).agg(F.count("*").alias("n"))
-    recomputed = recomputed.join(dates, "lang").select(
-        F.col("lang").alias("release_id"), F.col("lang").alias("release_identifier"), "discovered_at",
-        "subcollection", "n",
-    )
+    recomputed = ledger.with_releases(recomputed.withColumnRenamed("lang", "release_id"), releases)
     filtered = reports.recomputed_replaces(reports.counted_filters(counted), recomputed)
     return reports.filter_impact(*_filters(spark, folder), filtered, 512.0)
 
@@ -539,3 +537,23 @@ select source, count(*) as n from documents where source not in ('src1', 'src3',
 def purge_strays(spark: SparkSession, folder: str) -> DataFrame:
     """What a purge has to remove."""
     return tables.strays(table(spark, folder, "documents"), ["src1", "src3", "src5", "src7"], "source")
+
+
+@query("""
+select doc_id, case when source <> 'src9' then source end as source,
+  case when source in ('src1', 'src3', 'src5', 'src7', 'src9') then 'kept' else 'backup' end as place from documents""")
+def purge_backup(spark: SparkSession, folder: str) -> DataFrame:
+    """A purge with its backup; documents of one source are of no collection and stay."""
+    docs = table(spark, folder, "documents").select("doc_id", F.nullif("source", F.lit("src9")).alias("source"))
+    backup, target = new_dir(spark, "backup"), new_dir(spark, "kept")
+    tables.purge({"documents": (docs, "source")}, ["src1", "src3", "src5", "src7"], backup, target)
+    places = [spark.read.parquet(f"{d}/documents").withColumn("place", F.lit(n)) for d, n in ((target, "kept"), (backup, "backup"))]
+    return places[0].unionByName(places[1])
+
+
+@query("select 'lineitem' as name, count(*) as n from lineitem union all select 'documents', count(*) from documents")
+def table_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of whole tables within a time."""
+    names = ["lineitem", "documents"]
+    counts = [(n, reports.counted_within(table(spark, folder, n), 600)) for n in names]
+    return spark.createDataFrame(counts, "name string, n long")

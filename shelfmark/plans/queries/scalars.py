@@ -124,7 +124,7 @@ def isbn_validate(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.substring(body, 1, 1), F.lit("‐"), F.substring(body, 2, 9)).alias("b"),
         F.concat(F.lpad(key, 9, "0"), F.lit("-x")).alias("x"),
     )
-    every = F.array("a", "b", F.lit("B0B6HNHVV9"), "x", "a")
+    every = F.array("a", "b", F.lit("B0SHELFMRK"), "x", "a")
     listed = identifiers.isbn13_list(every)
     return df.select(
         "o_orderkey",

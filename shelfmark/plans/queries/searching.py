@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.fields import normalize_year
@@ -23,7 +23,7 @@ from shelfmark.operators.search import (
 )
 from shelfmark.operators.text_index import match, write_index
 from shelfmark.operators.workspace import new_dir, written
-from shelfmark.plans.imports import index_records
+from shelfmark.plans.imports import index_records, refreshed_index
 from shelfmark.plans.queries.registry import query, spread, sql_norm, sql_words, table
 
 
@@ -116,21 +116,15 @@ index_docs as (
 
 
 @query(f"""with {_RECORDS}
-select md5, copies, quality_score, deleted, work_key, left(best_source, 3) as kind from records
-order by copies desc, md5 limit 100""")
+select md5, copies, quality_score, deleted, work_key, collection from records""")
 def top_copied_records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents merged by their text, the most copied first."""
     versions = document_versions(spark, folder)
     copies = versions.groupBy("md5").agg(F.count("*").alias("copies"))
     merged = catalogue(spark, folder).join(copies, "md5")
-    return (
-        merged.select(
-            "md5", "copies", "quality_score", "deleted", "work_key",
-            F.substring("source_collection", 1, 3).alias("kind"),
-        )
-        .orderBy(F.desc("copies"), "md5")
-        .limit(100)
-    )
+    return merged.select(
+        "md5", "copies", "quality_score", "deleted", "work_key", F.col("source_collection").alias("collection")
+    ).orderBy(F.desc("copies"), "md5")
 
 
 @query(f"""with {_RECORDS}
@@ -161,15 +155,27 @@ def index_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def passages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), normalize_text(F.col("text")).alias("norm"), "text"
+@query(f"""with {_RECORDS}
+select token, count(*) as n_docs, sum(n)::bigint as n_places from (
+  select md5, token, count(*) as n from words group by all
+  union all select md5, unnest(sources), 1 from live
+  union all select md5, 'press', 1 from live
+  union all select md5, best_lang, 1 from live) group by token""".replace(
+    "select token, count(*) as n_docs", "select token, count(distinct md5) as n_docs"))
+def index_refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """L1: an index in which half of the records had another title, brought up to date, is that of all records."""
+    records = written(catalogue(spark, folder), "records")
+    changed = F.col("md5") < "8"
+    before = records.withColumn("title_norm", F.when(changed, "a former title").otherwise(F.col("title_norm")))
+    index = refreshed_index(index_records(before), records.filter(changed))
+    return index.groupBy("token").agg(
+        F.count("*").alias("n_docs"), F.sum(F.size("places")).cast("long").alias("n_places")
     )
 
 
-def _long_words(at_least: int, at_most: int = 1000) -> Column:
-    return F.filter(
-        F.array_distinct(tokens(F.col("norm"))), lambda t: F.length(t).between(at_least, at_most)
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("query_id"), normalize_text(F.col("text")).alias("norm"), "text"
     )
 
 
@@ -200,14 +206,19 @@ def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
     return match(index, queries).select("query_id", "md5")
 
 
-@query(f"""with {_RECORDS}, {_PASSAGES},
-hit as (select distinct query_id, md5 from q_words join index_docs using (token) where length(token) >= 9),
-barred as (select distinct query_id, md5 from q_words join index_docs using (token) where length(token) = 5)
+@query(f"""with {_RECORDS},
+asked as (select n_name as query_id, 'src' || n_nationkey % 20 as a, 'src' || n_regionkey * 3 as b,
+            ['en', 'de', 'fr', 'es', 'das'][n_regionkey + 1] as c from nation),
+hit as (select distinct query_id, md5 from asked join index_docs on token in (a, b)),
+barred as (select distinct query_id, md5 from asked join index_docs on token = c)
 select query_id, md5 from hit except select query_id, md5 from barred""")
 def search_any_but_not(spark: SparkSession, folder: str) -> DataFrame:
-    """one of the long words of a passage and none of its five-letter words."""
-    queries = passages(spark, folder).select(
-        "query_id", _long_words(9).alias("any_of"), _long_words(5, 5).alias("exclude")
+    """one of two words and not a third, by a table of such queries."""
+    region = F.col("n_regionkey").cast("int")
+    queries = table(spark, folder, "nation").select(
+        F.col("n_name").alias("query_id"),
+        F.array(F.concat(F.lit("src"), F.col("n_nationkey") % 20), F.concat(F.lit("src"), region * 3)).alias("any_of"),
+        F.array(F.get(F.array(*map(F.lit, ("en", "de", "fr", "es", "das"))), region)).alias("exclude"),
     )
     _, index = stored_catalogue(spark, folder)
     return match(index, queries).select("query_id", "md5")
@@ -217,8 +228,7 @@ _RANKED = f"""{_RECORDS},
 q_terms as (
   select query_id, token, row_number() over (partition by query_id order by token) as t,
          count(*) over (partition by query_id) as k
-  from (select distinct item_id as query_id, unnest({sql_words(sql_norm('text'))}) as token from benchmark)
-  where length(token) = 4),
+  from (select distinct item_id as query_id, unnest({sql_words(sql_norm('text'))}) as token from benchmark)),
 marks as (select q.query_id, w.md5, q.t, q.k, w.pos, w.w from q_terms q join words w using (token)),
 whole as (select query_id, md5 from marks group by query_id, md5, k having count(distinct t) = k),
 events as (select m.* from marks m join whole using (query_id, md5)),
@@ -246,14 +256,12 @@ placed as (
 
 
 def _ranked_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """The four-letter words of each passage as query text."""
-    return passages(spark, folder).select(
-        "query_id", F.nullif(F.concat_ws(" ", _long_words(4, 4)), F.lit("")).alias("q")
-    )
+    """Each whole passage as query text, in pages of one record."""
+    return passages(spark, folder).select("query_id", F.col("text").alias("q"), F.lit(1).alias("page_size"))
 
 
 @query(f"""with {_RANKED}
-select query_id, md5, rank, edition_count, place, total > 20 as has_next from placed where place <= 20""")
+select query_id, md5, rank, edition_count, place, total > 1 as has_next from placed where place <= 1""")
 def search_ranked_page(spark: SparkSession, folder: str) -> DataFrame:
     """The first page of every query."""
     records, index = stored_catalogue(spark, folder)
@@ -262,8 +270,7 @@ def search_ranked_page(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with {_RANKED}
-select query_id, md5, rank, place - 20 as place, total > 40 as has_next from placed
-where place between 21 and 40""")
+select query_id, md5, rank, place - 1 as place, total > 2 as has_next from placed where place = 2""")
 def search_next_page(spark: SparkSession, folder: str) -> DataFrame:
     """O2/O3: the page after the first, found from the last key of the first."""
     records, index = stored_catalogue(spark, folder)
@@ -306,7 +313,7 @@ def search_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with {_RECORDS}, {_PASSAGES},
-starts as (select distinct query_id, left(token, 6) as p from q_words where length(token) >= 9),
+starts as (select distinct query_id, token as p from q_words),
 k as (select query_id, count(*) as k from starts group by 1),
 vocabulary as (select distinct token from words),
 expanded as (select query_id, p, token from starts join vocabulary on starts_with(token, p)),
@@ -315,15 +322,33 @@ whole as (select query_id, md5 from hits join k using (query_id) group by query_
 placed as (select *, row_number() over (partition by query_id order by md5) as place from whole)
 select query_id, md5, place from placed where place <= 100""")
 def search_prefix(spark: SparkSession, folder: str) -> DataFrame:
-    """titles in which every beginning of the long words of a passage occurs."""
-    starts = F.transform(_long_words(9), lambda t: F.substring(t, 1, 6))
-    queries = passages(spark, folder).select(
-        "query_id", F.nullif(F.concat_ws(" ", starts), F.lit("")).alias("title"), F.lit(100).alias("page_size")
-    )
+    """titles in which every word of a passage begins a word."""
+    queries = passages(spark, folder).select("query_id", F.col("text").alias("title"), F.lit(100).alias("page_size"))
     records, index = stored_catalogue(spark, folder)
     return search(records, index, queries).select("query_id", "md5", "place")
 
 
+@query(f"""with {_RECORDS},
+asked as (select distinct source, lang from documents),
+starts as (select source, lang, unnest([source, lang, 'pre']) as p from asked),
+every as (select md5, token from index_docs),
+expanded as (select distinct source, lang, p, token from starts
+             join (select distinct token from every) v on starts_with(token, p)),
+hits as (select distinct source, lang, p, md5 from expanded join every using (token)),
+whole as (select source, lang, md5 from hits group by all having count(*) = 3)
+select source || '/' || lang || '/' || n as query_id, md5 from whole, (select unnest([0, 1]) as n)""")
+def search_prefix_all_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """F12 over title, authors and publisher: beginnings that only an author or publisher has, in either order."""
+    pairs = table(spark, folder, "documents").select("source", "lang").distinct()
+    orders = F.array(F.concat_ws(" ", "source", F.lit("pre"), "lang"), F.concat_ws(" ", "lang", F.lit("pre"), "source"))
+    raw = pairs.select("source", "lang", F.posexplode(orders).alias("n", "title")).select(
+        F.concat_ws("/", "source", "lang", "n").alias("query_id"), "title"
+    )
+    records, index = stored_catalogue(spark, folder)
+    queries = written(prepare_queries(raw), "queries")
+    return candidates(records, index, queries, all_fields=True).select("query_id", "md5")
+
+
 @query(f"""with {_RECORDS}
 select md5, ext as extension, n_chars as filesize from live
 where list_contains(sources, 'src3') and ext = 'epub'""")
@@ -336,6 +361,10 @@ def record_filter_single(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 select o_orderkey as query_id, case
     when o_orderstatus = 'P' and o_orderpriority = '5-LOW' then 'no criterion'
+    when o_orderkey % 7 = 3 then 'q without a word'
+    when o_orderkey % 7 = 4 then 'invalid page_size'
+    when o_orderkey % 7 = 5 then 'invalid year'
+    when o_orderkey % 7 = 6 then 'invalid series_position'
     when o_orderpriority = '1-URGENT' then 'year_from after year_to'
     when o_orderpriority = '2-HIGH' then 'invalid isbn'
     when o_orderpriority = '3-MEDIUM' then 'invalid doi'
@@ -344,18 +373,20 @@ select o_orderkey as query_id, case
 from orders""")
 def query_validation(spark: SparkSession, folder: str) -> DataFrame:
     """F16: orders as search requests with one mistake or none."""
-    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    p, s, k = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey") % 7
     empty = (s == "P") & (p == "5-LOW")
     bad = p.isin("1-URGENT", "2-HIGH", "3-MEDIUM")
     raw = spread(table(spark, folder, "orders")).select(
         F.col("o_orderkey").alias("query_id"),
-        F.when(~empty, F.lit("some words")).alias("q"),
-        F.when(p == "1-URGENT", F.lit(2001)).alias("year_from"),
+        F.when(~empty & (k == 3), F.lit("?! -- ...")).when(~empty, F.lit("some words")).alias("q"),
+        F.when(k == 4, F.when(F.col("o_custkey") % 2 == 0, 0).otherwise(101)).alias("page_size"),
+        F.when(~empty & (k == 6), F.lit(10_000)).alias("series_position"),
+        F.when(~empty & (k == 5), F.lit(999)).when(p == "1-URGENT", F.lit(2001)).alias("year_from"),
         F.when(p == "1-URGENT", F.lit(2000)).alias("year_to"),
-        F.when(p == "2-HIGH", F.lit("978-0")).when(~empty, F.lit("0-306-40615-2")).alias("isbn"),
-        F.when(p == "3-MEDIUM", F.lit("11.1/x")).when(~empty, F.lit("doi:10.1000/182")).alias("doi"),
-        F.when(~bad & ~empty & (s == "O"), F.lit("unknownlanguage")).alias("language"),
-        F.when(~bad & ~empty & (s == "F"), F.lit("p df!")).alias("extension"),
+        F.when(p == "2-HIGH", F.lit("978-0")).when(~empty, F.lit("1-234-56789-X")).alias("isbn"),
+        F.when(p == "3-MEDIUM", F.lit("11.1/x")).when(~empty, F.lit("doi:10.55555/abc")).alias("doi"),
+        F.when(~bad & ~empty & (s == "O"), F.lit("klingonish")).alias("language"),
+        F.when(~bad & ~empty & (s == "F"), F.lit("e pub?")).alias("extension"),
     )
     return prepare_queries(raw).select("query_id", "invalid_reason")
 
@@ -363,6 +394,8 @@ def query_validation(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with {_RECORDS}
 select 'isbn' as kind, 0 as n_values, 0 as n_rows where false
 union all select 'author', count(distinct s), count(*) from (select unnest(sources) as s from records)
+union all select 'publisher', count(distinct p), count(*) from (
+  select unnest(['press', best_lang]) as p from records)
 union all select 'title', count(distinct token), count(*) from (
   select distinct md5, unnest({sql_words(sql_norm('text'))}) as token from records)
 union all select 'doi', count(distinct d), count(*) from (
