@@ -63,6 +63,7 @@ def main(argv):
     names = argv[1:] or list(QUERIES)
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g").getOrCreate()
     )

@@ -1,4 +1,4 @@
-"""Search over a small corpus against brute force, paging and lookups."""
+"""Search over a random catalogue against brute force, paging and lookups."""
 
 import random
 
@@ -11,28 +11,82 @@ from shelfmark.operators.search import next_keys, page, prepare_queries, search
 from shelfmark.operators.text_index import build_index, match
 from shelfmark.plans.imports import index_records
 
-BOOKS = [
-    ("b", "Der Wald im Winter", ["J. R. Ahorn"], "Tannen Verlag", 2012, "deu", "epub", "9783161484100", "Wälder", 1, False),
-    ("c", "The Forest of Rings", ["J.R. Ahorn"], "Collins", 2005, "eng", "pdf", "9780306406157", "Forest Cycle", 2, False),
-    ("d", "Capital: Žáček introduces Marx", ["Karl Marx", "S. Žáček"], "Forest Press", 2010, "eng", "epub", None, None, None, False),
-    ("e", "The annotated Wald", ["Ahorn, J.", "Anders, D."], "Mifflin", 2002, "eng", "pdf", "9780804429573", "Forest Cycle", 1, False),
-    ("f", "The annotated Wald", ["Ahorn, J.", "Anders, D."], "Mifflin", 2002, "eng", "epub", "9780804429573", None, None, False),
-    ("a", "Deleted forest", ["Nobody"], None, 2002, "eng", "epub", None, None, None, True),
-]
+RNG = random.Random(20)
+TITLE_WORDS = ["harbour", "harp", "mill", "milling", "granite", "lantern", "tide", "tidal", "öre", "ledger"]
+PEOPLE = ["Ines Tallow", "Bo Quarrel", "Ümit Serin", "Harper Mill", "Tide Lanternman"]
+PRESSES = ["Quay & Sons", "Granite House", "Tidal Press", None]
+
+
+def ean(stem):
+    return stem + str(-sum(int(c) * (1, 3)[i % 2] for i, c in enumerate(stem)) % 10)
+
+
+def a_book(n):
+    return {
+        "md5": f"{n:032x}",
+        "title": " ".join(RNG.choices(TITLE_WORDS, k=RNG.randrange(1, 5))),
+        "authors": RNG.sample(PEOPLE, RNG.randrange(1, 3)),
+        "publisher": RNG.choice(PRESSES),
+        "year": RNG.choice([None, *range(1950, 1956)]),
+        "language": RNG.choice(["deu", "eng", "swe"]),
+        "extension": RNG.choice(["djvu", "mobi", "txt"]),
+        "isbn": RNG.choice([None, ean(f"97900{RNG.randrange(4):07d}")]),
+        "series": RNG.choice([None, "Harbour Lights", "Tidal Notes"]),
+        "position": RNG.choice([None, 1, 2, 3]),
+        "deleted": RNG.random() < 0.15,
+    }
+
+
+BOOKS = [a_book(n) for n in range(70)]
+
+
+def words(text):
+    return (text or "").lower().replace("ö", "o").replace("ü", "u").replace("&", " ").split()
+
+
+def fields_of(book):
+    people = [w for a in book["authors"] for w in words(a)]
+    return words(book["title"]), people, words(book["publisher"])
+
+
+def fits(book, c, all_fields=False):
+    """The criteria by definition."""
+    title, people, press = fields_of(book)
+    every = title + people + press
+    starts = lambda prefixes, among: all(any(w.startswith(p) for w in among) for p in words(prefixes))
+    run = words(c.get("phrase"))
+    in_a_row = any(every[i : i + len(run)] == run for i in range(len(every)))  # fields follow each other
+    return (
+        not book["deleted"]
+        and set(words(c.get("q"))) <= set(every)
+        and (not run or in_a_row)
+        and (not c.get("any_of") or bool(set(words(c["any_of"])) & set(every)))
+        and not set(words(c.get("exclude"))) & set(every)
+        and set(words(c.get("author"))) <= set(people)
+        and starts(c.get("title"), every if all_fields else title)
+        and starts(c.get("series"), words(book["series"]))
+        and c.get("isbn") in (None, book["isbn"])
+        and ("language" not in c or c["language"] == book["language"])
+        and ("extension" not in c or c["extension"].lower() == book["extension"])
+        and c.get("series_position") in (None, book["position"])
+        and ("year_from" not in c or (book["year"] or 0) >= c["year_from"])
+        and ("year_to" not in c or (book["year"] or 9999) <= c["year_to"])
+    )
 
 
 @pytest.fixture(scope="module")
 def records(spark):
     df = spark.createDataFrame(
-        [(k * 32, *rest) for k, *rest in BOOKS],
-        "md5 string, t string, a array<string>, p string, y int, l string, x string, i string, s string, n int, d boolean",
+        [tuple(b.values()) for b in BOOKS],
+        "md5 string, title string, authors array<string>, publisher string, year int, language string,"
+        " extension string, isbn string, series string, position int, deleted boolean",
     )
     c = F.col
     rows = df.select(*record_columns(
-        md5=c("md5"), title=c("t"), authors=c("a"), publisher=c("p"), publication_year=c("y"),
-        languages=F.array("l"), extension=c("x"), isbn13=F.filter(F.array("i"), lambda v: v.isNotNull()),
-        series_name=c("s"), series_position=c("n"), deleted=c("d"), source_collection=F.lit("zlib3_records"),
-        source_record_id=F.substring("md5", 1, 1),
+        md5=c("md5"), title=c("title"), authors=c("authors"), publisher=c("publisher"), publication_year=c("year"),
+        languages=F.array("language"), extension=c("extension"), isbn13=F.filter(F.array("isbn"), lambda v: v.isNotNull()),
+        series_name=c("series"), series_position=c("position"), deleted=c("deleted"),
+        source_collection=F.lit("libby_records"), source_record_id=F.right("md5", F.lit(2)),
     ))
     out = with_derived(rows.withColumn("quality_score", quality_score()), score=False).cache()
     assert set(RECORD_TYPES) <= set(out.columns)
@@ -44,85 +98,93 @@ def index(records):
     return index_records(records).cache()
 
 
-def run(spark, records, index, **criteria):
-    kinds = {str: "string", int: "int", float: "double"}
-    schema = "query_id string, " + ", ".join(f"{k} {kinds[type(v)]}" for k, v in criteria.items())
-    queries = spark.createDataFrame([("q", *criteria.values())], schema)
-    rows = search(records, index, queries).orderBy("place").collect()
-    return [r["md5"][0] for r in rows]
-
-
-@pytest.mark.parametrize(
-    ("criteria", "expected"),
-    [
-        ({"q": "wald"}, {"b", "e", "f"}),
-        ({"q": "ŽÁČEK marx"}, {"d"}),
-        ({"q": "nothing-here"}, set()),
-        ({"q": "forest"}, {"c", "d"}),
-        ({"phrase": "annotated wald"}, {"e", "f"}),
-        ({"phrase": "wald annotated"}, set()),
-        ({"any_of": "winter rings"}, {"b", "c"}),
-        ({"q": "the", "exclude": "wald"}, {"c"}),
-        ({"author": "ahorn"}, {"b", "c", "e", "f"}),
-        ({"author": "ahorn anders"}, {"e", "f"}),
-        ({"author": "ahorn", "exclude": "annotated"}, {"b", "c"}),
-        ({"language": "de"}, {"b"}),
-        ({"extension": "EPUB"}, {"b", "d", "f"}),
-        ({"year_from": 2010}, {"b", "d"}),
-        ({"year_from": 2005, "year_to": 2010}, {"c", "d"}),
-        ({"q": "forest", "language": "en", "extension": "pdf"}, {"c"}),
-        ({"isbn": "978-3-16-148410-0"}, {"b"}),
-        ({"isbn": "0-306-40615-2"}, {"c"}),
-        ({"title": "anno wa"}, {"e", "f"}),
-        ({"series": "fore cy"}, {"c", "e"}),
-        ({"series": "walder"}, {"b"}),
-        ({"series_position": 1}, {"b", "e"}),
-        ({"isbn": "nope!"}, set()),
-        ({"language": "unknownlanguage"}, set()),
-    ],
-)
-def test_criteria(spark, records, index, criteria, expected):
-    got = run(spark, records, index, **criteria)
-    assert set(got) == expected and len(got) == len(expected)
-
-
-def test_title_outranks_publisher(spark, records, index):
-    assert run(spark, records, index, q="forest") == ["c", "d"]
-
-
-def test_pages_neither_repeat_nor_miss(spark, records, index):
-    seen, after = [], None
-    for _ in range(10):
-        given = {"after_rank": after[0], "after_md5": after[1]} if after else {}
-        queries = spark.createDataFrame(
-            [("q", "ahorn", 2, *given.values())],
-            "query_id string, author string, page_size int"
-            + (", after_rank double, after_md5 string" if given else ""),
-        )
-        rows = search(records, index, queries).cache()
-        seen += [r["md5"][0] for r in rows.orderBy("place").collect()]
+KINDS = {
+    "q": "string", "phrase": "string", "any_of": "string", "exclude": "string", "title": "string", "author": "string",
+    "isbn": "string", "language": "string", "series": "string", "series_position": "int", "extension": "string",
+    "year_from": "int", "year_to": "int", "page_size": "int", "after_rank": "double", "after_md5": "string",
+}
+
+
+def asked(spark, queries):
+    rows = [(name, *(c.get(k) for k in KINDS)) for name, c in queries.items()]
+    return spark.createDataFrame(rows, "query_id string, " + ", ".join(f"{k} {t}" for k, t in KINDS.items()))
+
+
+def random_criteria():
+    makers = {
+        "q": lambda: " ".join(RNG.sample(TITLE_WORDS + ["quarrel", "press"], RNG.randrange(1, 3))),
+        "phrase": lambda: " ".join(RNG.choices(TITLE_WORDS, k=2)),
+        "any_of": lambda: " ".join(RNG.sample(TITLE_WORDS, 3)),
+        "author": lambda: RNG.choice(["tallow", "serin umit", "bo", "mill harper"]),
+        "title": lambda: " ".join(RNG.sample(["har", "mi", "ti", "l", "gran"], RNG.randrange(1, 3))),
+        "series": lambda: RNG.choice(["har li", "tid", "notes"]),
+        "isbn": lambda: RNG.choice(BOOKS)["isbn"],
+        "language": lambda: RNG.choice(["deu", "swe"]),
+        "extension": lambda: RNG.choice(["TXT", "mobi"]),
+        "series_position": lambda: RNG.randrange(1, 4),
+        "year_from": lambda: RNG.randrange(1950, 1954),
+        "year_to": lambda: RNG.randrange(1953, 1956),
+    }
+    chosen = RNG.sample(sorted(makers), RNG.randrange(1, 4))
+    out = {k: makers[k]() for k in chosen}
+    if RNG.random() < 0.3:
+        out["exclude"] = RNG.choice(TITLE_WORDS)
+    return {k: v for k, v in out.items() if v is not None and (k != "exclude" or len(out) > 1)}
+
+
+@pytest.mark.parametrize("all_fields", [False, True])
+def test_random_criteria(spark, records, index, all_fields):
+    queries = {f"q{n}": c for n in range(60) if (c := random_criteria()) and set(c) != {"exclude"}}
+    queries |= {"author first": {"title": "ser har"}, "press first": {"title": "quay ti"}, "only press": {"title": "hous"}}
+    sized = {n: c | {"page_size": 100} for n, c in queries.items()}
+    got = {n: set() for n in queries}
+    for r in search(records, index, asked(spark, sized), all_fields).collect():
+        assert r["md5"] not in got[r["query_id"]]
+        got[r["query_id"]].add(r["md5"])
+    for n, c in queries.items():
+        assert got[n] == {b["md5"] for b in BOOKS if fits(b, c, all_fields)}, (n, c)
+    assert sum(map(bool, got.values())) > 20
+
+
+def test_a_word_counts_most_in_the_title(spark, records, index):
+    """One hit each: a title word ranks before an author's, that before the publisher's."""
+    rows = search(records, index, asked(spark, {"q": {"q": "mill", "page_size": 100}})).orderBy("place").collect()
+    by_key = {b["md5"]: fields_of(b) for b in BOOKS}
+    where = [[f.count("mill") for f in by_key[r["md5"]]] for r in rows]
+    alone = [c.index(1) for c in where if sum(c) == 1]
+    assert alone == sorted(alone) and len(set(alone)) > 1
+
+
+@pytest.mark.parametrize("size", [1, 4, 7])
+def test_pages_add_up(spark, records, index, size):
+    given, seen = {"author": "tallow", "page_size": size}, []
+    while True:
+        rows = search(records, index, asked(spark, {"q": given})).cache()
+        seen += [r["md5"] for r in rows.orderBy("place").collect()]
         key = next_keys(rows).first()
         if key is None or key["after_md5"] is None:
             break
-        after = (key["after_rank"], key["after_md5"])
-    assert seen == ["b", "c", "e", "f"]
+        given |= {"after_rank": key["after_rank"], "after_md5": key["after_md5"]}
+    assert seen == sorted(b["md5"] for b in BOOKS if fits(b, {"author": "tallow"}))
 
 
-def test_edition_count(spark, records, index):
-    queries = spark.createDataFrame([("q", "the annotated")], "query_id string, q string")
-    rows = search(records, index, queries).collect()
-    assert [r["edition_count"] for r in rows] == [2, 2]
+def test_editions_are_counted_within_a_query(spark, records, index):
+    rows = search(records, index, asked(spark, {"q": {"language": "eng", "page_size": 100}})).collect()
+    works = {r["md5"]: r["work_key"] for r in records.collect()}
+    live = [works[b["md5"]] for b in BOOKS if fits(b, {"language": "eng"})]
+    assert len(rows) == len(live)
+    for r in rows:
+        key = works[r["md5"]]
+        assert r["edition_count"] == (live.count(key) if key else None)
 
 
-def test_page_marks_a_following_page(spark):
-    rows = spark.range(250).select(
-        F.lit("q").alias("query_id"), F.lit(0.5).alias("rank"), F.lpad(F.col("id").cast("string"), 5, "0").alias("md5")
-    )
-    queries = spark.createDataFrame([("q", 100)], "query_id string, page_size int")
-    got = page(rows, queries).orderBy("place").collect()
-    assert [r["md5"] for r in got] == [f"{i:05d}" for i in range(100)] and got[0]["has_next"]
-    few = page(rows.limit(100), queries).collect()
-    assert len(few) == 100 and not few[0]["has_next"]
+def test_page_is_as_long_as_asked(spark):
+    """Sizes beyond the bound of requests too, when the page is taken of rows directly."""
+    rows = spark.range(330).select(F.lit("q").alias("query_id"), F.lit(0.5).alias("rank"), F.format_string("%05d", "id").alias("md5"))
+    for size in (1, 150, 329, 330):
+        got = page(rows, spark.createDataFrame([("q", size)], "query_id string, page_size int")).orderBy("place").collect()
+        assert [r["md5"] for r in got] == [f"{i:05d}" for i in range(size)]
+        assert all(r["has_next"] == (size < 330) for r in got)
 
 
 def cover_rank(places, terms):
@@ -181,23 +243,43 @@ def test_match_and_rank_by_brute_force(spark):
         assert abs(got[k] - expected[k]) < 1e-8, (k, got[k], expected[k])
 
 
-def test_validation(spark):
-    raw = spark.createDataFrame(
-        [("1", "x", None, None), ("2", None, None, None), ("3", None, 2001, 2000), ("4", None, None, 2000)],
-        "query_id string, q string, year_from int, year_to int",
-    )
+INVALID = {
+    "no word": ({"q": "!!! --", "author": "bo"}, "q without a word"),
+    "page of none": ({"q": "mill", "page_size": 0}, "invalid page_size"),
+    "page too long": ({"q": "mill", "page_size": 101}, "invalid page_size"),
+    "year too early": ({"year_from": 999}, "invalid year"),
+    "year too late": ({"year_to": 2101}, "invalid year"),
+    "years turned": ({"year_from": 1990, "year_to": 1989}, "year_from after year_to"),
+    "position": ({"series_position": 10_000}, "invalid series_position"),
+    "isbn": ({"isbn": ean("979000000000")[:-1] + "x"}, "invalid isbn"),
+    "language": ({"language": "klingonish"}, "invalid language"),
+    "extension": ({"extension": "tar gz"}, "invalid extension"),
+    "only excluded": ({"exclude": "mill"}, "no criterion"),
+    "blank": ({"q": " ", "title": ""}, "no criterion"),
+    "bounds": ({"year_from": 1000, "year_to": 2100, "page_size": 100, "series_position": 9999}, None),
+    "single": ({"author": "bo", "page_size": 1}, None),
+}
+
+
+def test_validation(spark, records, index):
+    raw = asked(spark, {n: c for n, (c, _) in INVALID.items()})
     got = {r["query_id"]: r["invalid_reason"] for r in prepare_queries(raw).collect()}
-    assert got == {"1": None, "2": "no criterion", "3": "year_from after year_to", "4": None}
+    assert got == {n: reason for n, (_, reason) in INVALID.items()}
+    answered = {r["query_id"] for r in search(records, index, raw).select("query_id").distinct().collect()}
+    assert answered <= {n for n, (_, reason) in INVALID.items() if reason is None}
 
 
 def test_lookups(spark, records):
-    asked = spark.createDataFrame([("B" * 32,), ("a" * 32,), ("9" * 32,), ("zz",)], "md5 string")
-    found = lookup.by_key(records, asked)
-    assert {r["asked"][0]: r["status"] for r in found.collect()} == {"B": "ok", "a": "removed", "9": "missing", "z": "invalid"}
-    refs = {r["asked"][0]: r["source_record_id"] for r in lookup.source_references(found).collect()}
-    assert refs == {"B": "b", "a": None, "9": None, "z": None}
-    works = spark.createDataFrame([(" isbn:9780804429573 ",), ("title:x",)], "work_key string")
+    live, gone = (next(b["md5"] for b in BOOKS if b["deleted"] is d) for d in (False, True))
+    keys = {live.upper(): "ok", gone: "removed", "f" * 32: "missing", "no key": "invalid"}
+    found = lookup.by_key(records, spark.createDataFrame([(k,) for k in keys], "md5 string"))
+    assert {r["asked"]: r["status"] for r in found.collect()} == keys
+    refs = {r["asked"]: r["source_record_id"] for r in lookup.source_references(found).collect()}
+    assert refs == {live.upper(): live[-2:], gone: None, "f" * 32: None, "no key": None}
+    isbn = next(b["isbn"] for b in BOOKS if b["isbn"] and not b["deleted"])
+    works = spark.createDataFrame([(f" isbn:{isbn} ",), ("title:none",)], "work_key string")
     rows = lookup.best_first(lookup.editions(records, works)).collect()
-    assert [(r["md5"][0], r["total_editions"]) for r in rows] == [("e", 2), ("f", 2)]
-    answer = lookup.response(records.filter("source_record_id = 'b'")).first()
-    assert answer["identifiers"]["isbn13"] == ["9783161484100"] and answer["source"]["record_id"] == "b"
+    want = {b["md5"] for b in BOOKS if b["isbn"] == isbn and not b["deleted"]}
+    assert {r["md5"] for r in rows} == want and {r["total_editions"] for r in rows} == {len(want)}
+    answer = lookup.response(records.filter(F.col("md5") == live)).first()
+    assert answer["source"]["record_id"] == live[-2:]
