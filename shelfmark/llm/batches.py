@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -37,16 +38,37 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on and would hold what its largest task has needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow with a function of this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
 
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
 
-def arrow_column(run: Callable, kind: str, *columns: Column | str) -> Column:
-    """A column made by a function of this package from whole Arrow columns."""
+
+def arrow_column(run: Callable, kind: str, source: Column | str) -> Column:
+    """A column made by a function of this package from an Arrow column, a few rows at a time."""
     ship(SparkSession.active())
-    return F.arrow_udf(run, kind)(*columns)
+
+    def column(c: pa.Array) -> pa.Array:
+        parts = [run(c.slice(at, ROWS)) for at in range(0, max(1, len(c)), ROWS)]
+        give_back()
+        return pa.concat_arrays(parts)
+
+    return F.arrow_udf(column, kind)(source)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
