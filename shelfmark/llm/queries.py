@@ -13,9 +13,16 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, sql: str | None = None):
+    """Registers the function under its name, with the same question as SQL where SQL can say it."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add(fn) if fn else add
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,7 +50,14 @@ def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, folder, "documents"))
 
 
-@query
+@query(
+    sql="""
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+           from documents)
+select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept,
+  sha256(t) as text_sha256
+from t window g as (partition by t)"""
+)
 def op8_grace_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -68,7 +82,24 @@ def op9_block_tree_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
-@query
+# A block has its role and two marks of 24 characters with their line ends, a further text of it a mark of 11; & gets one
+# character longer.
+@query(
+    sql="""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+s as (
+  select *, row_number() over w as n, lag(role) over w as before from t
+  window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length(replace(text, '&', '&a')) + case when before is not distinct from role then 11
+      else 24 + length(replace(replace(role, '&', '&a'), chr(10), '&n')) end)::bigint as formatted_chars
+from s group by conv_id"""
+)
 def op6_relational_chat(spark: SparkSession, folder: str) -> DataFrame:
     marks = "<|im_end|><|im_start|>assistant ok"
     control = spark.range(2).select(

@@ -4,7 +4,8 @@ import pytest
 
 import corpus_pipeline
 from shelfmark.llm import packing, pii, simhash
-from shelfmark.llm.queries import QUERIES
+from shelfmark.llm.queries import ORACLE, QUERIES
+from tests.compare import connection, differences
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -23,6 +24,12 @@ def test_query_returns_a_row_for_each_input(spark, name):
         assert rows == source.count()
 
 
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_query_equals_sql(spark, name):
+    _, diff = differences(spark, connection(FOLDER), name, QUERIES[name], ORACLE[name], FOLDER)
+    assert not diff
+
+
 def test_stages(spark):
     """Every stage works on what its predecessor kept and does what it says there."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
