@@ -120,9 +120,16 @@ def _expansion(x: Column) -> Column:
 
 
 def _expand(c: Column) -> Column:
-    """Every distinct one-to-many character of the text replaced by its expansion."""
+    """Every one-to-many character of the text replaced by its expansion.
+
+    Most texts hold few different ones, each replaced in a pass; Korean ones hold hundreds and go by character.
+    """
+    by_character = F.array_join(
+        F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(_expanding_class()), _expansion(ch)).otherwise(ch)), ""
+    )
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({_expanding_class()})"), F.lit(1)))
-    return F.aggregate(found, c, lambda text, ch: F.replace(text, ch, _expansion(ch)))
+    by_kind = F.aggregate(found, c, lambda text, ch: F.replace(text, ch, _expansion(ch)))
+    return F.when(c.rlike(f"[{chr(_HANGUL_FIRST)}-{chr(_HANGUL_LAST)}]"), by_character).otherwise(by_kind)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

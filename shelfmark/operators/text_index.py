@@ -25,11 +25,25 @@ def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5")
         return F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(label).alias("field")))
 
     parts = [labelled(label, words) for label, words in fields.items()]
-    spots = records.select(key, F.posexplode(F.concat(*parts)).alias("pos", "w"))
-    place = F.struct(F.col("pos"), F.col("w.field").alias("field"))
-    return spots.groupBy(F.col("w.token").alias("token"), key).agg(
-        F.array_sort(F.collect_list(place)).alias("places")
+    spots = F.transform(
+        F.concat(*parts), lambda w, i: F.struct(w["token"].alias("token"), i.alias("pos"), w["field"].alias("field"))
     )
+    # grouped within the row: sorted by token, then cut where the token changes; nothing is shuffled
+    rows = records.select(key, F.array_sort(spots).alias("_s")).filter(F.size("_s") > 0)
+    here = lambda i: F.get("_s", i - 1)["token"]
+    starts = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (here(i) != here(i - 1)))
+    rows = rows.select(key, "_s", starts.alias("_from"))
+    until = F.concat(F.slice("_from", 2, F.size("_from")), F.array(F.size("_s") + 1))
+    groups = F.transform(
+        F.arrays_zip(F.col("_from").alias("a"), until.alias("b")),
+        lambda g: F.struct(
+            F.get("_s", g["a"] - 1)["token"].alias("token"),
+            F.transform(
+                F.slice("_s", g["a"], g["b"] - g["a"]), lambda x: F.struct(x["pos"].alias("pos"), x["field"].alias("field"))
+            ).alias("places"),
+        ),
+    )
+    return rows.select(key, F.explode(groups).alias("g")).select("g.token", key, "g.places")
 
 
 def write_index(index: DataFrame, path: str, key: str = "md5") -> None:

@@ -40,6 +40,7 @@ from shelfmark.functions.languages import language_list, normalize_language, one
 from shelfmark.functions.text import (
     as_list,
     as_text,
+    bind,
     non_blank,
     path_suffix,
     safe_long,
@@ -196,8 +197,14 @@ def zlib3(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> Da
 def first_of_each(items: Column, key: str) -> Column:
     """Structs of a list, the first one of every key, null keys left out."""
     keyed = F.filter(items, lambda f: f[key].isNotNull())
-    keys = F.transform(keyed, lambda f: f[key])
-    return F.filter(keyed, lambda f, i: F.array_position(keys, f[key]) == i + 1)
+    ranked = F.array_sort(
+        F.transform(keyed, lambda f, i: F.struct(f[key].alias("key"), i.alias("place"), f.alias("item")))
+    )
+    firsts = bind(
+        ranked, lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["key"] != x["key"]))
+    )
+    in_place = F.array_sort(F.transform(firsts, lambda x: F.struct(x["place"], x["item"])))
+    return F.transform(in_place, lambda x: x["item"])
 
 
 def ia2(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> DataFrame:
