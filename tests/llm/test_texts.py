@@ -194,6 +194,12 @@ def test_broken_pages_have_no_text(page):
     assert html_text.main_text(page) in ("", "<", "</", "\x00")
 
 
+def test_quotes_in_tags():
+    """A quote opens a value only after an equals sign; a tag may hold > in a quoted value."""
+    page = "<article><p title=it's>One</p><p data-x='a > b' \"odd>Two's</p><p>Three</p></article>"
+    assert html_text.main_text(page) == "One\nTwo's\nThree"
+
+
 def test_page_without_main_element():
     text = "A paragraph of plain words that goes on for a while and then some more. " * 3
     page = f"<body><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul><div><p>{text}<p>{text}</div></body>"
