@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating stars. No set of links ever leaves the executors."""
+"""Connected components of a table of links, by contraction. No set of links ever leaves the executors."""
 
 from __future__ import annotations
 
@@ -8,40 +8,39 @@ from pyspark.sql import functions as F
 from shelfmark.operators.workspace import written
 
 
-def _both(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _large_star(links: DataFrame) -> DataFrame:
-    """Ties every larger neighbour of a node to the least of the node and its neighbours."""
-    both = _both(links)
+def _roots(links: DataFrame) -> DataFrame:
+    """(a, p): every node points to the least of itself and its neighbours, and by pointer jumping to where that ends."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-
-
-def _small_star(links: DataFrame) -> DataFrame:
-    """Ties every smaller neighbour of a node, and the node itself, to the least of them. Links have a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    joined = links.join(least, "a")
-    tied = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return tied.unionByName(least.select("a", F.col("m").alias("b")))
+    parents = written(least.select("a", F.least("a", "m").alias("p")), "parents")
+    while True:
+        up = parents.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        jumped = parents.join(up, "p").select("a", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved"))
+        jumped = written(jumped, "parents")
+        if jumped.where("moved").isEmpty():
+            return parents
+        parents = jumped.drop("moved")
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, b) for every node that has a link and is not the least of its component b.
 
-    links: (a, b), in any direction, repeats allowed. Every round is a written table, so a lost executor costs a round
-    at most, and ends when it changes nothing.
+    links: (a, b), in any direction, repeats allowed. Each round contracts every tree of pointers to its root and keeps
+    the links between different roots, at most half as many nodes; rounds are written tables, so a lost executor costs
+    little. There is no row for each pair of a component, but one for each node.
     """
-    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state = written(ordered.distinct(), "links")
-    mark = None
-    for _ in range(rounds):
-        state = written(_small_star(_large_star(state).distinct()).distinct(), "links")
-        # a sum of hashes of all links tells whether a round changed any
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            return state
-        mark = tuple(now)
-    raise RuntimeError("components did not settle")
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = written(links.distinct(), "links")
+    labels = None
+    while labels is None or not links.isEmpty():
+        roots = _roots(links)
+        if labels is None:
+            labels = roots
+        else:  # roots of the round before are the nodes of this one
+            up = roots.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            labels = written(labels.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p")), "labels")
+        first = links.join(roots.withColumnRenamed("p", "pa"), "a")
+        second = first.join(roots.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+        links = second.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b"))
+        links = written(links.distinct(), "links")
+    return labels.where("a <> p").select("a", F.col("p").alias("b"))

@@ -272,7 +272,9 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, words: int, copies: in
     # nodes with links take the label of their component's least fingerprint, whose ids give the smallest id
     rooted = nodes.join(joined.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left")
     rooted = rooted.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written(rooted, "rooted")
+    # written, so that the join back has exchanges of its own, which Spark can split for a large component
+    smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     return ids, rooted.join(smallest, "root").select("fp", "component_id")
 
 
