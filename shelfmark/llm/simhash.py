@@ -10,6 +10,8 @@ one the likelier the closer they are. Those that share a key are compared in ful
 A node may have several fingerprints, from hashes that are mixed anew, which count together: 64 bits each, and keys of each.
 So a threshold in wider reach than three bits is met with high probability; only three bits in any one are certain.
 
+For near copies by similarity, fingerprints only find candidates: the shingle sets themselves decide (see `similar_sets`).
+
 Equal fingerprints are one node. Within a key only links that join what was not joined yet are returned. A key
 with many nodes is cut into blocks, and pairs of blocks are spread over tasks.
 """
@@ -36,6 +38,12 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 DISTANCE = 3
 #: Nodes of a key compared in one go.
 BLOCK = 2048
+#: Shingles of whole texts counted together for the order of shingles, and how many common ones the order knows at most.
+LOT, COMMON = 1 << 21, 1 << 16
+#: Nodes that share a shingle and are compared in one go.
+SHARERS = 512
+#: Words of 64 parities in the sketch of a set, and words of the filter of texts.
+PARITIES, FILTER = 8, 1 << 17
 
 
 def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> list[int]:
@@ -290,17 +298,204 @@ def near_duplicates(
     return ids.join(labels, "fp").select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def set_key(members: np.ndarray) -> bytes:
+    """16 bytes that stand for a set of shingles; a set of none has none."""
+    return xxhash.xxh128_digest(members.tobytes()) if len(members) else b""
+
+
+def parities(members: np.ndarray) -> np.ndarray:
+    """Whether the members in each of 64 * PARITIES parts of the hash range are odd in number. Two sets differ in as many
+    members at least as their sketches in bits."""
+    odd = np.bincount((members % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
+
+
+def may_be_similar(sizes, other_sizes, apart, similarity: float) -> np.ndarray:
+    """Whether sets of such sizes, whose sketches differ in so many bits, can have the similarity. Never false if they have."""
+    both = sizes + other_sizes
+    fits = np.minimum(sizes, other_sizes) >= similarity * np.maximum(sizes, other_sizes) - 1e-6
+    return fits & (apart <= both * (1 - similarity) / (1 + similarity) + 1e-6)
+
+
+def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in an order for all sets, rare ones first. Two sets of the similarity share one of these."""
+    keep = len(members) - int(np.ceil(similarity * len(members) - 1e-6)) + 1
+    weight = np.zeros(len(members), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+        weight = np.where(common[at] == members, counts[at], 0)
+    return members[np.lexsort((members, weight))[:keep]]
+
+
+def set_table(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(id, content, node) of every row, content a hash of the text and node the key of its set; and the common shingles,
+    sorted, with counts. Which ones are known as common tells how much work there is, not what is found."""
+    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("node", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+
+    def run(batches):
+        lot, size = [], 0
+
+        def counted():
+            found, times = np.unique(np.concatenate(lot), return_counts=True)
+            found, times = found[times > 2].view(np.int64), times[times > 2]
+            none = [None] * len(found)
+            return record_batch(schema, none, none, none, found, times)
+
+        for b in slices(batches):
+            sets = [shingle_set(t or "", words) for t in b.column(2).to_pylist()]
+            none = [None] * len(sets)
+            yield record_batch(schema, b.column(0), b.column(1), [set_key(x) for x in sets], none, none)
+            lot += sets
+            size += sum(map(len, sets))
+            if size >= LOT:
+                yield counted()
+                lot, size = [], 0
+        if lot:
+            yield counted()
+
+    columns = docs.select("id", F.xxhash64("text").alias("content"), "text")
+    table = written(arrow_map(columns, run, "id long, content long, node binary, shingle long, times long"), "shingle-sets")
+    common = table.where("node is null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    rows = common.orderBy(F.desc("times"), "shingle").limit(COMMON).toArrow()
+    shingles, times = (rows.column(c).to_numpy() for c in ("shingle", "times"))
+    shingles = shingles.astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return table.where("node is not null").select("id", "content", "node"), shingles[order], times[order].astype(np.int64)
+
+
+SHARED = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("block", pa.int32())])
+
+
+def sharers(docs: DataFrame, words: int, similarity: float, common: np.ndarray, counts: np.ndarray, partitions: int) -> DataFrame:
+    """(shingle, node, block) of all nodes that have a shingle of their prefix in common with another node; the nodes of a
+    shingle are numbered blocks of SHARERS. Every pair of the similarity is among the nodes of some shingle."""
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary())])
+
+    def rows(batches):
+        for b in slices(batches):
+            keys, firsts = [], []
+            for t in b.column(0).to_pylist():
+                members = shingle_set(t or "", words)
+                if len(members):
+                    firsts.append(prefix(members, common, counts, similarity))
+                    keys.append(set_key(members))
+            if keys:
+                at = np.repeat(np.arange(len(keys)), [len(f) for f in firsts])
+                yield record_batch(schema, np.concatenate(firsts).view(np.int64), pa.array(keys, pa.binary()).take(pa.array(at)))
+
+    def numbered(batches):
+        """Rows come sorted by shingle and node; a row is held until the next tells whether it has company."""
+        last, seen = None, 0
+        for b in batches:
+            out = []
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if row == last:
+                    continue
+                if last is not None and row[0] == last[0]:
+                    if seen == 0:
+                        out.append((*last, 0))
+                    seen += 1
+                    out.append((*row, seen // SHARERS))
+                else:
+                    seen = 0
+                last = row
+            if out:
+                yield record_batch(SHARED, *(list(c) for c in zip(*out)))
+
+    dealt = arrow_map(docs.select("text"), rows, "shingle long, node binary").repartition(partitions, "shingle")
+    return written(arrow_map(dealt.sortWithinPartitions("shingle", "node"), numbered, "shingle long, node binary, block int"), "sharers")
+
+
+def involved(docs: DataFrame, table: DataFrame, shared: DataFrame, words: int, copies: int) -> DataFrame:
+    """(node, fp, size, sketch, members) of the nodes of `shared`. A filter of bounded size over hashes of texts tells which
+    texts are read; what it lets through in vain is dropped by a join."""
+    nodes = shared.select("node").distinct()
+    wanted = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"))
+    bit = F.pmod("content", F.lit(64 * FILTER))
+    bits = wanted.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(content, {64 * FILTER}L) & 63L))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    mask = np.zeros(FILTER, np.uint64)
+    mask[found.column("word").to_numpy().astype(np.int64)] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    schema = pa.schema(
+        [("node", pa.binary()), ("fp", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64()))]
+    )
+
+    def run(batches):
+        for b in slices(batches):
+            at = b.column(0).to_numpy() % (64 * FILTER)
+            chosen = b.filter(pa.array((mask[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            out = []
+            for t in chosen.column(1).to_pylist():
+                hashes = shingle_hashes(t or "", words)
+                members = np.unique(np.array(hashes, np.uint64))
+                fp = b"".join(fingerprint(hashes, c).to_bytes(8, "big") for c in range(copies))
+                out.append((set_key(members), fp, len(members), parities(members).astype(">u8").tobytes(), members.view(np.int64)))
+            for k in range(0, len(out), 16):
+                yield record_batch(schema, *(list(c) for c in zip(*out[k : k + 16])))
+
+    read = arrow_map(
+        docs.select(F.xxhash64("text").alias("content"), "text"), run, "node binary, fp binary, size long, sketch binary, members array<long>"
+    )
+    one = read.join(nodes, "node", "left_semi").groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "size", "sketch")), F.first("members").alias("members"))
+    return written(one, "involved-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have the Jaccard similarity; sketches spare most others the full comparison."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                sizes, others = b.column(2).to_numpy(), b.column(4).to_numpy()
+                fits = may_be_similar(sizes, others, bits_apart(as_nodes(b.column(3)), as_nodes(b.column(5))), similarity)
+                yield b.select([0, 1]).filter(pa.array(fits)).cast(schema)
+
+    sides = [sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    pairs = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    pairs = written(arrow_map(pairs, run, "a binary, b binary"), "candidates")
+    sides = [sets.select(F.col("node").alias(x), F.col("members").alias(f"of_{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    same = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("same"), (F.size("of_a") + F.size("of_b")).alias("all"))
+    return written(same.where(F.col("same") / (F.col("all") - F.col("same")) >= similarity).select("a", "b"), "verified")
+
+
+def similar_sets(docs: DataFrame, words: int, copies: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row (id, text), node empty without a word, and (a, b) as components returns them of nodes linked by
+    a Jaccard similarity of their shingle sets.
+
+    Two sets of the similarity share one of their first shingles in a fixed order, so only nodes that do so take part. Close
+    fingerprints find candidates among them. Every link is verified on the sets."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table, common, counts = set_table(docs, words)
+    shared = sharers(docs, words, similarity, common, counts, partitions)
+    sets = involved(docs, table, shared, words, copies)
+    distance = int(round((1 - similarity) * 64 * copies, 6))
+    of_fp = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    of_fp = written(of_fp, "nodes")
+    found = links(of_fp, partitions, distance).join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
+    found = found.join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    equal = sets.select(F.col("node").alias("b"), "fp").join(of_fp.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
+    first = verified(found.unionByName(equal), sets, similarity)
+    return table.select("id", "node"), components(first)
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, copies: int = 4, similarity: float = 0.8
 ) -> DataFrame:
-    """All columns of one row of each group, the one with the smallest id; groups are linked where at least such a share
-    of the fingerprints' bits is equal. Of rows that repeat this id the one with the least text stays.
+    """All columns of one row of each group, the one with the smallest id; groups are linked where the Jaccard similarity of
+    the sets of shingles is at least such. Of rows that repeat this id the one with the least text stays.
 
     Texts without a word tell nothing about each other, so they stay."""
-    distance = int(round((1 - similarity) * 64 * copies, 6))
-    ids, labels = labelled(docs, id_col, text_col, words, copies, distance)
-    empty = F.col("fp") == F.lit(bytes(8 * copies))
-    kept = ids.join(labels, "fp").where(empty | F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
+    ids, joined = similar_sets(id_and_text(docs, id_col, text_col), words, copies, similarity)
+    joined = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    rooted = written(ids.join(joined, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    smallest = rooted.where("node <> x''").groupBy("root").agg(F.min("id").alias("id"))
+    kept = rooted.where("node = x''").select("id").unionByName(smallest.select("id")).distinct().withColumnRenamed("id", "_kept")
     rows = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept"]), "left_semi")
     repeated = ids.groupBy("id").count().where("count > 1").select(F.col("id").alias("_again"))
     if repeated.isEmpty():

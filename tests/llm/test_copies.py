@@ -170,6 +170,47 @@ def test_drop_near_duplicates(spark):
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted([*range(6), 200, 201, None], key=str)
 
 
+def jaccard_groups(rows, similarity=0.8):
+    """The smallest id of each group linked by the similarity of five-word shingles, pair by pair."""
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same / (len(sets[i]) + len(sets[j]) - same) >= similarity:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[root(n)] = min(least.get(root(n), i), i)
+    return set(least.values())
+
+
+def test_distinct_texts_stay(spark):
+    """Close fingerprints alone link nothing: short texts that differ in the last word, a templated family, pairs from 0.6 on."""
+    rng = np.random.default_rng(12)
+    words = [f"u{i}" for i in range(2000)]
+    rows = []
+    for n in range(20):
+        base = rng.choice(words, 7).tolist()
+        rows += [(10 * n + k, " ".join([*base, f"last{k}"])) for k in range(3)]  # 3 of 5 shingles are shared
+    family = rng.choice(words, 40).tolist()
+    rows += [(1000 + k, " ".join([*family[:20], f"x{k}", *family[21:]])) for k in range(30)]
+    for n in range(60):
+        base = rng.choice(words, 204).tolist()
+        tail = rng.choice(words, 12 + n % 36).tolist()  # similarity 0.62 to 0.9
+        rows += [(2000 + 2 * n, " ".join(base)), (2001 + 2 * n, " ".join(base[: 204 - len(tail)] + tail))]
+    want = jaccard_groups(rows)
+    assert {i for i, _ in rows if i < 2000} <= want
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5)] + [(1000, x) for x in range(1001, 1100)]
     got = {(r["a"], r["b"]) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
