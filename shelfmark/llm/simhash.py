@@ -10,7 +10,8 @@ one the likelier the closer they are. Those that share a key are compared in ful
 A node may have several fingerprints, from hashes that are mixed anew, which count together: 64 bits each, and keys of each.
 So a threshold in wider reach than three bits is met with high probability; only three bits in any one are certain.
 
-For near copies by similarity, fingerprints only find candidates: the shingle sets themselves decide (see `similar_sets`).
+For near copies by similarity, fingerprints only find candidates: the shingle sets themselves decide, and a prefix filter
+over shingles finds every similar pair (see `similar_sets`).
 
 Equal fingerprints are one node. Within a key only links that join what was not joined yet are returned. A key
 with many nodes is cut into blocks, and pairs of blocks are spread over tasks.
@@ -464,12 +465,58 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(same.where(F.col("same") / (F.col("all") - F.col("same")) >= similarity).select("a", "b"), "verified")
 
 
+def across(shared: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, partitions: int) -> DataFrame:
+    """(a, b): all pairs of nodes of different labels that share a shingle of their prefixes and whose sizes and sketches
+    allow the similarity. labels: (a, b) as components returns them."""
+    known = labels.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    known = written(sets.select("node", "size", "sketch").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")), "labels")
+    rows = shared.join(known.select("node", "label", "size", "sketch"), "node")
+    # shingles of one label have nothing more to tell
+    open_ = rows.groupBy("shingle").agg(F.max("block").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    seats = rows.join(open_.where("low <> high").select("shingle", "blocks"), "shingle")
+    seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
+    seats = seats.select("shingle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).alias("right"), "node", "label", "size", "sketch")
+    seats = seats.repartition(partitions, "shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "right", "node")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compare(batches):
+        at, sides = None, ([], [])
+
+        def finish():
+            within = at is None or at[1] == at[2]
+            left, right = sides[0], sides[0] if within else sides[1]
+            if not left or not right:
+                return
+            (nodes, labels_, sizes, sketches), (nodes2, labels2, sizes2, sketches2) = (
+                (n, np.array(la, object), np.array(si), np.frombuffer(b"".join(sk), ">u8").astype(np.uint64).reshape(len(n), -1))
+                for n, la, si, sk in (tuple(zip(*s)) for s in (left, right))
+            )
+            apart = bits_apart(sketches[:, None, :], sketches2[None, :, :])
+            a, b = np.nonzero((labels_[:, None] != labels2[None, :]) & may_be_similar(sizes[:, None], sizes2[None, :], apart, similarity))
+            if within:
+                a, b = a[a < b], b[a < b]
+            if len(a):
+                ends = [(min(nodes[i], nodes2[j]), max(nodes[i], nodes2[j])) for i, j in zip(a.tolist(), b.tolist())]
+                yield record_batch(schema, *(list(c) for c in zip(*ends)))
+
+        for batch in batches:
+            for shingle, x, y, right, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shingle, x, y) != at:
+                    yield from finish()
+                    at, sides = (shingle, x, y), ([], [])
+                sides[right].append(row)
+        yield from finish()
+
+    return arrow_map(seats, compare, "a binary, b binary").distinct()
+
+
 def similar_sets(docs: DataFrame, words: int, copies: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every row (id, text), node empty without a word, and (a, b) as components returns them of nodes linked by
     a Jaccard similarity of their shingle sets.
 
     Two sets of the similarity share one of their first shingles in a fixed order, so only nodes that do so take part. Close
-    fingerprints find candidates among them. Every link is verified on the sets."""
+    fingerprints link most of them, in one link for each node even in a large group; then pairs that share a first shingle but
+    are not joined yet are all looked at. Every link is verified on the sets."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table, common, counts = set_table(docs, words)
     shared = sharers(docs, words, similarity, common, counts, partitions)
@@ -481,7 +528,9 @@ def similar_sets(docs: DataFrame, words: int, copies: int, similarity: float) ->
     found = found.join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = sets.select(F.col("node").alias("b"), "fp").join(of_fp.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
     first = verified(found.unionByName(equal), sets, similarity)
-    return table.select("id", "node"), components(first)
+    joined = components(first)
+    rest = verified(across(shared, sets, joined, similarity, partitions), sets, similarity)
+    return table.select("id", "node"), components(first.unionByName(rest))
 
 
 def drop_near_duplicates(

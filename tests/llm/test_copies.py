@@ -211,6 +211,29 @@ def test_distinct_texts_stay(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("sharers", [512, 4])
+def test_all_near_copies_are_found(spark, sharers, monkeypatch):
+    """In every band of similarity, also where fingerprints share no key; small blocks of a shingle's nodes give the same."""
+    monkeypatch.setattr(simhash, "SHARERS", sharers)
+    rng = np.random.default_rng(13)
+    words = [f"t{i}" for i in range(3000)]
+    rows, bands = [], {}
+    for n in range(240):
+        base = rng.choice(words, 154).tolist()
+        changed = list(base)
+        for at in rng.choice(30, 1 + n % 4, replace=False):
+            changed[5 * at + 2] = f"new{at}"
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(changed))]
+        a, b = (set(simhash.shingle_hashes(t, 5)) for _, t in rows[-2:])
+        bands.setdefault(int(20 * len(a & b) / len(a | b) + 1e-9) / 20, []).append(2 * n + 1)
+    hot = rng.choice(words, 100).tolist()
+    rows += [(5000 + k, " ".join([*hot[:k], f"one{k}", *hot[k + 1 :]])) for k in range(60)]
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    found = {band: sum(i not in kept for i in ids) / len(ids) for band, ids in sorted(bands.items())}
+    assert len(found) > 2 and all(share == (1.0 if band >= 0.8 else 0.0) for band, share in found.items())
+    assert kept == jaccard_groups(rows)
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5)] + [(1000, x) for x in range(1001, 1100)]
     got = {(r["a"], r["b"]) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -6,6 +6,7 @@ import corpus_pipeline
 from shelfmark.llm import packing, pii, simhash
 from shelfmark.llm.queries import ORACLE, QUERIES
 from tests.compare import connection, differences
+from tests.llm.test_copies import jaccard_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,6 +57,15 @@ def test_stages(spark):
     assert {r["doc_id"] for r in last.collect()} == ids[4]
 
 
+def test_near_copies_of_the_stage_by_definition(spark):
+    """What is kept is right by the similarity of the texts themselves, not by fingerprints."""
+    docs = corpus_pipeline.written(corpus_pipeline.no_exact_copies(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER), "stage")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    blank = {i for i, t in rows if not t.split()}
+    kept = {r["doc_id"] for r in corpus_pipeline.no_near_copies(spark, docs, FOLDER).collect()}
+    assert kept == blank | jaccard_groups([r for r in rows if r[0] not in blank])
+
+
 def test_stages_on_empty_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
