@@ -1,5 +1,6 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
+Pieces are spread by a hash, so that every partition has pieces of all lengths, however the documents lie in files.
 Every partition packs its pieces best-fit, largest first. Nearly full bins are done; the others become items of
 the next, smaller level, are packed best-fit again, and so on up a tree. Levels hold (bin, fill) pairs
 only; places are composed down the tree afterwards. A level ends the tree when one task has packed it, or when
@@ -26,6 +27,8 @@ from shelfmark.operators.workspace import written
 
 #: Items packed together in a task at most; a larger partition is packed in several such lots.
 LOT = 1 << 20
+#: About so many pieces are spread to each partition.
+MIX = 1 << 16
 #: Levels of the tree join this many partitions into one.
 FAN_IN = 8
 #: A bin with at most this many free places is done.
@@ -193,15 +196,17 @@ def packed(items: DataFrame, size_col: str, order: list[str], capacity: int, lev
     return arrow_map(items.select(*names), run, f"{schema}, bin long, at long, fill long")
 
 
-def pack(pieces: DataFrame, capacity: int, nearly: int = NEARLY, fan_in: int = FAN_IN) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, nearly: int = NEARLY, fan_in: int = FAN_IN, mix: int = MIX) -> DataFrame:
     """The pieces (id, piece, start, length, ...) with sequence_id and offset.
 
     Every piece of 1..capacity ids is in one sequence, sequences are gapless from 0 and at most capacity long. Repeated
     rows are pieces of their own. An empty table gives an empty result.
     """
     limit = capacity - nearly
-    # ranges of lengths would starve a partition of small pieces, so pieces stay where they are
-    base = written(packed(pieces, "length", ["id", "piece", "start"], capacity, 0), "packed")
+    pieces = written(pieces, "pieces")
+    # ranges of lengths would starve a partition of small pieces, so would files of like documents
+    spread = pieces.repartition(max(1, -(-pieces.count() // mix)), F.xxhash64(*pieces.columns))
+    base = written(packed(spread, "length", spread.columns, capacity, 0), "packed")
     under = base.where((F.col("at") == 0) & (F.col("fill") < limit)).select("bin", "fill")
     tasks = base.select(F.shiftright("bin", 34).alias("p")).distinct().count()
     levels: list[DataFrame] = []

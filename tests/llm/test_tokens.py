@@ -157,6 +157,16 @@ def test_tree_of_levels(spark):
     assert checked(rows, 1000) <= 1.15 * total / 1000  # bins of a few hundred are merged whole
 
 
+@pytest.mark.parametrize("mix", [packing.MIX, 100])
+def test_pieces_clustered_by_length(spark, mix):
+    """Files of long and of short documents only: a long and a short one fill a sequence."""
+    sizes = [(i, 0, 0, 1100 if i < 1000 else 900, i) for i in range(2000)]
+    pieces = spark.createDataFrame(sizes, "id long, piece int, start long, length long, crc long").repartitionByRange(2, "id")
+    rows = packing.pack(pieces, capacity=2048, mix=mix).collect()
+    assert sorted(r["id"] for r in rows) == list(range(2000))
+    assert checked(rows, 2048) <= (1000 if mix == packing.MIX else 1080)
+
+
 def test_pack_nothing(spark):
     pieces = spark.createDataFrame([], "id long, piece int, start long, length long, crc long")
     assert packing.pack(pieces, 10).collect() == []
