@@ -53,6 +53,23 @@ def test_prior_and_risk():
     assert (model.score(rng.normal(-2, 1, (500, 2))) < 0.5).mean() > 0.97
 
 
+def test_all_unlabelled_rows_count(spark):
+    """A bound on the sample of positives changes nothing of what unlabelled rows give: the same model as from all in memory."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    values = np.float32(np.vstack([rng.normal(1, 1, (n // 2, 3)), rng.normal(-1, 1, (n // 2, 3))]))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "id long, features array<float>").repartition(7)
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    model = quality.learn(table, labels, sample=500)
+    learnt = [i for i in range(n) if quality.fold_of(i)]
+    positive = np.array([values[i] for i in learnt if i < 300], np.float64)
+    unlabelled = np.array([values[i] for i in learnt if i >= 300], np.float64)
+    assert len(unlabelled) > 2500
+    want = quality.fit(positive, unlabelled)
+    assert np.allclose(model.mean, want.mean) and np.allclose(model.scale, want.scale)
+    assert abs(model.prior - want.prior) < 1e-9 and np.allclose(model.weights, want.weights, atol=1e-5)
+
+
 # Personal data
 PRIVATE = "Mail jo.doe+x@site1.example.org, host 10.20.30.40 not 300.1.1.1; card 4532 0151 1283 0366 not 4532015112830367."
 
