@@ -1,7 +1,8 @@
 """Main text of web pages from flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. Each block is described by its word count and link density, those
-of its neighbours, and whether a tag or a class name around it speaks for the main text or for page furniture. A small
+of its neighbours, and whether a tag or a class name around it speaks for the main text or for page furniture, for sure or
+as words that articles use as well. A small
 tree, trained on a small labelled table of blocks, tells which blocks are main text.
 """
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from shelfmark.llm.batches import arrow_map, record_batch, slices
 
 #: Tags whose content is no text of the page.
-SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "textarea", "title", "head", "select", "math", "audio", "video"}
+SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "textarea", "title", "head", "select", "annotation", "annotation-xml", "audio", "video"}
 #: Tags that stay within a block; any other tag ends it.
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | {"math", "semantics", "annotation", "annotation-xml", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "mstyle", "mpadded", "mphantom", "merror", "menclose", "mfenced"}
 #: Tags without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Tags around page furniture; header only outside of the main text.
@@ -30,16 +31,25 @@ FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fiel
 MAIN = {"article", "main"}
 #: Words in a class, id or role that speak for page furniture, for reader comments among them.
 FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|comments?|replies|disqus|"
-    r"respond|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|foot|masthead|header|topbar|toolbar|share|sharing|social|related|"
-    r"recommend\w*|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|pagination|pager|copyright|legal|"
-    r"skip|complementary|contentinfo|navigation|dialog)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|replies|disqus|"
+    r"sidebar|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|sharing|"
+    r"newsletter|subscribe|subscription|signup|popup|modal|overlay|pagination|pager|"
+    r"complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Words that name parts of articles as well; they are only a feature of the block.
+DOUBTFUL_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:banner|notice|alert|respond|side|widget|menu|foot|header|share|social|related|recommend\w*|login|search|"
+    r"copyright|legal|skip|dialog)(?:$|[\s_-])",
+    re.I,
+)
+#: Around what readers write, which may be articles of its own.
+COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus|respond)(?:$|[\s_-])", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|body|main|text)(?:$|[\s_-])", re.I)
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
-_HINT = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_HINT = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 # tags that a following tag of the same kind closes
 _ALONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -52,24 +62,45 @@ class Block:
     linked: int
     furniture: bool
     main: bool
+    doubtful: bool = False
 
     @property
     def links(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _hint(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether a tag speaks for page furniture, and for the main text."""
-    names = " ".join(next(filter(None, m.groups()), "") for m in _HINT.finditer(attributes)) if "=" in attributes else ""
-    bad = tag in FURNITURE or (tag == "header" and not in_main) or bool(_HIDDEN.search(attributes))
-    bad = bad or bool(names and tag not in MAIN and tag not in ("body", "html") and FURNITURE_WORDS.search(names))
-    return bad, not bad and (tag in MAIN or bool(names and tag in ("div", "section") and MAIN_WORDS.search(names)))
+@dataclass(frozen=True)
+class Around:
+    """What an open tag and all around it say of their text: a tag of page furniture, names of furniture, of comments, names
+    that may be of furniture, a main element."""
+
+    tag: str = ""
+    fixed: bool = False
+    named: bool = False
+    comments: bool = False
+    doubtful: bool = False
+    main: bool = False
+
+    def within(self, tag: str, attributes: str) -> Around:
+        fixed = self.fixed or tag in FURNITURE or (tag == "header" and not self.main) or bool(_HIDDEN.search(attributes))
+        if tag in MAIN and not self.main and not self.comments:  # names of wrappers say nothing of the main element in them
+            return Around(tag, fixed, False, False, False, not fixed)
+        # an id of a heading, or of a section of the main text, is a slug of its words
+        slug = tag in _HEADINGS or (tag == "section" and self.main)
+        found = ((m[1].lower(), m[2] or m[3] or m[4] or "") for m in _HINT.finditer(attributes)) if "=" in attributes else ()
+        names = " ".join(value for kind, value in found if not (slug and kind == "id"))
+        read = bool(names) and tag not in MAIN and tag not in ("body", "html")
+        named = self.named or (read and bool(FURNITURE_WORDS.search(names)))
+        comments = self.comments or (read and bool(COMMENT_WORDS.search(names)))
+        doubtful = self.doubtful or (read and bool(DOUBTFUL_WORDS.search(names)))
+        main = tag in MAIN or bool(names and tag in ("div", "section") and MAIN_WORDS.search(names))
+        return Around(tag, fixed, named, comments, doubtful, self.main or (main and not fixed and not named and not (doubtful and tag not in MAIN)))
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page, in order. Broken markup is taken as browsers do, as far as blocks go."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, furniture, main, both with what is around
+    open_: list[Around] = []
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -77,8 +108,8 @@ def blocks(page: str) -> list[Block]:
     def finish() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            _, bad, main = open_[-1] if open_ else ("", False, False)
-            out.append(Block(text, len(text.split()), len(" ".join(linked).split()), bad, main))
+            at_ = open_[-1] if open_ else Around()
+            out.append(Block(text, len(text.split()), len(" ".join(linked).split()), at_.fixed or at_.named, at_.main, at_.doubtful))
         parts.clear()
         linked.clear()
 
@@ -103,7 +134,7 @@ def blocks(page: str) -> list[Block]:
                 continue
             finish()
             for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
+                if open_[i].tag == tag:
                     del open_[i:]
                     break
             continue
@@ -125,18 +156,16 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         in_link = False
-        if tag in _ALONE and open_ and open_[-1][0] == tag:
+        if tag in _ALONE and open_ and open_[-1].tag == tag:
             open_.pop()
-        _, bad, main = open_[-1] if open_ else ("", False, False)
-        more_bad, more_main = _hint(tag, m[3] or "", main)
-        open_.append((tag, bad or more_bad, main or more_main))
+        open_.append((open_[-1] if open_ else Around()).within(tag, m[3] or ""))
     finish()
     return out
 
 
 #: The labelled table: words and link density of the block before, of the block and of the one after it, whether it
 #: is in page furniture, in a main element, and whether it is main text. Typical blocks of invented pages.
-LABELLED = [
+_PLAIN = [
     # menus and link lists
     (0, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 2, 1.0, 9, 0.0, 1, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, 0, 0, 0),
@@ -158,6 +187,16 @@ LABELLED = [
     (4, 1.0, 7, 0.0, 48, 0.0, 0, 0, 1), (40, 0.0, 3, 0.0, 33, 0.0, 0, 0, 1), (3, 1.0, 4, 0.0, 2, 1.0, 0, 0, 0),
     (2, 1.0, 5, 0.0, 3, 0.0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 1.0, 0, 0, 0), (2, 0.0, 6, 0.0, 1, 1.0, 0, 0, 0),
 ]
+#: Blocks with a doubtful name, in any neighbourhood: words, link density, whether in a main element, and whether main text.
+_DOUBTFUL = [
+    # parts of the main text that are called like furniture, headings among them; lists of links in it
+    (3, 0.0, 1, 1), (15, 0.0, 1, 1), (40, 0.02, 1, 1), (25, 0.2, 1, 1), (90, 0.0, 1, 1), (3, 1.0, 1, 0), (9, 0.8, 1, 0), (40, 0.9, 1, 0),
+    # outside of it: notices and boxes, and long texts
+    (5, 0.0, 0, 0), (14, 0.1, 0, 0), (30, 0.0, 0, 0), (45, 0.0, 0, 0), (4, 1.0, 0, 0), (100, 0.9, 0, 0), (80, 0.02, 0, 1), (120, 0.0, 0, 1),
+]
+_NEIGHBOURS = [((0, 0.0), (0, 0.0)), ((4, 1.0), (3, 1.0)), ((70, 0.0), (60, 0.0)), ((70, 0.0), (3, 1.0)), ((3, 1.0), (60, 0.0)), ((8, 0.0), (5, 0.0))]
+_DOUBTFUL = [(*before, n, links, *after, 0, main, good) for n, links, main, good in _DOUBTFUL for before, after in _NEIGHBOURS]
+LABELLED = [(*r[:-1], doubtful, r[-1]) for doubtful, rows in enumerate((_PLAIN, _DOUBTFUL)) for r in rows]
 
 
 def grow(rows: list[tuple], depth: int = 6, least: int = 1):
@@ -188,7 +227,9 @@ def grow(rows: list[tuple], depth: int = 6, least: int = 1):
 
 @lru_cache(maxsize=1)
 def default_tree():
-    return grow(LABELLED)
+    """Blocks with a doubtful name have a tree of their own below the root, so that few rows do not blur the others."""
+    plain, doubtful = ([r for r in LABELLED if r[-2] == d] for d in (0, 1))
+    return len(LABELLED[0]) - 2, 0.5, grow(plain), grow(doubtful)
 
 
 def decide(tree, features: tuple) -> int:
@@ -202,7 +243,7 @@ def described(found: list[Block]) -> Iterator[tuple]:
     """The features of each block of a page."""
     none = Block("", 0, 0, False, False)
     for before, b, after in zip([none, *found], found, [*found[1:], none]):
-        yield before.words, before.links, b.words, b.links, after.words, after.links, int(b.furniture), int(b.main)
+        yield before.words, before.links, b.words, b.links, after.words, after.links, int(b.furniture), int(b.main), int(b.doubtful)
 
 
 def main_text(page: str, tree=None) -> str:

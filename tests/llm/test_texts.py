@@ -217,6 +217,41 @@ def test_quotes_in_tags():
     assert html_text.main_text(page) == "One\nTwo's\nThree"
 
 
+WORDS = "Plain words of an article that goes on for a while and says something of its own."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='related-work'><h2>Related work</h2><p>{}</p></section>", "<h2 id='side-effects'>Side effects</h2><p>{}</p>",
+        "<h2 id='search'>Search</h2><p>{}</p>", "<div class='legal-text'><p>{}</p></div>", "<section id='comments-on-method'><p>{}</p></section>",
+        "<div id='copyright'>{}</div>",
+    ],
+)
+def test_slugs_are_no_furniture(part):
+    page = f"<nav><a href=/>Home</a></nav><article><p>{WORDS}</p>{part.format(WORDS)}<p>{WORDS}</p></article>"
+    heading = re.findall("<h2[^>]*>([^<]*)", part)
+    assert html_text.main_text(page) == "\n".join([WORDS, *heading, WORDS, WORDS])
+
+
+def test_wrappers_of_the_main_element():
+    page = f"<div class='menu-open'><div class='has-sidebar'><article><p>{WORDS}</p></article></div></div>"
+    assert html_text.main_text(page) == WORDS
+    for wrapper in ("<div class='comments'>", "<nav>", "<div hidden>"):
+        assert html_text.main_text(f"{wrapper}<article><p>{WORDS}</p></article>") == ""
+
+
+def test_furniture_in_the_main_element():
+    links = "<li><a href=/a>One more story</a></li><li><a href=/b>Another story</a></li>"
+    parts = [f"<ul class='related'>{links}</ul>", f"<div class='comments'><article>{WORDS}</article></div>", f"<div class='ad'>{WORDS}</div>"]
+    assert html_text.main_text(f"<article><p>{WORDS}</p>{''.join(parts)}</article>") == WORDS
+
+
+def test_formulas_are_text():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>x=2</annotation></semantics></math>"
+    assert html_text.main_text(f"<article><p>Let {formula} be so.</p></article>") == "Let x=2 be so."
+
+
 def test_page_without_main_element():
     text = "A paragraph of plain words that goes on for a while and then some more. " * 3
     page = f"<body><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul><div><p>{text}<p>{text}</div></body>"
