@@ -7,7 +7,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import bpe, chat, exact_dedup, html_text, order_minhash, packing, pii, quality, simhash, token_counts
+from shelfmark.llm import (
+    bit_planes,
+    bpe,
+    chat,
+    equal_average,
+    exact_dedup,
+    fixed_blocks,
+    html_text,
+    order_minhash,
+    packing,
+    pii,
+    quality,
+    simhash,
+    token_counts,
+)
+from shelfmark.llm.vector_sql import CLUSTERS_SQL, CODES_SQL
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -112,6 +127,41 @@ def op6_relational_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.turns_of(rows)))
 
 
+@query(
+    sql=r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+n as (select doc_id, words, unnest(range(1, len(words) + 1)) as place from w),
+s as (select doc_id, place, words[place] as word,
+        case when place + 19 <= len(words) then array_to_string(words[place:place + 19], ' ') end as run from n),
+d as (select doc_id, place, word,
+        run is not null and row_number() over (partition by run order by doc_id, place) > 1 as again from s),
+g as (select doc_id, place, word,
+        max(again) over (partition by doc_id order by place rows between 19 preceding and current row) as gone from d),
+k as (select doc_id, count(*) filter (where gone) as n_removed,
+        string_agg(word, ' ' order by place) filter (where not gone) as kept from g group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (doc_id)"""
+)
+def op11_fixed_block_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fixed_blocks.without_repeats(table(spark, folder, "documents"))
+    kept = F.sha2(F.col("text").cast("binary"), 256)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+@query(sql=CODES_SQL)
+def op12_equal_average_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows, codebooks = equal_average.compressed(table(spark, folder, "embeddings"))
+    entries = F.sha2(F.lit(equal_average.joined(codebooks)).cast("binary"), 256)
+    code = F.lower(F.hex("code"))
+    return rows.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", entries.alias("codebooks_sha256"))
+
+
+@query(sql=CLUSTERS_SQL)
+def op13_bit_plane_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_planes.digests(*bit_planes.clustered(table(spark, folder, "embeddings")))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
