@@ -29,18 +29,22 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Tags around page furniture; header only outside of the main text.
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 MAIN = {"article", "main"}
-#: Words in a class, id or role that speak for page furniture, for reader comments among them.
-FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|replies|disqus|"
-    r"sidebar|nav\w*|breadcrumbs?|footer|masthead|topbar|toolbar|sharing|"
-    r"newsletter|subscribe|subscription|signup|popup|modal|overlay|pagination|pager|"
-    r"complementary|contentinfo|navigation)(?:$|[\s_-])",
-    re.I,
-)
+#: Words in a class, id or role that speak for page furniture, for reader comments among them. Whole words only: open stems
+#: would meet the words of articles.
+_FURNITURE = (
+    "ads? advert adverts advertisements? advertising adsense sponsor sponsors sponsored promos? promotions? promotional cookies? consent gdpr "
+    "comments? replies disqus sidebar nav navbar navigation navmenu breadcrumbs? footer masthead topbar toolbar sharing newsletter subscribe "
+    "subscription signup popup modal overlay pagination pager complementary contentinfo"
+).replace(" ", "|")
+FURNITURE_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_FURNITURE})(?:$|[\s_-])", re.I)
+#: The same as a whole name.
+FURNITURE_NAME = re.compile(rf"(?:^|\s)(?:{_FURNITURE})(?:$|\s)", re.I)
+#: Tags that hold parts of a page, which names within the main element are believed of.
+CONTAINERS = {"div", "section", "ul", "ol", "table", "center"}
 #: Words that name parts of articles as well; they are only a feature of the block.
 DOUBTFUL_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:banner|notice|alert|respond|side|widget|menu|foot|header|share|social|related|recommend\w*|login|search|"
-    r"copyright|legal|skip|dialog)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:banner|notice|alert|respond|side|widget|menu|foot|header|share|social|related|recommend|recommended|recommendations|"
+    r"login|search|copyright|legal|skip|dialog)(?:$|[\s_-])",
     re.I,
 )
 #: Around what readers write, which may be articles of its own.
@@ -48,9 +52,10 @@ COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus|respond)(?:
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|body|main|text)(?:$|[\s_-])", re.I)
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
-_HINT = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+# a comment may end at once: <!--> and <!---> are whole ones
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>="']+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>"']*)))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 # tags that a following tag of the same kind closes
 _ALONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -62,37 +67,55 @@ class Block:
     linked: int
     furniture: bool
     main: bool
-    doubtful: bool = False
+    doubtful: int = 0
 
     @property
     def links(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """The attributes of a tag by name in lower case; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NONE.search(attributes.get("style", "")))
+
+
 @dataclass(frozen=True)
 class Around:
-    """What an open tag and all around it say of their text: a tag of page furniture, names of furniture, of comments, names
-    that may be of furniture, a main element."""
+    """What an open tag and all around it say of their text: a tag of page furniture, names of furniture, of comments, how
+    doubtful names make it, a main element.
+
+    Outside of a main element a name of furniture is believed. Within one it only makes the block doubtful: 2 for a whole
+    name of a container, 1 for any other; ids are left out there, as they are slugs of the words."""
 
     tag: str = ""
     fixed: bool = False
     named: bool = False
     comments: bool = False
-    doubtful: bool = False
+    doubtful: int = 0
     main: bool = False
 
-    def within(self, tag: str, attributes: str) -> Around:
-        fixed = self.fixed or tag in FURNITURE or (tag == "header" and not self.main) or bool(_HIDDEN.search(attributes))
+    def within(self, tag: str, raw: str) -> Around:
+        attributes = attributes_of(raw)
+        fixed = self.fixed or tag in FURNITURE or (tag == "header" and not self.main) or is_hidden(attributes)
         if tag in MAIN and not self.main and not self.comments:  # names of wrappers say nothing of the main element in them
-            return Around(tag, fixed, False, False, False, not fixed)
-        # an id of a heading, or of a section of the main text, is a slug of its words
-        slug = tag in _HEADINGS or (tag == "section" and self.main)
-        found = ((m[1].lower(), m[2] or m[3] or m[4] or "") for m in _HINT.finditer(attributes)) if "=" in attributes else ()
-        names = " ".join(value for kind, value in found if not (slug and kind == "id"))
+            return Around(tag, fixed, False, False, 0, not fixed)
+        slug = tag in _HEADINGS or self.main
+        names = " ".join(attributes.get(k, "") for k in ("class", "role", "aria-label", *(() if slug else ("id",)))).strip()
         read = bool(names) and tag not in MAIN and tag not in ("body", "html")
-        named = self.named or (read and bool(FURNITURE_WORDS.search(names)))
-        comments = self.comments or (read and bool(COMMENT_WORDS.search(names)))
-        doubtful = self.doubtful or (read and bool(DOUBTFUL_WORDS.search(names)))
+        furniture = read and bool(FURNITURE_WORDS.search(names))
+        level = int(furniture or (read and bool(DOUBTFUL_WORDS.search(names))))
+        if self.main and furniture and tag in CONTAINERS and FURNITURE_NAME.search(f"{attributes.get('class', '')} {attributes.get('role', '')}"):
+            level = 2
+        named = self.named or (furniture and not self.main)
+        doubtful = max(self.doubtful, level)
+        comments = self.comments or (read and (level == 2 or not self.main) and bool(COMMENT_WORDS.search(names)))
         main = tag in MAIN or bool(names and tag in ("div", "section") and MAIN_WORDS.search(names))
         return Around(tag, fixed, named, comments, doubtful, self.main or (main and not fixed and not named and not (doubtful and tag not in MAIN)))
 
@@ -194,9 +217,17 @@ _DOUBTFUL = [
     # outside of it: notices and boxes, and long texts
     (5, 0.0, 0, 0), (14, 0.1, 0, 0), (30, 0.0, 0, 0), (45, 0.0, 0, 0), (4, 1.0, 0, 0), (100, 0.9, 0, 0), (80, 0.02, 0, 1), (120, 0.0, 0, 1),
 ]
+#: Blocks of the main element in a container with a whole name of furniture: adverts, boxes and what readers write; very long
+#: texts are taken for the page's own.
+_NAMED = [
+    (2, 0.0, 1, 0), (5, 0.0, 1, 0), (14, 0.1, 1, 0), (30, 0.0, 1, 0), (45, 0.0, 1, 0), (90, 0.0, 1, 0), (150, 0.0, 1, 0), (4, 1.0, 1, 0),
+    (100, 0.9, 1, 0), (300, 0.0, 1, 1), (400, 0.02, 1, 1),
+]
 _NEIGHBOURS = [((0, 0.0), (0, 0.0)), ((4, 1.0), (3, 1.0)), ((70, 0.0), (60, 0.0)), ((70, 0.0), (3, 1.0)), ((3, 1.0), (60, 0.0)), ((8, 0.0), (5, 0.0))]
-_DOUBTFUL = [(*before, n, links, *after, 0, main, good) for n, links, main, good in _DOUBTFUL for before, after in _NEIGHBOURS]
-LABELLED = [(*r[:-1], doubtful, r[-1]) for doubtful, rows in enumerate((_PLAIN, _DOUBTFUL)) for r in rows]
+_DOUBTFUL, _NAMED = (
+    [(*before, n, links, *after, 0, main, good) for n, links, main, good in rows for before, after in _NEIGHBOURS] for rows in (_DOUBTFUL, _NAMED)
+)
+LABELLED = [(*r[:-1], doubtful, r[-1]) for doubtful, rows in enumerate((_PLAIN, _DOUBTFUL, _NAMED)) for r in rows]
 
 
 def grow(rows: list[tuple], depth: int = 6, least: int = 1):
@@ -228,8 +259,9 @@ def grow(rows: list[tuple], depth: int = 6, least: int = 1):
 @lru_cache(maxsize=1)
 def default_tree():
     """Blocks with a doubtful name have a tree of their own below the root, so that few rows do not blur the others."""
-    plain, doubtful = ([r for r in LABELLED if r[-2] == d] for d in (0, 1))
-    return len(LABELLED[0]) - 2, 0.5, grow(plain), grow(doubtful)
+    plain, doubtful, named = (grow([r for r in LABELLED if r[-2] == d]) for d in (0, 1, 2))
+    level = len(LABELLED[0]) - 2
+    return level, 0.5, plain, (level, 1.5, doubtful, named)
 
 
 def decide(tree, features: tuple) -> int:
