@@ -1,12 +1,15 @@
 """Quality, personal data, chat formatting and main text: definitions, edge cases, held-out accuracy."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from shelfmark.llm import chat, html_text, pii, quality
+from tests.llm.labelled_pages import PAGES
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -90,6 +93,36 @@ def brute_base(text):
     return sorted(found)
 
 
+def test_scan_equals_the_base_patterns():
+    pick = random.Random(2)
+    pieces = [*"ab1 0.@-_+%", "..", "1.2.3.4", "a@b.co", "@b.c_d", "+1 (2", "4532015112830367", "0000", "255", "256", "x@y", " - "]
+    for _ in range(20_000):
+        text = "".join(pick.choice(pieces) for _ in range(pick.randint(0, 14)))
+        assert pii.base_spans(text) == brute_base(text), text
+
+
+@pytest.mark.parametrize(
+    "text,spans",
+    [
+        ("x " + "0" * 5000 + "1.2.3.4 y", 1), ("x 1.2." + "0" * 5000 + ".4 y", 1), ("9" * 5000 + ".2.3.4", 0), ("0" * 200_000, 0), ("a" * 200_000 + " a@b.co", 1),
+        ("1." * 100_000, 25_000), ("a@" * 100_000, 0), ("+1" + " " * 100_000, 0),
+    ],
+)
+def test_long_runs(text, spans):
+    assert len(pii.base_spans(text)) == spans
+    assert pii.redact(text, pii.Model({}, {}, {})).count("<IP>") + (spans == 1 and "@" in text) == spans
+
+
+def test_many_spans_in_one_text():
+    """Overlaps are found in sorted intervals: a log file of 100 000 addresses takes seconds."""
+    text = "1.2.3.4 a@b.co " * 50_000
+    began = time.process_time()
+    found = pii.candidates(text)
+    assert len([c for c in found if c["base"]]) == 100_000
+    assert len(pii.accepted(pii.Model({}, {}, {}), found)) >= 100_000
+    assert time.process_time() - began < 10
+
+
 def test_personal_data(spark):
     rows = [(i, PRIVATE.replace("10.", f"{i % 250}.")) for i in range(120)]
     rows += [(500 + i, f"call {i} on +1 (206) 555-{1000 + i} 8.8.{i}.8 é") for i in range(60)]
@@ -247,6 +280,34 @@ def test_furniture_in_the_main_element():
     assert html_text.main_text(f"<article><p>{WORDS}</p>{''.join(parts)}</article>") == WORDS
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<p title='the hidden river'>{}</p>", "<div class='navy'>{}</div>", "<div class='naval-history'>{}</div>", "<div class='promontory'>{}</div>",
+        "<div class='promoted-rank'>{}</div>", "<div id='consent'>{}</div>", "<div class='ads-free'>{}</div>", "<blockquote class='comment'>{}</blockquote>",
+        "<!--><p>{}</p>", "<!---><p>{}</p>", "<p data-x='display:none'>{}</p>", "<p data-hidden>{}</p>", "<p aria-hidden=false>{}</p>",
+        "<p class=sponsored-by>{}</p>", "<h2 class='comments'>{}</h2>",
+    ],
+)
+def test_names_and_values_keep_the_text(part):
+    for text in (WORDS, "Few words."):
+        assert html_text.main_text(f"<article><p>{WORDS}</p>{part.format(text)}<p>{WORDS}</p></article>") == f"{WORDS}\n{text}\n{WORDS}"
+
+
+@pytest.mark.parametrize("part", ["<p hidden>{}</p>", "<p HIDDEN=''>{}</p>", "<div aria-hidden=true>{}</div>", "<p style='Display: none; x'>{}</p>", "<!--<p>{}</p>--!>"])
+def test_hidden_parts_are_no_text(part):
+    assert html_text.main_text(f"<article><p>{WORDS}</p>{part.format(WORDS)}</article>") == WORDS
+
+
+def test_labelled_pages():
+    """Precision and recall by words over layouts that the labelled blocks of the tree were not taken from."""
+    right = found = wanted = 0
+    for page in PAGES.values():
+        words, want = re.findall("[gb][0-9]+", html_text.main_text(page)), re.findall("g[0-9]+", page)
+        right, found, wanted = right + len(set(words) & set(want)), found + len(words), wanted + len(want)
+    assert right / found > 0.99 and right / wanted > 0.99, (right / found, right / wanted)
+
+
 def test_formulas_are_text():
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>x=2</annotation></semantics></math>"
     assert html_text.main_text(f"<article><p>Let {formula} be so.</p></article>") == "Let x=2 be so."
