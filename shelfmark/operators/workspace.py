@@ -28,3 +28,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_dir(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables that last as long as a ``with`` block, or until they are dropped within it.
+
+    They are tables of a database of their own in the shared folder, so dropping them is plain SQL. What is to outlast the
+    block is written elsewhere before it ends, as by ``written``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"scratch_{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{shared_dir(self.spark)}/{self.name}'")
+        return self
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """Like ``written``, within this block."""
+        name = f"{self.name}.{label.replace('-', '_')}_{len(self.tables)}"
+        df.write.saveAsTable(name)
+        self.tables.append((self.spark.table(name), name))
+        return self.tables[-1][0]
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        for frame in frames:
+            for known, name in self.tables:
+                if known is frame:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
