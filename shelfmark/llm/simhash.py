@@ -19,7 +19,7 @@ with many nodes is cut into blocks, and pairs of blocks are spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.batches import arrow_column, arrow_map, id_and_text, record_batch, slices
 from shelfmark.llm.components import components
 from shelfmark.llm.golay import decode, nearby
-from shelfmark.operators.workspace import written
+from shelfmark.operators.workspace import Scratch, written
 
 #: Bits of the segments and the pairs of them that are keyed.
 WIDTHS = (22, 21, 21)
@@ -43,7 +43,7 @@ BLOCK = 2048
 LOT, COMMON = 1 << 21, 1 << 16
 #: Nodes that share a shingle and are compared in one go.
 SHARERS = 512
-#: Words of 64 parities in the sketch of a set, and words of the filter of texts.
+#: Words of 64 parities in the coarse sketch of a set, and words of the filter of texts.
 PARITIES, FILTER = 8, 1 << 17
 
 
@@ -172,7 +172,7 @@ LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64()),
 LINKS_DDL = "a binary, b binary, key long, block int"
 
 
-def links(nodes: DataFrame, partitions: int, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, partitions: int, distance: int = DISTANCE, block: int = BLOCK, write: Callable = written) -> DataFrame:
     """(a, b): links that join all nodes `fp`, distinct ones, that share a key and are within the distance of each other,
     directly or over others."""
     schema = pa.schema([("key", pa.int64()), ("fp", pa.binary())])
@@ -238,7 +238,7 @@ def links(nodes: DataFrame, partitions: int, distance: int = DISTANCE, block: in
         if held is not None and (len(held) > 1 or number):
             yield from result([joining(held, None, distance)], [(held_key, number, held)] if number else [])
 
-    found = written(arrow_map(dealt, compare, LINKS_DDL), "key-links")
+    found = write(arrow_map(dealt, compare, LINKS_DDL), "key-links")
     direct = found.where("key is null").select("a", "b").distinct()
     over = found.where("key is not null").select("key", "block", F.col("a").alias("fp"))
     if over.isEmpty():
@@ -308,11 +308,22 @@ def set_key(members: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(members.tobytes()) if len(members) else b""
 
 
-def parities(members: np.ndarray) -> np.ndarray:
-    """Whether the members in each of 64 * PARITIES parts of the hash range are odd in number. Two sets differ in as many
-    members at least as their sketches in bits."""
-    odd = np.bincount((members % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.uint64)
+def sketch(members: np.ndarray) -> bytes:
+    """Whether the members in each part of the hash range are odd in number, for two parts a member or more, a power of two.
+    Two sets differ in as many members at least as their sketches in bits."""
+    words = PARITIES
+    while 32 * words < len(members):
+        words *= 2
+    odd = np.bincount((members % np.uint64(64 * words)).astype(np.int64), minlength=64 * words).astype(np.uint8) & 1
+    return np.packbits(odd).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """The sketch of the same set in so many bytes."""
+    out = np.frombuffer(raw, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
 
 
 def may_be_similar(sizes, other_sizes, apart, similarity: float) -> np.ndarray:
@@ -332,68 +343,90 @@ def prefix(members: np.ndarray, common: np.ndarray, counts: np.ndarray, similari
     return members[np.lexsort((members, weight))[:keep]]
 
 
-def set_table(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(id, content, node) of every row, content a hash of the text and node the key of its set; and the common shingles,
-    sorted, with counts. Which ones are known as common tells how much work there is, not what is found."""
-    schema = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("node", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+SETS = pa.schema(
+    [
+        ("id", pa.int64()), ("content", pa.binary()), ("node", pa.binary()), ("fp", pa.binary()), ("size", pa.int64()), ("coarse", pa.binary()),
+        ("sketch", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64()),
+    ]
+)
+SETS_DDL = "id long, content binary, node binary, fp binary, size long, coarse binary, sketch binary, shingle long, times long"
+
+
+def content(text: str = "text"):
+    """16 bytes that stand for a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def set_table(docs: DataFrame, words: int, copies: int, tmp: Scratch) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(id, content, node, fp, size, coarse, sketch) of every row, content standing for the text and node for its set; and
+    the common shingles, sorted, with counts. Which ones are known as common tells how much work there is, not what is found."""
 
     def run(batches):
-        lot, size = [], 0
+        lot, held = [], 0
 
         def counted():
             found, times = np.unique(np.concatenate(lot), return_counts=True)
             found, times = found[times > 2].view(np.int64), times[times > 2]
-            none = [None] * len(found)
-            return record_batch(schema, none, none, none, found, times)
+            return record_batch(SETS, *[[None] * len(found)] * 7, found, times)
 
         for b in slices(batches):
-            sets = [shingle_set(t or "", words) for t in b.column(2).to_pylist()]
-            none = [None] * len(sets)
-            yield record_batch(schema, b.column(0), b.column(1), [set_key(x) for x in sets], none, none)
-            lot += sets
-            size += sum(map(len, sets))
-            if size >= LOT:
+            rows = []
+            for t in b.column(2).to_pylist():
+                hashes = shingle_hashes(t or "", words)
+                members = np.unique(np.array(hashes, np.uint64))
+                fp = b"".join(fingerprint(hashes, c).to_bytes(8, "big") for c in range(copies))
+                fine = sketch(members)
+                rows.append((set_key(members), fp, len(members), folded(fine, 8 * PARITIES).tobytes(), fine))
+                lot.append(members)
+                held += len(members)
+            none = [None] * len(rows)
+            yield record_batch(SETS, b.column(0), b.column(1), *(list(c) for c in zip(*rows)), none, none)
+            if held >= LOT:
                 yield counted()
-                lot, size = [], 0
+                lot, held = [], 0
         if lot:
             yield counted()
 
-    columns = docs.select("id", F.xxhash64("text").alias("content"), "text")
-    table = written(arrow_map(columns, run, "id long, content long, node binary, shingle long, times long"), "shingle-sets")
+    table = tmp.written(arrow_map(docs.select("id", content().alias("content"), "text"), run, SETS_DDL), "shingle-sets")
     common = table.where("node is null").groupBy("shingle").agg(F.sum("times").alias("times"))
     rows = common.orderBy(F.desc("times"), "shingle").limit(COMMON).toArrow()
     shingles, times = (rows.column(c).to_numpy() for c in ("shingle", "times"))
     shingles = shingles.astype(np.int64).view(np.uint64)
     order = np.argsort(shingles)
-    return table.where("node is not null").select("id", "content", "node"), shingles[order], times[order].astype(np.int64)
+    return table.where("node is not null").drop("shingle", "times"), shingles[order], times[order].astype(np.int64)
 
 
-SHARED = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("block", pa.int32())])
+SHARED = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("size", pa.int32()), ("place", pa.int32()), ("block", pa.int32())])
+SHARED_DDL = "shingle long, node binary, size int, place int"
 
 
-def sharers(docs: DataFrame, words: int, similarity: float, common: np.ndarray, counts: np.ndarray, partitions: int) -> DataFrame:
-    """(shingle, node, block) of all nodes that have a shingle of their prefix in common with another node; the nodes of a
-    shingle are numbered blocks of SHARERS. Every pair of the similarity is among the nodes of some shingle."""
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary())])
+def sharers(docs: DataFrame, words: int, similarity: float, common: np.ndarray, counts: np.ndarray, partitions: int, tmp: Scratch) -> DataFrame:
+    """(shingle, node, size, place, block) of all nodes that have a shingle of their prefix, at such a place, in common with
+    another node; the nodes of a shingle are numbered blocks of SHARERS by size. Every pair of the similarity is among the nodes
+    of some shingle."""
 
     def rows(batches):
         for b in slices(batches):
-            keys, firsts = [], []
+            keys, firsts, sizes = [], [], []
             for t in b.column(0).to_pylist():
                 members = shingle_set(t or "", words)
                 if len(members):
                     firsts.append(prefix(members, common, counts, similarity))
                     keys.append(set_key(members))
+                    sizes.append(len(members))
             if keys:
-                at = np.repeat(np.arange(len(keys)), [len(f) for f in firsts])
-                yield record_batch(schema, np.concatenate(firsts).view(np.int64), pa.array(keys, pa.binary()).take(pa.array(at)))
+                lengths = [len(f) for f in firsts]
+                at = np.repeat(np.arange(len(keys)), lengths)
+                places = np.concatenate([np.arange(n) for n in lengths])
+                schema = pa.schema(list(SHARED)[:4])
+                yield record_batch(schema, np.concatenate(firsts).view(np.int64), pa.array(keys, pa.binary()).take(pa.array(at)), np.array(sizes)[at], places)
 
     def numbered(batches):
-        """Rows come sorted by shingle and node; a row is held until the next tells whether it has company."""
+        """Rows come sorted by shingle, size and node; a row is held until the next tells whether it has company."""
         last, seen = None, 0
         for b in batches:
             out = []
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row == last:
                     continue
                 if last is not None and row[0] == last[0]:
@@ -407,77 +440,93 @@ def sharers(docs: DataFrame, words: int, similarity: float, common: np.ndarray,
             if out:
                 yield record_batch(SHARED, *(list(c) for c in zip(*out)))
 
-    dealt = arrow_map(docs.select("text"), rows, "shingle long, node binary").repartition(partitions, "shingle")
-    return written(arrow_map(dealt.sortWithinPartitions("shingle", "node"), numbered, "shingle long, node binary, block int"), "sharers")
+    dealt = arrow_map(docs.select("text"), rows, SHARED_DDL).repartition(partitions, "shingle")
+    return tmp.written(arrow_map(dealt.sortWithinPartitions("shingle", "size", "node"), numbered, f"{SHARED_DDL}, block int"), "sharers")
 
 
-def involved(docs: DataFrame, table: DataFrame, shared: DataFrame, words: int, copies: int) -> DataFrame:
-    """(node, fp, size, sketch, members) of the nodes of `shared`. A filter of bounded size over hashes of texts tells which
-    texts are read; what it lets through in vain is dropped by a join."""
-    nodes = shared.select("node").distinct()
-    wanted = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("content").alias("content"))
-    bit = F.pmod("content", F.lit(64 * FILTER))
-    bits = wanted.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(content, {64 * FILTER}L) & 63L))").alias("bit"))
+def texts_of(docs: DataFrame, contents: DataFrame) -> DataFrame:
+    """(content, text), once for each of the contents. A filter of bounded size over them tells which texts are read; what it
+    lets through in vain is dropped by the join."""
+    bits = contents.select(F.pmod(F.xxhash64("content"), F.lit(64 * FILTER)).alias("at"))
+    bits = bits.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, int(at & 63L))").alias("bit"))
     found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     mask = np.zeros(FILTER, np.uint64)
     mask[found.column("word").to_numpy().astype(np.int64)] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    schema = pa.schema(
-        [("node", pa.binary()), ("fp", pa.binary()), ("size", pa.int64()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64()))]
-    )
+    schema = pa.schema([("content", pa.binary()), ("text", pa.string())])
 
     def run(batches):
         for b in slices(batches):
             at = b.column(0).to_numpy() % (64 * FILTER)
-            chosen = b.filter(pa.array((mask[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            out = []
-            for t in chosen.column(1).to_pylist():
-                hashes = shingle_hashes(t or "", words)
-                members = np.unique(np.array(hashes, np.uint64))
-                fp = b"".join(fingerprint(hashes, c).to_bytes(8, "big") for c in range(copies))
-                out.append((set_key(members), fp, len(members), parities(members).astype(">u8").tobytes(), members.view(np.int64)))
-            for k in range(0, len(out), 16):
-                yield record_batch(schema, *(list(c) for c in zip(*out[k : k + 16])))
+            chosen = (mask[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            yield record_batch(schema, *(c.cast(f.type) for c, f in zip(b.select([1, 2]).filter(pa.array(chosen)).columns, schema)))
 
-    read = arrow_map(
-        docs.select(F.xxhash64("text").alias("content"), "text"), run, "node binary, fp binary, size long, sketch binary, members array<long>"
-    )
-    one = read.join(nodes, "node", "left_semi").groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "size", "sketch")), F.first("members").alias("members"))
-    return written(one, "involved-sets")
+    keyed = docs.select(content().alias("content"), "text").select(F.xxhash64("content").alias("key"), "content", "text")
+    read = arrow_map(keyed, run, "content binary, text string")
+    return read.join(contents, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have the Jaccard similarity; sketches spare most others the full comparison."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+ENDS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+ENDS_DDL = "a binary, b binary"
 
-    def run(batches):
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float, tmp: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have the Jaccard similarity. Sketches spare nearly all pairs well below it the
+    comparison of their texts."""
+
+    def by_sketch(batches):
         for b in batches:
-            if b.num_rows:
-                sizes, others = b.column(2).to_numpy(), b.column(4).to_numpy()
-                fits = may_be_similar(sizes, others, bits_apart(as_nodes(b.column(3)), as_nodes(b.column(5))), similarity)
-                yield b.select([0, 1]).filter(pa.array(fits)).cast(schema)
-
-    sides = [sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    pairs = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
-    pairs = written(arrow_map(pairs, run, "a binary, b binary"), "candidates")
-    sides = [sets.select(F.col("node").alias(x), F.col("members").alias(f"of_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    same = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("same"), (F.size("of_a") + F.size("of_b")).alias("all"))
-    return written(same.where(F.col("same") / (F.col("all") - F.col("same")) >= similarity).select("a", "b"), "verified")
-
-
-def across(shared: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, partitions: int) -> DataFrame:
-    """(a, b): all pairs of nodes of different labels that share a shingle of their prefixes and whose sizes and sketches
-    allow the similarity. labels: (a, b) as components returns them."""
+            size, other, left, right = (b.column(c).to_pylist() for c in range(4))
+            apart = [int(np.bitwise_count(folded(x, n := min(len(x), len(y))) ^ folded(y, n)).sum(dtype=np.int64)) for x, y in zip(left, right)]
+            fits = may_be_similar(np.array(size, np.int64), np.array(other, np.int64), np.array(apart, np.int64), similarity)
+            yield b.select([4, 5, 6, 7]).filter(pa.array(fits.astype(bool)))
+
+    def by_text(batches):
+        for batch in batches:
+            for b in (batch.slice(at, 64) for at in range(0, batch.num_rows, 64)):
+                known: dict[bytes, np.ndarray] = {}
+                fits = []
+                for left, right, *texts in zip(*(c.to_pylist() for c in b.columns)):
+                    for node, text in zip((left, right), texts):
+                        if node not in known:
+                            known[node] = shingle_set(text or "", words)
+                    same = len(np.intersect1d(known[left], known[right], assume_unique=True))
+                    fits.append(same / (len(known[left]) + len(known[right]) - same) >= similarity)
+                yield b.select([0, 1]).filter(pa.array(fits, pa.bool_())).cast(ENDS)
+
+    for x in "ab":
+        pairs = pairs.join(sets.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "content", "size", "sketch"))), x)
+    pairs = pairs.select("size_a", "size_b", "sketch_a", "sketch_b", "a", "b", "content_a", "content_b")
+    pairs = tmp.written(arrow_map(pairs, by_sketch, "a binary, b binary, content_a binary, content_b binary"), "candidates")
+    contents = pairs.select(F.explode(F.array("content_a", "content_b")).alias("content")).distinct()
+    texts = texts_of(docs, contents)
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("content").alias(f"content_{x}"), F.col("text").alias(f"text_{x}")), f"content_{x}")
+    return tmp.written(arrow_map(pairs.select("a", "b", "text_a", "text_b"), by_text, ENDS_DDL), "verified")
+
+
+def across(shared: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, partitions: int, tmp: Scratch) -> DataFrame:
+    """(a, b): all pairs of nodes of different labels that share a shingle of their prefixes and whose sizes, places of the
+    shingle and coarse sketches allow the similarity. labels: (a, b) as components returns them.
+
+    Blocks of a shingle whose sizes are too far apart, or which have one label, never meet."""
     known = labels.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    known = written(sets.select("node", "size", "sketch").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")), "labels")
-    rows = shared.join(known.select("node", "label", "size", "sketch"), "node")
+    known = tmp.written(sets.select("node", "coarse").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labels")
     # shingles of one label have nothing more to tell
-    open_ = rows.groupBy("shingle").agg(F.max("block").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
-    seats = rows.join(open_.where("low <> high").select("shingle", "blocks"), "shingle")
-    seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
-    seats = seats.select("shingle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).alias("right"), "node", "label", "size", "sketch")
+    open_ = shared.select("shingle", "node").join(known.select("node", "label"), "node").groupBy("shingle")
+    open_ = open_.agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle")
+    rows = tmp.written(shared.join(open_, "shingle", "left_semi").join(known, "node"), "open")
+    blocks = rows.groupBy("shingle", "block").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    blocks = tmp.written(blocks, "blocks")
+    left, right = (blocks.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in blocks.columns[1:])) for x in "xy")
+    apart = (F.col("low_x") != F.col("high_x")) | (F.col("low_y") != F.col("high_y")) | (F.col("low_x") != F.col("low_y"))
+    meet = left.join(right, "shingle").where((F.col("block_x") <= F.col("block_y")) & (F.col("least_y") * similarity <= F.col("most_x") + 1e-6) & apart)
+    meet = tmp.written(meet.select("shingle", F.col("block_x").alias("x"), F.col("block_y").alias("y")), "meetings")
+    seat = lambda side: rows.join(meet.withColumn("block", F.col(side)), ["shingle", "block"])
+    seats = seat("x").withColumn("right", F.lit(False)).unionByName(seat("y").where("x <> y").withColumn("right", F.lit(True)))
+    seats = seats.select("shingle", "x", "y", "right", "node", "label", "size", "place", "coarse")
     seats = seats.repartition(partitions, "shingle", "x", "y").sortWithinPartitions("shingle", "x", "y", "right", "node")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(batches):
         at, sides = None, ([], [])
@@ -487,17 +536,20 @@ def across(shared: DataFrame, sets: DataFrame, labels: DataFrame, similarity: fl
             left, right = sides[0], sides[0] if within else sides[1]
             if not left or not right:
                 return
-            (nodes, labels_, sizes, sketches), (nodes2, labels2, sizes2, sketches2) = (
-                (n, np.array(la, object), np.array(si), np.frombuffer(b"".join(sk), ">u8").astype(np.uint64).reshape(len(n), -1))
-                for n, la, si, sk in (tuple(zip(*s)) for s in (left, right))
+            (nodes, labels_, sizes, places, sketches), (nodes2, labels2, sizes2, places2, sketches2) = (
+                (n, np.array(la, object), np.array(si), np.array(pl), np.frombuffer(b"".join(sk), ">u8").astype(np.uint64).reshape(len(n), -1))
+                for n, la, si, pl, sk in (tuple(zip(*s)) for s in (left, right))
             )
-            apart = bits_apart(sketches[:, None, :], sketches2[None, :, :])
-            a, b = np.nonzero((labels_[:, None] != labels2[None, :]) & may_be_similar(sizes[:, None], sizes2[None, :], apart, similarity))
+            # where two sets of the similarity first meet, enough members are left in both
+            rest = np.minimum((sizes - places)[:, None], (sizes2 - places2)[None, :])
+            enough = rest >= similarity / (1 + similarity) * (sizes[:, None] + sizes2[None, :]) - 1e-6
+            a, b = np.nonzero(enough & (labels_[:, None] != labels2[None, :]))
             if within:
                 a, b = a[a < b], b[a < b]
-            if len(a):
-                ends = [(min(nodes[i], nodes2[j]), max(nodes[i], nodes2[j])) for i, j in zip(a.tolist(), b.tolist())]
-                yield record_batch(schema, *(list(c) for c in zip(*ends)))
+            fits = may_be_similar(sizes[a], sizes2[b], bits_apart(sketches[a], sketches2[b]), similarity)
+            if fits.any():
+                ends = [(min(nodes[i], nodes2[j]), max(nodes[i], nodes2[j])) for i, j in zip(a[fits].tolist(), b[fits].tolist())]
+                yield record_batch(ENDS, *(list(c) for c in zip(*ends)))
 
         for batch in batches:
             for shingle, x, y, right, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -507,30 +559,33 @@ def across(shared: DataFrame, sets: DataFrame, labels: DataFrame, similarity: fl
                 sides[right].append(row)
         yield from finish()
 
-    return arrow_map(seats, compare, "a binary, b binary").distinct()
+    out = tmp.written(arrow_map(seats, compare, ENDS_DDL).distinct(), "across")
+    tmp.drop(known, rows, blocks, meet)
+    return out
 
 
-def similar_sets(docs: DataFrame, words: int, copies: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, words: int, copies: int, similarity: float, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every row (id, text), node empty without a word, and (a, b) as components returns them of nodes linked by
-    a Jaccard similarity of their shingle sets.
+    a Jaccard similarity of their shingle sets, as tables of `tmp`. A null text is empty; an empty table gives empty ones.
 
     Two sets of the similarity share one of their first shingles in a fixed order, so only nodes that do so take part. Close
     fingerprints link most of them, in one link for each node even in a large group; then pairs that share a first shingle but
-    are not joined yet are all looked at. Every link is verified on the sets."""
+    are not joined yet are all looked at. Every link is verified on the texts."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table, common, counts = set_table(docs, words)
-    shared = sharers(docs, words, similarity, common, counts, partitions)
-    sets = involved(docs, table, shared, words, copies)
+    table, common, counts = set_table(docs, words, copies, tmp)
+    shared = sharers(docs, words, similarity, common, counts, partitions, tmp)
+    one = table.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
+    sets = tmp.written(one.agg(F.min("content").alias("content"), *(F.first(c).alias(c) for c in ("fp", "size", "coarse", "sketch"))), "sets")
     distance = int(round((1 - similarity) * 64 * copies, 6))
-    of_fp = sets.groupBy("fp").agg(F.min("node").alias("node"))
-    of_fp = written(of_fp, "nodes")
-    found = links(of_fp, partitions, distance).join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
+    of_fp = tmp.written(sets.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
+    found = links(of_fp, partitions, distance, write=tmp.written).join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
     found = found.join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     equal = sets.select(F.col("node").alias("b"), "fp").join(of_fp.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
-    first = verified(found.unionByName(equal), sets, similarity)
-    joined = components(first)
-    rest = verified(across(shared, sets, joined, similarity, partitions), sets, similarity)
-    return table.select("id", "node"), components(first.unionByName(rest))
+    first = verified(found.unionByName(equal), sets, docs, words, similarity, tmp)
+    pairs = across(shared, sets, components(first, tmp.written), similarity, partitions, tmp)
+    tmp.drop(shared)
+    rest = verified(pairs, sets, docs, words, similarity, tmp)
+    return table.select("id", "node"), components(first.unionByName(rest), tmp.written)
 
 
 def drop_near_duplicates(
@@ -540,13 +595,16 @@ def drop_near_duplicates(
     the sets of shingles is at least such. Of rows that repeat this id the one with the least text stays.
 
     Texts without a word tell nothing about each other, so they stay."""
-    ids, joined = similar_sets(id_and_text(docs, id_col, text_col), words, copies, similarity)
-    joined = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    rooted = written(ids.join(joined, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    smallest = rooted.where("node <> x''").groupBy("root").agg(F.min("id").alias("id"))
-    kept = rooted.where("node = x''").select("id").unionByName(smallest.select("id")).distinct().withColumnRenamed("id", "_kept")
+    narrow = id_and_text(docs, id_col, text_col)
+    with Scratch(docs.sparkSession) as tmp:
+        ids, joined = similar_sets(narrow, words, copies, similarity, tmp)
+        joined = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        rooted = tmp.written(ids.join(joined, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")), "rooted")
+        smallest = rooted.where("node <> x''").groupBy("root").agg(F.min("id").alias("id"))
+        kept = rooted.where("node = x''").select("id").unionByName(smallest.select("id")).distinct()
+        kept = written(kept.withColumnRenamed("id", "_kept"), "kept-ids")
     rows = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept"]), "left_semi")
-    repeated = ids.groupBy("id").count().where("count > 1").select(F.col("id").alias("_again"))
+    repeated = narrow.groupBy("id").count().where("count > 1").select(F.col("id").alias("_again"))
     if repeated.isEmpty():
         return rows
     again = rows[f"`{id_col}`"].eqNullSafe(repeated["_again"])
