@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,11 +88,9 @@ def once_per_record(
 ) -> DataFrame:
     """Exact repeats of a record reference within one input, the first arrival kept."""
     named = incoming.filter(F.col(record).isNotNull())
-    others = [c for c in incoming.columns if c not in (key, record)]
-    firsts = named.groupBy(key, record).agg(
-        F.min_by(F.struct(*others), seq).alias("_row")
-    )
-    firsts = firsts.select(key, record, "_row.*").select(*incoming.columns)
+    # the limit on the place drops repeats in every task before the shuffle
+    place = F.row_number().over(W.partitionBy(key, record).orderBy(seq))
+    firsts = named.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
     return firsts.unionByName(incoming.filter(F.col(record).isNull()))
 
 

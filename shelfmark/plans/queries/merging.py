@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.bucketed import BucketedTable, SeenLog
 from shelfmark.operators.merge import MergeSpec, merge_versions, ordered_union
 from shelfmark.operators.records import quality_score
-from shelfmark.operators.tables import unseen, upsert_counts, upsert_merge, upsert_overwrite
+from shelfmark.operators.tables import upsert_counts, upsert_merge, upsert_overwrite
+from shelfmark.operators.workspace import new_dir, written
 from shelfmark.plans.queries.registry import joined, query, table, utc
 
 SPEC = MergeSpec(
@@ -177,12 +179,25 @@ def upsert_merge_table(spark: SparkSession, folder: str) -> DataFrame:
 select user_id, gone as deleted, case when gone then first_reason end as removed_reason, aacid from m""")
 def merge_replay(spark: SparkSession, folder: str) -> DataFrame:
     """T5: everything that names its record arrives a second time and changes nothing."""
+    base = new_dir(spark, "replay")
+    records = BucketedTable(spark, f"{base}/records", "user_id", buckets=8)
+    seen = SeenLog(spark, f"{base}/seen", "user_id", buckets=8)
     v = versions(spark, folder)
-    seen = v.select("user_id", "aacid").filter(F.col("aacid").isNotNull())
-    again = v.filter(F.col("aacid").isNotNull())
-    fresh = unseen(again, seen, key="user_id")
-    merged = upsert_merge(merge_versions(v, SPEC), fresh, SPEC)
-    return merged.select("user_id", "deleted", "removed_reason", "aacid")
+    for rows in (v, v.filter(F.col("aacid").isNotNull())):
+        fresh = written(seen.unseen(rows), "fresh")
+        records.upsert(fresh, lambda old, new: upsert_merge(old, new, SPEC))
+        seen.append(fresh)
+    return records.rows().select("user_id", "deleted", "removed_reason", "aacid")
+
+
+@query(f"with {_VERSIONS}, {_fold('v', 'm')} {_SCALAR_OUT} m")
+def upsert_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Releases by month of the events, each merged into the buckets of a stored table that its keys fall in."""
+    table_ = BucketedTable(spark, new_dir(spark, "buckets"), "user_id", buckets=16)
+    v = versions(spark, folder)
+    for part in (F.expr(f"ts < {HALF}"), F.expr(f"ts >= {HALF} and user_id % 5 > 0"), F.expr(f"ts >= {HALF} and user_id % 5 = 0")):
+        table_.upsert(v.filter(part), lambda old, new: upsert_merge(old, new, SPEC))
+    return _scalar_columns(table_.rows())
 
 
 @query(f"""with {_VERSIONS},

@@ -38,3 +38,16 @@ def distinct_records(
 ) -> DataFrame:
     """Exact repeats that arrive within the watermark of each other are dropped."""
     return stream.withWatermark(at, watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def first_of_bursts(
+    rows: DataFrame, keys: list[str], at: str = "ts", gap: str = WATERMARK, watermark: str = WATERMARK
+) -> DataFrame:
+    """T7 with expiry: (keys, first_at, last_at, n) of each burst, in which no two neighbours are ``gap`` or more apart. A repeat after
+    that is a burst of its own. On a stream a burst comes out when the watermark has passed its end, and its state
+    goes; so there is state for open bursts only, however many keys there are. The same function serves batch and stream."""
+    if rows.isStreaming:
+        rows = rows.withWatermark(at, watermark)
+    return rows.groupBy(*keys, F.session_window(at, gap).alias("w")).agg(
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n")
+    ).drop("w")

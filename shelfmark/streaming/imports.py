@@ -6,14 +6,14 @@ available input is staged: one rewrite of the table, however many micro-batches
 the same rows as folding batch by batch, because a stored row carries the state of the fold. Lines arrive in the
 order of release, file and place in the file, whichever micro-batch brought them.
 
-Folders below ``base``: ``staged/release=R/batch=N`` (all parsed rows), ``records/version=V`` and
-``seen/version=V`` (merged rows and the record references merged so far), ``commits/version=V`` (one
-row, written last: a version counts when its commit is there).
+Folders below ``base``: ``staged/release=R/batch=N`` (all parsed rows), ``records`` (a bucketed table), ``seen`` (a log of the
+record references merged so far). A release rewrites the buckets its keys fall in and appends to the log. Records are
+committed first, then the log: after a failure in between, the fold runs again and merges the same versions a second
+time, which changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,11 +21,13 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.discards import ABORT_RATE, check_error_rate
 from shelfmark.operators.merge import HOT_ROWS
 from shelfmark.operators.records import quality_score, with_derived
-from shelfmark.operators.tables import once_per_record, unseen, upsert_merge
-from shelfmark.operators.workspace import written
+from shelfmark.operators.bucketed import BucketedTable, SeenLog
+from shelfmark.operators.tables import once_per_record, upsert_merge
+from shelfmark.operators.workspace import Scratch
 from shelfmark.sources.adapters import AdapterSettings, adapt
 from shelfmark.sources.jsonl import arrival, read_line_stream
 
+
 def _stage(
     batch: DataFrame, batch_id: int, base: str, collection: str, release_rank: int,
     settings: AdapterSettings, abort_rate: float,
@@ -85,17 +87,16 @@ def staged_counters(spark: SparkSession, base: str, release_rank: int) -> DataFr
     return rows.agg(*[F.sum(c).alias(c) for c in ("seen", "kept", "skipped", "discarded", "failed")])
 
 
-def _latest_version(spark: SparkSession, base: str) -> int | None:
-    try:
-        found = spark.read.parquet(f"{base}/commits/*").agg(F.max("version")).first()
-    except AnalysisException:  # no commit yet
-        return None
-    return found[0]
+def record_table(spark: SparkSession, base: str) -> BucketedTable:
+    return BucketedTable(spark, f"{base}/records")
+
+
+def seen_log(spark: SparkSession, base: str) -> SeenLog:
+    return SeenLog(spark, f"{base}/seen")
 
 
 def current_records(spark: SparkSession, base: str) -> DataFrame | None:
-    version = _latest_version(spark, base)
-    return None if version is None else spark.read.parquet(f"{base}/records/version={version}")
+    return record_table(spark, base).rows()
 
 
 def fold_staged(
@@ -111,21 +112,14 @@ def fold_staged(
     the same payload again changes nothing.
     """
     check_error_rate(staged_counters(spark, base, release_rank).first(), abort_rate)
-    rows = written(once_per_record(staged(spark, base, release_rank).filter(F.col("outcome") == "kept")), "fresh")
-    version = _latest_version(spark, base)
-    following = 0 if version is None else version + 1
-    if version is None:
-        stored = rows.limit(0)
-        fresh, before = rows, None
-    else:
-        stored = spark.read.parquet(f"{base}/records/version={version}")
-        before = spark.read.parquet(f"{base}/seen/version={version}")
-        fresh = written(unseen(rows, before), "fresh")
-    merged = with_derived(upsert_merge(stored, fresh, hot_rows=hot_rows), score=False)
-    merged.write.mode("overwrite").parquet(f"{base}/records/version={following}")
-    named = fresh.select("md5", "aacid").filter(F.col("aacid").isNotNull()).distinct()
-    every = named if before is None else before.unionByName(named)
-    every.write.mode("overwrite").parquet(f"{base}/seen/version={following}")
-    commit = spark.range(1).select(F.lit(following).alias("version"), F.lit(release_rank).alias("release_rank"))
-    commit.coalesce(1).write.mode("overwrite").parquet(f"{base}/commits/version={following}")
-    return spark.read.parquet(f"{base}/records/version={following}")
+    records, seen = record_table(spark, base), seen_log(spark, base)
+    with Scratch(spark) as tmp:
+        rows = once_per_record(staged(spark, base, release_rank).filter(F.col("outcome") == "kept"))
+        fresh = tmp.written(seen.unseen(rows), "fresh")
+
+        def merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+            return with_derived(upsert_merge(stored, incoming, hot_rows=hot_rows), score=False)
+
+        records.upsert(fresh, merge)
+        seen.append(fresh)
+    return records.rows()
