@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.functions.fields import EXTENSION_SHAPE, YEAR_MAX, YEAR_MIN
+from shelfmark.functions.fields import EXTENSION_SHAPE
 from shelfmark.functions.identifiers import normalize_doi, normalize_isbn10, normalize_isbn13
 from shelfmark.functions.languages import normalize_language
 from shelfmark.functions.text import distinct_tokens, normalize_text, tokens
-from shelfmark.operators.text_index import match
-from shelfmark.operators.workspace import written
+from shelfmark.operators.lookup_index import LookupIndex, looked_up, lookup_of
+from shelfmark.operators.text_index import TextIndex, having, match
+from shelfmark.operators.workspace import Scratch, written
 
 PAGE_SIZE = 20
 # Bounds of a request.
@@ -188,120 +189,25 @@ def _batch_filter(all_fields: bool) -> Column:
     return cond
 
 
-def identifiers(records: DataFrame, key: str = "md5") -> DataFrame:
-    """Lookup values of every record: (kind, value, key), one row each."""
-
-    def pairs(kind: str, values: Column) -> Column:
-        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-
-    def single(c: Column) -> Column:
-        return F.filter(F.array(c.cast("string")), lambda v: v.isNotNull())
-
-    entries = F.concat(
-        pairs("isbn", F.array_distinct(F.concat("isbn13", "isbn10"))),
-        pairs("doi", F.array_distinct("doi")),
-        pairs("author", F.col("author_tokens")),
-        pairs("publisher", F.col("publisher_tokens")),
-        pairs("title", distinct_tokens(F.col("title_norm"))),
-        pairs("series", F.col("series_tokens")),
-        pairs("position", single(F.col("series_position"))),
-        pairs("year", single(F.col("publication_year"))),
-        pairs("extension", single(F.col("extension"))),
-        pairs("language", F.array_distinct("languages")),
-    )
-    return records.select(key, F.explode(entries).alias("e")).select("e.kind", "e.value", key)
-
-
-# Kinds of lookup values in which the beginnings of a title query are looked for.
-TITLE_KINDS, ALL_KINDS = ("title",), ("title", "author", "publisher")
-
-
-def _entry_points(q: DataFrame, all_fields: bool = False) -> DataFrame:
-    """Where a query without text terms starts: its most selective criterion as
-    (query_id, kind, value, by_prefix); a query may have several values and kinds."""
-
-    def values(kind: str, vals: Column, by_prefix: bool = False) -> Column:
-        return F.transform(
-            vals,
-            lambda v: F.struct(
-                F.lit(kind).alias("kind"), v.alias("value"), F.lit(by_prefix).alias("by_prefix")
-            ),
-        )
-
-    years = F.sequence(
-        F.greatest(F.coalesce("year_from", F.lit(YEAR_MIN)), F.lit(YEAR_MIN)),
-        F.least(F.coalesce("year_to", F.lit(YEAR_MAX)), F.lit(YEAR_MAX)),
-    ).cast("array<string>")
-    point = (
-        F.when(F.size("isbns") > 0, values("isbn", F.col("isbns")))
-        .when(F.col("doi").isNotNull(), values("doi", F.array("doi")))
-        .when(F.size("author_tokens") > 0, values("author", F.slice("author_tokens", 1, 1)))
-        .when(
-            F.size("title_prefixes") > 0,
-            F.concat(
-                *(values(k, F.slice("title_prefixes", 1, 1), True) for k in (ALL_KINDS if all_fields else TITLE_KINDS))
-            ),
-        )
-        .when(F.size("series_prefixes") > 0, values("series", F.slice("series_prefixes", 1, 1), True))
-        .when(
-            F.col("series_position").isNotNull(),
-            values("position", F.array(F.col("series_position").cast("string"))),
-        )
-        .when(
-            (F.col("year_from") <= YEAR_MAX) | (F.col("year_to") >= YEAR_MIN), values("year", years)
-        )
-        .when(F.col("extension").isNotNull(), values("extension", F.array("extension")))
-        .when(F.col("language").isNotNull(), values("language", F.array("language")))
-    )
-    return q.select("query_id", F.explode(point).alias("e")).select("query_id", "e.*")
-
-
-def _expand_prefixes(points: DataFrame, ids: DataFrame) -> DataFrame:
-    """Prefix entry points become the indexed words that start with them: an equi-join on the beginnings of
-    the distinct words, cut to the lengths that are asked for."""
-    asked = points.filter("by_prefix").select("kind", "value", F.length("value").alias("n"))
-    # one row for each kind and length asked: at most the length of the longest word of a query
-    lengths = asked.groupBy("kind").agg(F.collect_set("n").alias("lengths"))
-    words = ids.filter(F.col("kind").isin(*ALL_KINDS, "series")).select("kind", "value").distinct()
-    prefixes = words.join(lengths, "kind").select(
-        "kind",
-        F.col("value").alias("word"),
-        F.explode(
-            F.transform(
-                F.filter("lengths", lambda n: n <= F.length("value")),
-                lambda n: F.substr(F.col("value"), F.lit(1), n),
-            )
-        ).alias("value"),
-    )
-    found = points.filter("by_prefix").join(prefixes, ["kind", "value"])
-    exact = points.filter(~F.col("by_prefix")).select("query_id", "kind", "value")
-    return exact.unionByName(
-        found.select("query_id", "kind", F.col("word").alias("value"))
-    ).distinct()
-
-
-def _looked_up(records: DataFrame, index: DataFrame, q: DataFrame, all_fields: bool = False) -> DataFrame:
-    """(query_id, md5) of queries without text terms, from their entry points."""
-    ids, points = identifiers(records), _entry_points(q, all_fields)
-    by_prefix, excludes = q.agg(
-        F.max((F.size("title_prefixes") > 0) | (F.size("series_prefixes") > 0)),
-        F.max(F.size("exclude") > 0),
-    ).first()
-    if by_prefix:
-        points = _expand_prefixes(points, ids)
-    hits = points.join(ids, ["kind", "value"]).select("query_id", "md5").distinct()
-    if excludes:
-        barred = q.select("query_id", F.explode("exclude").alias("token")).join(
-            index.select("token", "md5"), "token"
-        )
-        hits = hits.join(barred, ["query_id", "md5"], "left_anti")
+def _looked_up(lookup: LookupIndex, index: DataFrame | TextIndex, q: DataFrame, all_fields: bool, tmp: Scratch) -> DataFrame:
+    """(query_id, md5) of queries without text terms, from the lookup values and the index alone."""
+    hits = looked_up(lookup, q, all_fields, tmp)
+    if not q.filter(F.size("exclude") > 0).isEmpty():
+        barred = q.select("query_id", F.explode("exclude").alias("token"))
+        rows = having(index, barred.select("token").distinct())
+        hits = hits.join(barred.join(rows.select("token", "md5"), "token"), ["query_id", "md5"], "left_anti")
     return hits
 
 
 def candidates(
-    records: DataFrame, index: DataFrame, queries: DataFrame, all_fields: bool = False
+    records: DataFrame,
+    index: DataFrame | TextIndex,
+    queries: DataFrame,
+    all_fields: bool = False,
+    lookup: LookupIndex | None = None,
 ) -> DataFrame:
-    """Rows of every valid query: (query_id, md5, rank, work_key, edition_count).
+    """Rows of every valid query: (query_id, md5, rank, work_key, edition_count). Without a stored ``lookup`` its values are
+    worked out from the records.
 
     ``edition_count`` (W1) counts the rows of the same query with the same work key; rows without a
     work key have none. The narrow rows are written once, because the count and the page both read
@@ -311,20 +217,23 @@ def candidates(
     textual = (F.size("terms") > 0) | (F.size("any_of") > 0) | (F.size("phrase") > 0)
     # one look at the query table, so that the plan holds only the branches some query needs
     has_text, has_plain = valid.agg(F.max(textual), F.max(~textual)).first()
-    hits = None
-    if has_text or not has_plain:
-        hits = match(index, valid.filter(textual))
-    if has_plain:
-        looked_up = _looked_up(records, index, valid.filter(~textual), all_fields).withColumn("rank", F.lit(0.0))
-        hits = looked_up if hits is None else hits.unionByName(looked_up)
-    rows = (
-        hits.alias("h")
-        .join(valid.alias("q"), F.col("h.query_id") == F.col("q.query_id"))
-        .join(records.alias("r"), F.col("h.md5") == F.col("r.md5"))
-        .filter(_batch_filter(all_fields))
-        .select("h.query_id", "r.md5", F.coalesce("h.rank", F.lit(0.0)).alias("rank"), "r.work_key")
-    )
-    return with_edition_count(written(rows, "hits"))
+    with Scratch(records.sparkSession) as tmp:
+        hits = None
+        if has_text or not has_plain:
+            hits = match(index, valid.filter(textual))
+        if has_plain:
+            plain = _looked_up(lookup or lookup_of(records), index, valid.filter(~textual), all_fields, tmp)
+            plain = plain.withColumn("rank", F.lit(0.0))
+            hits = plain if hits is None else hits.unionByName(plain)
+        rows = (
+            hits.alias("h")
+            .join(valid.alias("q"), F.col("h.query_id") == F.col("q.query_id"))
+            .join(records.alias("r"), F.col("h.md5") == F.col("r.md5"))
+            .filter(_batch_filter(all_fields))
+            .select("h.query_id", "r.md5", F.coalesce("h.rank", F.lit(0.0)).alias("rank"), "r.work_key")
+        )
+        rows = written(rows, "hits")
+    return with_edition_count(rows)
 
 
 def with_edition_count(rows: DataFrame) -> DataFrame:
@@ -379,10 +288,14 @@ def next_keys(pages: DataFrame) -> DataFrame:
 
 
 def search(
-    records: DataFrame, index: DataFrame, raw_queries: DataFrame, all_fields: bool = False
+    records: DataFrame,
+    index: DataFrame | TextIndex,
+    raw_queries: DataFrame,
+    all_fields: bool = False,
+    lookup: LookupIndex | None = None,
 ) -> DataFrame:
     """A page of results for every row of a query table; a query that is not valid has none."""
     prepared = written(prepare_queries(raw_queries), "queries")
     queries = prepared.filter(F.col("invalid_reason").isNull())
-    rows = candidates(records, index, queries, all_fields)
+    rows = candidates(records, index, queries, all_fields, lookup)
     return page(after_key(rows, queries), queries).join(records.drop("work_key"), "md5")

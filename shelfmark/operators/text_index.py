@@ -4,13 +4,23 @@ The index has one row per (token, key) with all places of the token in that reco
 never groups raw occurrences again. Matching starts from the rarest required term of each query
 and checks the other terms by an equi-join on (token, key): the work is bounded by the document
 frequency of the rarest term, however common the others are.
+
+A stored index is a list of immutable segments. Records that change are indexed in a segment of their own, which
+overrules what older segments say of its keys; no old segment is written again until segments are compacted. Each segment
+knows the frequency of its tokens and splits the entries of common ones into parts by a hash of the key, so that a join on a
+token is a join on (token, part), in which only the query side is repeated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.versions import commit, latest_version, manifest
+from shelfmark.operators.workspace import Scratch
+
 # Weights of the three indexed fields.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 # Ranks are rounded, so that a page that starts after (rank, key) finds the same rank again.
@@ -46,11 +56,109 @@ def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5")
     return rows.select(key, F.explode(groups).alias("g")).select("g.token", key, "g.places")
 
 
-def write_index(index: DataFrame, path: str, key: str = "md5") -> None:
-    """Stored in token order, so that a scan for some tokens prunes by min/max; the key is part of
-    the range, which spreads a very common token over many files."""
-    ordered = index.repartitionByRange("token", key).sortWithinPartitions("token", key)
-    ordered.write.mode("overwrite").parquet(path)
+#: Entries of a token in one part of it.
+PART = 50_000
+SEGMENTS = "segment int"
+
+
+class TextIndex(NamedTuple):
+    """A stored index: ``entries`` (segment, token, part, key, places), ``vocabulary`` (segment, token, df, parts) and, if there
+    is more than one segment, ``latest`` (key, latest): the newest segment that speaks for a key of a later one."""
+
+    entries: DataFrame
+    vocabulary: DataFrame
+    latest: DataFrame | None = None
+    key: str = "md5"
+
+    def living(self, rows: DataFrame) -> DataFrame:
+        """Without the entries that newer segments overrule."""
+        if self.latest is None:
+            return rows
+        ruled = rows.join(self.latest, self.key, "left")
+        return ruled.filter(F.coalesce("latest", F.lit(0)) <= F.col("segment")).drop("latest")
+
+    def rows(self) -> DataFrame:
+        """All valid entries as (token, key, places)."""
+        return self.living(self.entries).select("token", self.key, "places")
+
+
+def stored_segment(entries: DataFrame, keys: DataFrame | None, path: str, number: int, key: str = "md5", part: int = PART) -> None:
+    """Writes entries (token, key, places) as a segment: sorted by token, part and key, so that a scan for some tokens prunes
+    by min/max. ``keys``: what the segment speaks for, records without a word among them; the first segment needs none."""
+    with Scratch(entries.sparkSession) as tmp:
+        entries = tmp.written(entries, "entries")  # read for the counts and again for the parts
+        counts = entries.groupBy("token").agg(F.count("*").alias("df"))
+        counts = tmp.written(counts.withColumn("parts", F.ceil(F.col("df") / part).cast("int")), "counts")
+        # of these there are at most as many as entries / part
+        common = counts.filter(F.col("parts") > 1).select("token", "parts")
+        rows = entries.join(common, "token", "left") if not common.isEmpty() else entries.withColumn("parts", F.lit(None).cast("int"))
+        rows = rows.select("token", part_of(key, F.coalesce("parts", F.lit(1))).alias("part"), key, "places")
+        ordered = rows.repartitionByRange("token", "part", key).sortWithinPartitions("token", "part", key)
+        ordered.write.mode("overwrite").parquet(f"{path}/entries/segment={number}")
+        counts = counts.repartitionByRange("token").sortWithinPartitions("token")
+        counts.write.mode("overwrite").parquet(f"{path}/vocabulary/segment={number}")
+        if keys is not None:
+            keys.select(key).distinct().write.mode("overwrite").parquet(f"{path}/keys/segment={number}")
+
+
+def part_of(key: Column | str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key), parts).cast("int")
+
+
+def write_index(index: DataFrame, path: str, key: str = "md5", part: int = PART) -> None:
+    """A stored index of one segment."""
+    stored_segment(index, None, path, 1, key, part)
+    commit(index.sparkSession, path, 1, [(1,)], SEGMENTS)
+
+
+def read_index(spark: SparkSession, path: str, key: str = "md5", version: int | None = None) -> TextIndex:
+    """The stored index as it is now, or as an older version had it."""
+    segments = sorted(r["segment"] for r in manifest(spark, path, version))
+    read = lambda kind, which: spark.read.option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/segment={n}" for n in which])
+    latest = None
+    if len(segments) > 1:
+        latest = read("keys", segments[1:]).groupBy(key).agg(F.max("segment").alias("latest"))
+    return TextIndex(read("entries", segments), read("vocabulary", segments), latest, key)
+
+
+def add_segment(spark: SparkSession, path: str, entries: DataFrame, keys: DataFrame, key: str = "md5", part: int = PART) -> int:
+    """A new version, in which a segment of its own speaks for the keys; their entries in older segments no longer count."""
+    before = [r["segment"] for r in manifest(spark, path)]
+    number = latest_version(spark, path) + 1
+    stored_segment(entries, keys, path, number, key, part)
+    commit(spark, path, number, [(n,) for n in [*before, number]], SEGMENTS)
+    return number
+
+
+def compacted(spark: SparkSession, path: str, key: str = "md5", part: int = PART) -> int:
+    """A new version with all valid entries in one segment. Older versions stay readable."""
+    number = latest_version(spark, path) + 1
+    stored_segment(read_index(spark, path, key).rows(), None, path, number, key, part)
+    commit(spark, path, number, [(number,)], SEGMENTS)
+    return number
+
+
+def having(index: DataFrame | TextIndex, tokens: DataFrame) -> DataFrame:
+    """(segment, token, part, key, places) of the valid entries of some tokens. Of an index that is not stored, all is one part."""
+    if isinstance(index, TextIndex):
+        return index.living(index.entries.join(tokens, "token", "left_semi"))
+    plain = index.join(tokens, "token", "left_semi")
+    return plain.withColumns({"segment": F.lit(0), "part": F.lit(0)})
+
+
+def frequencies(index: DataFrame | TextIndex, rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(segment, token, df, parts) of some tokens, from the stored vocabulary if there is one, else counted in ``rows``."""
+    if isinstance(index, TextIndex):
+        return index.vocabulary.join(tokens, "token", "left_semi").select("segment", "token", "df", "parts")
+    counted = rows.groupBy("segment", "token").agg(F.count("*").alias("df"))
+    return counted.withColumn("parts", F.lit(1))
+
+
+def with_token(asked: DataFrame, rows: DataFrame, spread: DataFrame) -> DataFrame:
+    """``asked`` (with a token) joined with the entries of its token, part by part."""
+    seats = asked.join(spread.select("segment", "token", "parts"), "token")
+    seats = seats.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return seats.join(rows, ["segment", "token", "part"])
 
 
 def _queries(queries: DataFrame) -> DataFrame:
@@ -83,21 +191,21 @@ def _asks() -> Column:
     return F.transform(words, ask)
 
 
-def starting_pairs(index: DataFrame, q: DataFrame, key: str) -> DataFrame:
+def starting_pairs(rows: DataFrame, spread: DataFrame, q: DataFrame, key: str) -> DataFrame:
     """(query_id, key) worth checking: records with the rarest required term of the query, or with
     one of ``any_of`` when nothing is required."""
-    spread = index.groupBy("token").agg(F.count("*").alias("df"))
-    by_term = q.select("query_id", F.explode("terms").alias("token")).join(spread, "token", "left")
+    totals = spread.groupBy("token").agg(F.sum("df").alias("df"))
+    by_term = q.select("query_id", F.explode("terms").alias("token")).join(totals, "token", "left")
     rarest = by_term.groupBy("query_id").agg(
         F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token")
     )
     loose = q.filter(F.size("terms") == 0).select("query_id", F.explode("any_of").alias("token"))
-    hits = rarest.unionByName(loose).join(index.select("token", key), "token")
+    hits = with_token(rarest.unionByName(loose), rows.select("segment", "token", "part", key), spread)
     return hits.select("query_id", key).distinct()
 
 
 def match(
-    index: DataFrame,
+    index: DataFrame | TextIndex,
     queries: DataFrame,
     key: str = "md5",
     weights: dict[str, float] | None = None,
@@ -111,7 +219,8 @@ def match(
     weights = weights or FIELD_WEIGHTS
     q = _queries(queries).withColumn("asks", _asks())
     asked = q.select(F.explode("asks.token").alias("token")).distinct()
-    rows = index.join(asked, "token", "left_semi")
+    rows = having(index, asked)
+    spread = frequencies(index, rows, asked)
     needs = q.select(
         "query_id",
         "asks",
@@ -119,11 +228,11 @@ def match(
         F.size("phrase").alias("steps"),
         (F.size("any_of") > 0).alias("wants_any"),
     )
-    pairs = starting_pairs(rows, q, key).join(needs, "query_id")
+    pairs = starting_pairs(rows, spread, q, key).join(needs, "query_id")
     wanted = pairs.select(
         "query_id", key, "k", "steps", "wants_any", F.explode("asks").alias("ask")
     ).withColumn("token", F.col("ask.token"))
-    found = wanted.join(rows, ["token", key])
+    found = wanted.join(rows.drop("segment", "part"), ["token", key])
 
     scores = F.when(F.col("k") > 0, F.col("ask.term") >= 0).otherwise(F.col("ask.either"))
     events = F.transform(

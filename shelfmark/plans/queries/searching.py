@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,21 +11,21 @@ from shelfmark.functions.fields import normalize_year
 from shelfmark.functions.languages import normalize_language, one_language
 from shelfmark.functions.text import normalize_text, tokens
 from shelfmark.operators import lookup
+from shelfmark.operators.lookup_index import LookupIndex, identifiers, read_lookup, write_lookup
 from shelfmark.operators.merge import merge_versions
 from shelfmark.operators.records import quality_score, record_columns, with_derived
 from shelfmark.operators.search import (
     after_key,
     candidates,
-    identifiers,
     next_keys,
     page,
     prepare_queries,
     record_filter,
     search,
 )
-from shelfmark.operators.text_index import match, write_index
+from shelfmark.operators.text_index import TextIndex, match, read_index, write_index
 from shelfmark.operators.workspace import new_dir, written
-from shelfmark.plans.imports import index_records, refreshed_index
+from shelfmark.plans.imports import index_records, refresh_index
 from shelfmark.plans.queries.registry import query, spread, sql_norm, sql_words, table
 
 
@@ -60,17 +62,27 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return with_derived(merged, score=False)
 
 
-_stored: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+class Catalogue(NamedTuple):
+    records: DataFrame
+    index: TextIndex
+    lookup: LookupIndex
+
 
+_stored: dict[tuple, Catalogue] = {}
 
-def stored_catalogue(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Record table and text index as searches find them: written tables, built once per session."""
-    key = (spark.sparkContext.applicationId, folder)
+
+def stored_catalogue(spark: SparkSession, folder: str) -> Catalogue:
+    """Record table, text index and lookup values as searches find them: written tables, built once per session and state of the
+    folder's files."""
+    files = [table(spark, folder, n).select("_metadata.file_path", "_metadata.file_modification_time") for n in ("documents", "labels")]
+    state = tuple(sorted(map(tuple, files[0].union(files[1]).distinct().collect())))  # one row a file
+    key = (spark.sparkContext.applicationId, folder, state)
     if key not in _stored:
         records = written(catalogue(spark, folder), "records")
-        path = new_dir(spark, "index")
-        write_index(index_records(records), path)
-        _stored[key] = records, spark.read.parquet(path)
+        index, lookup = new_dir(spark, "index"), new_dir(spark, "lookup")
+        write_index(index_records(records), index)
+        write_lookup(records, lookup)
+        _stored[key] = Catalogue(records, read_index(spark, index), read_lookup(spark, lookup))
     return _stored[key]
 
 
@@ -164,11 +176,13 @@ select token, count(*) as n_docs, sum(n)::bigint as n_places from (
     "select token, count(*) as n_docs", "select token, count(distinct md5) as n_docs"))
 def index_refreshed(spark: SparkSession, folder: str) -> DataFrame:
     """L1: an index in which half of the records had another title, brought up to date, is that of all records."""
-    records = written(catalogue(spark, folder), "records")
+    records = stored_catalogue(spark, folder).records
     changed = F.col("md5") < "8"
     before = records.withColumn("title_norm", F.when(changed, "a former title").otherwise(F.col("title_norm")))
-    index = refreshed_index(index_records(before), records.filter(changed))
-    return index.groupBy("token").agg(
+    path = new_dir(spark, "index")
+    write_index(index_records(before), path)
+    refresh_index(spark, path, records.filter(changed))
+    return read_index(spark, path).rows().groupBy("token").agg(
         F.count("*").alias("n_docs"), F.sum(F.size("places")).cast("long").alias("n_places")
     )
 
@@ -190,8 +204,7 @@ group by query_id, md5, k having count(*) = k""")
 def search_match(spark: SparkSession, folder: str) -> DataFrame:
     """records that hold every word of a passage."""
     queries = passages(spark, folder).select("query_id", F.array_distinct(tokens(F.col("norm"))).alias("terms"))
-    _, index = stored_catalogue(spark, folder)
-    return match(index, queries).select("query_id", "md5")
+    return match(stored_catalogue(spark, folder).index, queries).select("query_id", "md5")
 
 
 @query(f"""with {_RECORDS},
@@ -202,8 +215,7 @@ select query_id, md5 from asked join lines on contains(lines.line, asked.line)""
 def search_phrase(spark: SparkSession, folder: str) -> DataFrame:
     """records that hold a whole passage word by word."""
     queries = passages(spark, folder).select("query_id", tokens(F.col("norm")).alias("phrase"))
-    _, index = stored_catalogue(spark, folder)
-    return match(index, queries).select("query_id", "md5")
+    return match(stored_catalogue(spark, folder).index, queries).select("query_id", "md5")
 
 
 @query(f"""with {_RECORDS},
@@ -220,16 +232,28 @@ def search_any_but_not(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.concat(F.lit("src"), F.col("n_nationkey") % 20), F.concat(F.lit("src"), region * 3)).alias("any_of"),
         F.array(F.get(F.array(*map(F.lit, ("en", "de", "fr", "es", "das"))), region)).alias("exclude"),
     )
-    _, index = stored_catalogue(spark, folder)
-    return match(index, queries).select("query_id", "md5")
+    return match(stored_catalogue(spark, folder).index, queries).select("query_id", "md5")
 
 
+# Places run on from title over authors, as they were merged, to publisher; the latest of a record's places weighs by its field.
 _RANKED = f"""{_RECORDS},
+asked as (
+  select item_id::varchar as query_id, text from benchmark
+  union all select distinct 'source ' || source, source || ' press' from documents),
 q_terms as (
   select query_id, token, row_number() over (partition by query_id order by token) as t,
          count(*) over (partition by query_id) as k
-  from (select distinct item_id as query_id, unnest({sql_words(sql_norm('text'))}) as token from benchmark)),
-marks as (select q.query_id, w.md5, q.t, q.k, w.pos, w.w from q_terms q join words w using (token)),
+  from (select distinct query_id, unnest({sql_words(sql_norm('text'))}) as token from asked)),
+people as (
+  select md5, source as token, row_number() over (partition by md5 order by min(doc_id)) as n from versions group by md5, source),
+lengths as (
+  select l.md5, best_lang, len({sql_words(sql_norm('text'))}) as n_title, len(sources) as n_people from live l),
+spots as (
+  select md5, token, pos from words
+  union all select md5, token, n_title + n from people join lengths using (md5)
+  union all select md5, 'press', n_title + n_people + 1 from lengths
+  union all select md5, best_lang, n_title + n_people + 2 from lengths),
+marks as (select q.query_id, s.md5, q.t, q.k, s.pos from q_terms q join spots s using (token)),
 whole as (select query_id, md5 from marks group by query_id, md5, k having count(distinct t) = k),
 events as (select m.* from marks m join whole using (query_id, md5)),
 grid as (
@@ -238,12 +262,13 @@ grid as (
   from events e join q_terms q using (query_id)
   window g as (partition by e.query_id, e.md5, q.t order by e.pos rows unbounded preceding)),
 covers as (
-  select query_id, md5, pos, k, case when count(seen) = k then min(seen) end as start from grid
-  group by query_id, md5, pos, k),
+  select query_id, md5, pos, k, case when count(seen) = k then min(seen) end as start,
+    sum(case when seen <= n_title then 1.0::double when seen <= n_title + n_people then 0.4 else 0.2 end) as weight
+  from grid join lengths using (md5) group by query_id, md5, pos, k, n_title, n_people),
 minimal as (
   select *, coalesce(start > max(start) over (partition by query_id, md5 order by pos
                      rows between unbounded preceding and 1 preceding), start is not null) as fresh from covers),
-sums as (select query_id, md5, sum(case when fresh then 1.0 / (2 + pos - start - k) else 0 end) as s
+sums as (select query_id, md5, sum(case when fresh then weight / k / (2 + pos - start - k) else 0 end) as s
          from minimal group by all),
 ranked as (select query_id, md5, round(s / (s + 1), 9) as rank from sums),
 counted as (
@@ -256,26 +281,30 @@ placed as (
 
 
 def _ranked_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Each whole passage as query text, in pages of one record."""
-    return passages(spark, folder).select("query_id", F.col("text").alias("q"), F.lit(1).alias("page_size"))
+    """Each whole passage as query text, and short texts of a word of authors and one of publishers, which have many hits; in pages
+    of the default size."""
+    long = passages(spark, folder).select(F.col("query_id").cast("string").alias("query_id"), F.col("text").alias("q"))
+    sources = table(spark, folder, "documents").select("source").distinct()
+    short = sources.select(F.concat(F.lit("source "), "source").alias("query_id"), F.concat("source", F.lit(" press")).alias("q"))
+    return long.unionByName(short)
 
 
 @query(f"""with {_RANKED}
-select query_id, md5, rank, edition_count, place, total > 1 as has_next from placed where place <= 1""")
+select query_id, md5, rank, edition_count, place, total > 20 as has_next from placed where place <= 20""")
 def search_ranked_page(spark: SparkSession, folder: str) -> DataFrame:
     """The first page of every query."""
-    records, index = stored_catalogue(spark, folder)
-    rows = search(records, index, _ranked_queries(spark, folder))
+    records, index, lookup = stored_catalogue(spark, folder)
+    rows = search(records, index, _ranked_queries(spark, folder), lookup=lookup)
     return rows.select("query_id", "md5", "rank", "edition_count", "place", "has_next")
 
 
 @query(f"""with {_RANKED}
-select query_id, md5, rank, place - 1 as place, total > 2 as has_next from placed where place = 2""")
+select query_id, md5, rank, place - 20 as place, total > 40 as has_next from placed where place between 21 and 40""")
 def search_next_page(spark: SparkSession, folder: str) -> DataFrame:
     """O2/O3: the page after the first, found from the last key of the first."""
-    records, index = stored_catalogue(spark, folder)
+    records, index, lookup = stored_catalogue(spark, folder)
     queries = written(prepare_queries(_ranked_queries(spark, folder)), "queries")
-    rows = candidates(records, index, queries)
+    rows = candidates(records, index, queries, lookup=lookup)
     first = next_keys(page(rows, queries)).filter(F.col("after_md5").isNotNull()).drop("rows")
     later = queries.drop("after_rank", "after_md5").join(first, "query_id")
     return page(after_key(rows, later), later).select("query_id", "md5", "rank", "place", "has_next")
@@ -307,8 +336,8 @@ placed as (select *, row_number() over (partition by query_id order by md5) as p
 select query_id, md5, place, 0.0 as rank from placed where place <= 50""")
 def search_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of filter-only queries."""
-    records, index = stored_catalogue(spark, folder)
-    rows = search(records, index, _filter_queries(spark, folder))
+    records, index, lookup = stored_catalogue(spark, folder)
+    rows = search(records, index, _filter_queries(spark, folder), lookup=lookup)
     return rows.select("query_id", "md5", "place", "rank")
 
 
@@ -324,8 +353,8 @@ select query_id, md5, place from placed where place <= 100""")
 def search_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """titles in which every word of a passage begins a word."""
     queries = passages(spark, folder).select("query_id", F.col("text").alias("title"), F.lit(100).alias("page_size"))
-    records, index = stored_catalogue(spark, folder)
-    return search(records, index, queries).select("query_id", "md5", "place")
+    records, index, lookup = stored_catalogue(spark, folder)
+    return search(records, index, queries, lookup=lookup).select("query_id", "md5", "place")
 
 
 @query(f"""with {_RECORDS},
@@ -344,9 +373,9 @@ def search_prefix_all_fields(spark: SparkSession, folder: str) -> DataFrame:
     raw = pairs.select("source", "lang", F.posexplode(orders).alias("n", "title")).select(
         F.concat_ws("/", "source", "lang", "n").alias("query_id"), "title"
     )
-    records, index = stored_catalogue(spark, folder)
+    records, index, lookup = stored_catalogue(spark, folder)
     queries = written(prepare_queries(raw), "queries")
-    return candidates(records, index, queries, all_fields=True).select("query_id", "md5")
+    return candidates(records, index, queries, all_fields=True, lookup=lookup).select("query_id", "md5")
 
 
 @query(f"""with {_RECORDS}
@@ -354,7 +383,7 @@ select md5, ext as extension, n_chars as filesize from live
 where list_contains(sources, 'src3') and ext = 'epub'""")
 def record_filter_single(spark: SparkSession, folder: str) -> DataFrame:
     """F7-F10 for a single query."""
-    rows = stored_catalogue(spark, folder)[0].filter(record_filter(author="src3", extension="EPUB"))
+    rows = stored_catalogue(spark, folder).records.filter(record_filter(author="src3", extension="EPUB"))
     return rows.select("md5", "extension", "filesize")
 
 
@@ -408,7 +437,7 @@ union all select 'series', count(distinct s), count(*) from (
   select unnest(['serie', best_lang, best_source]) as s from records)""")
 def identifier_entries(spark: SparkSession, folder: str) -> DataFrame:
     """The lookup values of the records, counted by kind."""
-    ids = identifiers(stored_catalogue(spark, folder)[0])
+    ids = identifiers(stored_catalogue(spark, folder).records)
     return ids.groupBy("kind").agg(
         F.countDistinct("value").alias("n_values"), F.count("*").alias("n_rows")
     )
@@ -423,7 +452,7 @@ def editions_by_work(spark: SparkSession, folder: str) -> DataFrame:
     works = docs.select(
         F.concat(F.lit(" doi:10.1000/"), "source", F.lit("."), "lang").alias("work_key")
     ).union(docs.select(F.col("source")))  # sources are no work keys
-    rows = lookup.best_first(lookup.editions(stored_catalogue(spark, folder)[0], works))
+    rows = lookup.best_first(lookup.editions(stored_catalogue(spark, folder).records, works))
     return rows.select("work_key", "md5", "quality_score", "total_editions")
 
 
@@ -431,7 +460,7 @@ def editions_by_work(spark: SparkSession, folder: str) -> DataFrame:
 select work_key, count(*) as editions from live where work_key is not null group by 1""")
 def edition_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """A19."""
-    return lookup.edition_sizes(stored_catalogue(spark, folder)[0])
+    return lookup.edition_sizes(stored_catalogue(spark, folder).records)
 
 
 def _wanted_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -457,7 +486,7 @@ found as (select asked, case when not regexp_full_match(lower(asked), '[0-9a-f]{
 @query(f"with {_RECORDS}, {_WANTED} select asked, status, quality_score, deleted from found")
 def key_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """O6."""
-    rows = lookup.by_key(stored_catalogue(spark, folder)[0], _wanted_keys(spark, folder))
+    rows = lookup.by_key(stored_catalogue(spark, folder).records, _wanted_keys(spark, folder))
     return rows.select("asked", "status", "quality_score", "deleted")
 
 
@@ -468,7 +497,7 @@ select asked, status, case when status = 'ok' then collection end as source_coll
 def source_references(spark: SparkSession, folder: str) -> DataFrame:
     """P11."""
     return lookup.source_references(
-        lookup.by_key(stored_catalogue(spark, folder)[0], _wanted_keys(spark, folder))
+        lookup.by_key(stored_catalogue(spark, folder).records, _wanted_keys(spark, folder))
     )
 
 
@@ -478,7 +507,7 @@ select md5, ext as format, year as year, collection, record_id::varchar as recor
   length(text) as title_chars from records""")
 def response_shape(spark: SparkSession, folder: str) -> DataFrame:
     """P10: the nested answer, some of its parts shown flat."""
-    answers = lookup.response(stored_catalogue(spark, folder)[0])
+    answers = lookup.response(stored_catalogue(spark, folder).records)
     return answers.select(
         "md5", "format", F.col("publicationYear").alias("year"), "source.collection", "source.record_id",
         F.try_element_at("identifiers.doi", F.lit(1)).alias("first_doi"),

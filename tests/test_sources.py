@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.discards import check_error_rate, discard_samples, import_counters, quarantine
 from shelfmark.operators.tables import kept_rows, purge
-from shelfmark.plans.imports import import_release, index_records, refreshed_index
+from shelfmark.operators.text_index import compacted, match, read_index, write_index
+from shelfmark.plans.imports import import_release, index_records, refresh_index
 from shelfmark.sources import adapters as ad
 from shelfmark.sources.jsonl import list_files, read_lines, unread_files
 from shelfmark.sources.manifest import latest_releases, pinned_release, read_manifest, releases
@@ -213,10 +214,26 @@ def test_discard_samples_are_bounded_and_distinct(spark):
 
 
 def test_index_refresh(spark, folder):
-    write(f"{folder}/in", "a.txt", [book(1, title="old words"), book(2, title="other")])
+    """A refresh adds a segment and leaves the files of the old ones alone; compaction makes one of them."""
+    write(f"{folder}/in", "a.txt", [book(1, title="old words"), book(2, title="other"), book(3, title="third old")])
     records = import_release(spark, f"{folder}/in", ad.ZLIB3).records
-    index = index_records(records)
+    path = f"{folder}/index"
+    write_index(index_records(records), path)
+    before = read_index(spark, path).entries.inputFiles()
     changed = records.filter("source_record_id = '1'").withColumn("title_norm", F.lit("new text"))
-    fresh = {(r["token"], r["md5"][-1]) for r in refreshed_index(index, changed).collect()}
-    assert {t for t, k in fresh if k == "1"} == {"new", "text", "ann", "lee"}
-    assert {t for t, k in fresh if k == "2"} == {"other", "ann", "lee"}
+    gone = records.filter("source_record_id = '3'").withColumn("deleted", F.lit(True))
+    refresh_index(spark, path, changed.unionByName(gone))
+    refresh_index(spark, path, changed.withColumn("title_norm", F.lit("newest text")))
+
+    def entries():
+        return {(r["token"], r["md5"][-1]) for r in read_index(spark, path).rows().collect()}
+
+    want = {(t, "1") for t in ("newest", "text", "ann", "lee")} | {(t, "2") for t in ("other", "ann", "lee")}
+    assert entries() == want
+    assert set(before) < set(read_index(spark, path).entries.inputFiles())
+    asked = spark.createDataFrame([("a", ["old"]), ("b", ["newest"]), ("c", ["ann"])], "query_id string, terms array<string>")
+    hits = {(r["query_id"], r["md5"][-1]) for r in match(read_index(spark, path), asked).collect()}
+    assert hits == {("b", "1"), ("c", "1"), ("c", "2")}
+    compacted(spark, path)
+    assert entries() == want and read_index(spark, path).latest is None
+    assert len(read_index(spark, path, version=3).entries.inputFiles()) > len(before)
