@@ -555,5 +555,5 @@ def purge_backup(spark: SparkSession, folder: str) -> DataFrame:
 def table_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of whole tables within a time."""
     names = ["lineitem", "documents"]
-    counts = [(n, reports.counted_within(table(spark, folder, n), 600)) for n in names]
+    counts = [(n, reports.counted_within(table(spark, folder, n), 600).rows) for n in names]
     return spark.createDataFrame(counts, "name string, n long")

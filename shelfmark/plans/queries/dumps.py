@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.discards import discard_counts, error_samples, import_counters
+from shelfmark.operators.gate import gate_outcomes
 from shelfmark.operators.tables import upsert_merge
-from shelfmark.operators.workspace import new_dir
+from shelfmark.operators.workspace import new_dir, written
 from shelfmark.plans.imports import import_release
 from shelfmark.plans.queries.accounting import BUCKET_SQL, bucket_columns, samples
 from shelfmark.plans.queries.registry import joined, query, spread, table, utc
 from shelfmark.sources import adapters
 from shelfmark.sources.adapters import adapt, adapt_mixed
 from shelfmark.sources.jsonl import read_lines
-from shelfmark.streaming.buckets import distinct_records, performance_buckets
+from shelfmark.sources.salvage import breaks, payloads, read_frames, salvaged
+from shelfmark.streaming.buckets import distinct_records, first_of_bursts, performance_buckets
 from shelfmark.streaming.imports import fold_staged, stage_stream, staged_counters
 
 
@@ -511,6 +513,60 @@ def line_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content): payloads of a hundred documents in four gzip members each. Even ones end before their last member does,
+    odd ones have zeros in the middle of the second."""
+    path = new_dir(spark, "members")
+    lines = zlib3_lines(spark, folder).withColumns({"payload": F.floor(F.col("seq") / 100), "member": F.col("seq") % 4})
+    lines = lines.repartition("payload", "member")
+    lines.select("payload", "member", "line").write.partitionBy("payload", "member").option("compression", "gzip").text(path)
+    place = lambda name: F.regexp_extract("file", f"{name}=([0-9]+)", 1).cast("long")
+    files = payloads(spark, f"{path}/*/*").select(place("payload").alias("payload"), place("member").alias("member"), "content")
+    cut = F.expr("substring(content, 1, length(content) - 9)")
+    zeros = F.concat(F.expr("substring(content, 1, 60)"), F.lit(bytes(40)), F.expr("substring(content, 101)"))
+    even = F.col("payload") % 2 == 0
+    damaged = F.when(even & (F.col("member") == 3), cut).when(~even & (F.col("member") == 1), zeros).otherwise(F.col("content"))
+    parts = F.array_sort(F.collect_list(F.struct("member", damaged.alias("content"))))
+    whole = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["content"]))  # a hundred documents
+    return files.groupBy("payload").agg(whole.alias("content")).select(F.col("payload").cast("string").alias("file"), "content")
+
+
+@query("""
+select doc_id // 100 as payload, count(*) filter (where doc_id % 4 <> if(doc_id // 100 % 2 = 0, 3, 1)) as lines,
+  1 as breaks, if(doc_id // 100 % 2 = 0, 3, 1) as broken_frame from documents group by doc_id // 100""")
+def salvaged_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """S3: what whole frames of damaged payloads hold, and which frame broke; the frames after it are read too."""
+    frames = written(read_frames(damaged_payloads(spark, folder), partial=False), "frames")
+    broken = breaks(frames).groupBy("file").agg(F.count("*").alias("breaks"), F.min("frame").alias("broken_frame"))
+    lines = salvaged(frames).groupBy("file").agg(F.count("*").alias("lines"))
+    return broken.join(lines, "file").select(F.col("file").cast("long").alias("payload"), "lines", "breaks", "broken_frame")
+
+
+_PIECES = """
+with r as (
+  select c_nationkey as payload, c_custkey % 7 as piece, case c_mktsegment when 'BUILDING' then 1 else 0 end as bad
+  from customer),
+p as (select payload, piece, count(*) as n, sum(bad) as f from r group by 1, 2),
+s as (select payload, piece, sum(n) over w as seen, sum(f) over w as failed from p
+      window w as (partition by payload order by piece)),
+stop as (select payload, min(piece) as piece from s where seen >= 10 and failed > 0.25 * seen group by 1),
+last as (select payload, max(piece) as piece from s group by 1)"""
+
+
+@query(f"""{_PIECES}
+select s.payload, s.seen::bigint as seen, s.failed::bigint as failed, stop.piece as stopped_after,
+  case when stop.piece is not null or s.failed > 0.25 * s.seen then 'aborted' else 'kept' end as outcome
+from last left join stop using (payload)
+join s on s.payload = last.payload and s.piece = coalesce(stop.piece, last.piece)""")
+def gate_by_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """The books of a nation are a payload of seven pieces; more than a quarter of broken ones after ten lines ends it."""
+    lines = goodreads_lines(spark, folder)
+    keys = table(spark, folder, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("payload"))
+    rows = adapt(lines, adapters.GOODREADS).select("seq", "part", "outcome").join(keys, "seq")
+    rows = rows.withColumn("piece", F.col("seq") % 7)
+    return gate_outcomes(rows, "payload", "piece", abort_rate=0.25, check_after=10)
+
+
 @query(_IMPORTED)
 def stream_import(spark: SparkSession, folder: str) -> DataFrame:
     """The same dump as a stream of files in several micro-batches, staged and folded; the
@@ -535,21 +591,33 @@ def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
     return staged_counters(spark, base, 1)
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def event_stream(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
+    """The events in the order of their time, in several files that a stream takes one at a time. The last two files hold a mark
+    each, of no type, days later: the first moves the watermark, the batch of the second closes what is still open."""
+    events, path = table(spark, folder, "events").withColumn("ts", utc("ts")), new_dir(spark, "events")
+    micros = F.unix_micros("ts")
+    cuts = events.select(micros.alias("at")).approxQuantile("at", [i / files for i in range(1, files)], 0.01)
+    edges = [None, *(int(c) for c in cuts), None]
+    for low, high in zip(edges, edges[1:]):  # one after the other: a stream takes files by their age
+        part = events.filter((F.lit(low is None) | (micros > low)) & (F.lit(high is None) | (micros <= high)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    for days in (1, 2):
+        mark = events.agg((F.max("ts") + F.make_dt_interval(days=F.lit(days))).alias("ts"))
+        mark = mark.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema))
+        mark.write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query(BUCKET_SQL)
 def stream_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    """Buckets of a stream; every update of a bucket replaces the earlier one."""
+    """Buckets of a stream of several micro-batches; every update of a bucket replaces the earlier one."""
     out = new_dir(spark, "buckets")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch-{batch_id}")
 
-    buckets = performance_buckets(samples(event_stream(spark, folder)))
-    stream = buckets.writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True)
+    events = event_stream(spark, folder).filter(F.col("event_type").isNotNull())
+    stream = performance_buckets(samples(events)).writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True)
     stream.option("checkpointLocation", new_dir(spark, "state")).start().awaitTermination()
     updates = spark.read.parquet(f"{out}/*")
     rest = [c for c in updates.columns if c not in ("release_id", "bucket_start", "batch")]
@@ -559,13 +627,31 @@ def stream_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return bucket_columns(last.select("release_id", "bucket_start", "r.*"))
 
 
+def _streamed(rows: DataFrame, label: str) -> DataFrame:
+    """What a stream appends, as a table."""
+    spark, out = rows.sparkSession, new_dir(rows.sparkSession, label)
+    stream = rows.writeStream.format("parquet").option("path", out).trigger(availableNow=True)
+    stream.option("checkpointLocation", new_dir(spark, "state")).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 @query("select distinct user_id, event_type from events")
 def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeats within the watermark are dropped in the stream."""
-    out = new_dir(spark, "distinct")
-    events = event_stream(spark, folder).withColumn("ts", utc("ts"))
-    once = distinct_records(events, ["user_id", "event_type"], watermark="90 days")
-    stream = once.select("user_id", "event_type").writeStream.format("parquet").option("path", out)
-    stream.option("checkpointLocation", new_dir(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id long, event_type string").parquet(out)
+    """Repeats within the watermark are dropped in the stream, over several micro-batches."""
+    events = event_stream(spark, folder)
+    once = distinct_records(events, ["user_id", "event_type"], watermark="90 days").filter(F.col("event_type").isNotNull())
+    return _streamed(once.select("user_id", "event_type"), "distinct")
+
 
+@query("""
+with e as (select event_type, user_id, ts, ts - lag(ts) over (partition by event_type, user_id order by ts) as gap from events),
+b as (select event_type, user_id, ts, sum(if(gap < interval 12 hour, 0, 1)) over (partition by event_type, user_id order by ts
+      rows unbounded preceding) as burst from e)
+select event_type, user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_at,
+  count(*) as n from b group by event_type, user_id, burst""")
+def stream_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    """T7 with expiry: repeats are let through again after half a day without one."""
+    bursts = first_of_bursts(event_stream(spark, folder), ["event_type", "user_id"], gap="12 hours", watermark="10 minutes")
+    rows = _streamed(bursts, "bursts").filter(F.col("event_type").isNotNull())  # in the stream it would take the marks away first
+    as_text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("event_type", "user_id", as_text("first_at"), as_text("last_at"), "n")

@@ -101,5 +101,19 @@ def test_impact_of_filters_by_definition(spark):
     assert rows["none"]["total"] == 0 and rows["none"]["latest"] is None
 
 
-def test_count_is_exact(spark):
-    assert reports.counted_within(spark.range(1234), 60) == 1234
+def test_count_within_a_time(spark, folder):
+    """Both ways: exact, and an estimate from some files after the count was cancelled; nothing runs on after the answer."""
+    assert reports.counted_within(spark.range(1234), 60) == (1234, 1234, 1234, True)
+    spark.range(0, 60_000, 1, 60).write.parquet(f"{folder}/even")
+    spark.range(20_000).selectExpr("id", "if(id < 15000, 0, id % 40) as f").repartition(40, "f").write.parquet(f"{folder}/uneven")
+    with pytest.raises(TimeoutError):
+        reports.counted_within(spark.range(10**13).filter("id % 7 = 3"), 0.5)
+    assert not spark.sparkContext.statusTracker().getActiveStageIds()
+    slow = F.expr("java_method('java.lang.Thread', 'sleep', 20L) is null or id >= 0")
+    even = spark.read.parquet(f"{folder}/even")
+    got = reports.counted_within(even.filter(slow), 0.5, files=10)
+    assert not got.exact and got.low <= 60_000 <= got.high and abs(got.rows - 60_000) < 100
+    assert not spark.sparkContext.statusTracker().getActiveStageIds()
+    uneven = spark.read.parquet(f"{folder}/uneven")
+    got = reports.counted_within(uneven.filter(slow), 0.2, files=100)
+    assert got.rows == 20_000 and got.exact  # all its files were drawn
