@@ -1,6 +1,6 @@
 """Dump lines of each collection to common records.
 
-An adapter is a function from a DataFrame of lines (``seq``, ``line``) to a DataFrame with the
+An adapter is a ``Shape`` of columns over the parsed line. It makes of a DataFrame of lines (``seq``, ``line``) one with the
 record columns plus
 
 * ``seq``      arrival number of the line,
@@ -47,7 +47,7 @@ from shelfmark.functions.text import (
     strip,
     title_from_path,
 )
-from shelfmark.operators.records import record_columns
+from shelfmark.operators.records import RECORD_TYPES, record_columns
 from shelfmark.sources.jsonl import error_text, parse_lines
 
 ENVELOPE = "struct<aacid:string,metadata:variant>"
@@ -107,57 +107,101 @@ def _envelope(lines: DataFrame) -> DataFrame:
     return parsed.withColumn("_unreadable", wrong)
 
 
-def _emit(
-    df: DataFrame,
-    record: dict[str, Column],
-    discard: Column | None = None,
-    discard_keeps: tuple[str, ...] = (),
-    failure: Column | None = None,
-    part: Column | None = None,
-) -> DataFrame:
-    """Records with their outcome. Discarded rows keep their key, collection and the fields named
-    in ``discard_keeps``; ``failure`` is a message where the payload cannot be used."""
+@dataclass
+class Shape:
+    """How lines of a collection become records, as columns over the parsed line.
+
+    ``stages`` are named columns that later ones build on. ``discard`` is the reason to drop a record, which keeps its key,
+    collection and the fields in ``discard_keeps``; ``failure`` is a message where the payload cannot be used. Where a line
+    is several records, ``files`` lists what differs between them: key, extension and size.
+    """
+
+    record: dict[str, Column]
+    stages: tuple[dict[str, Column], ...] = ()
+    discard: Column | None = None
+    discard_keeps: tuple[str, ...] = ()
+    failure: Column | None = None
+    files: Column | None = None
+
+
+OF_FILES = ("md5", "extension", "filesize")
+
+
+def _shaped(lines: DataFrame, shapes: dict[str, Shape], by: str | None = None) -> DataFrame:
+    """Records with their outcome. Of several shapes the one that the column ``by`` names is evaluated for a line, and no other;
+    lines that it does not name a shape for fail."""
+
+    def choose(of: Callable[[Shape], Column | None]) -> Column:
+        out = F.lit(None)
+        for name, shape in shapes.items():
+            value = of(shape)
+            if value is not None:
+                out = value if by is None else F.when(F.col(by) == name, value).otherwise(out)
+        return out
+
+    text = lambda of: choose(of).cast("string")
+    df = _envelope(lines)
+    known = F.lit(True) if by is None else F.coalesce(F.col(by).isin(list(shapes)), F.lit(False))
+    for n in range(max(len(shape.stages) for shape in shapes.values())):
+        names = [name for shape in shapes.values() for name in (shape.stages[n] if n < len(shape.stages) else ())]
+        df = df.withColumns({name: choose(lambda shape, n=n, name=name: shape.stages[n].get(name) if n < len(shape.stages) else None) for name in names})
+    many = [name for name, shape in shapes.items() if shape.files is not None]
+    in_files = F.lit(False) if not many else F.lit(True) if by is None else F.coalesce(F.col(by).isin(many), F.lit(False))
     df = df.withColumns(
         {
-            "_discard": discard if discard is not None else F.lit(None).cast("string"),
-            "_failure": F.when(F.col("_unreadable"), F.lit("not a usable JSON object")).otherwise(
-                failure if failure is not None else F.lit(None).cast("string")
-            ),
-            "_key": record["md5"],
+            "_discard": text(lambda shape: shape.discard),
+            "_failure": F.when(~known, F.lit("no such collection")).when(F.col("_unreadable"), F.lit("not a usable JSON object")).otherwise(text(lambda shape: shape.failure)),
+            "_key": text(lambda shape: shape.record.get("md5")),
         }
     )
     outcome = (
-        F.when(F.col("_unreadable"), "failed")
-        .when(F.col("_key").isNull(), "skipped")
+        F.when(~known | F.col("_unreadable"), "failed")
+        .when(~in_files & F.col("_key").isNull(), "skipped")
         .when(F.col("_discard").isNotNull(), "discarded")
         .when(F.col("_failure").isNotNull(), "failed")
         .otherwise("kept")
     )
     df = df.withColumn("outcome", outcome)
-    bare = {"md5", "source_collection", *discard_keeps}
-    shown = {}
-    for name, value in record.items():
-        wide = F.col("outcome") == "kept"
-        if name in bare:
-            wide = wide | (F.col("outcome") == "discarded")
-        shown[name] = F.when(wide, F.col("_key") if name == "md5" else value)
+
+    def field(name: str) -> Callable[[Shape], Column | None]:
+        def of(shape: Shape) -> Column | None:
+            if name not in shape.record:
+                return None
+            wide = F.col("outcome") == "kept"
+            if name in ("md5", "source_collection", *shape.discard_keeps):
+                wide = wide | (F.col("outcome") == "discarded")
+            return F.when(wide, F.col("_key") if name == "md5" else shape.record[name])
+
+        return of
+
+    names = {name for shape in shapes.values() for name in shape.record}
+    shown = {name: choose(field(name)) for name in names}
     shown["discard_reason"] = F.when(F.col("outcome") == "discarded", F.col("_discard"))
-    error = F.when(
-        F.col("outcome") == "failed",
-        error_text(F.lit("ParseError"), F.col("_failure"), F.col("line")),
-    )
-    return df.select(
-        "seq",
-        (part if part is not None else F.lit(0)).alias("part"),
-        *record_columns(**shown),
-        "outcome",
-        error.alias("error"),
-    )
+    kind = F.lit("ParseError") if by is None else F.when(known, "ParseError").otherwise("UnknownCollection")
+    message = F.col("_failure") if by is None else F.when(known, F.col("_failure")).otherwise(F.coalesce(F.col(by), F.lit("none")))
+    error = F.when(F.col("outcome") == "failed", error_text(kind, message, F.col("line"))).alias("error")
+    records = record_columns(**shown)
+    if not many:
+        return df.select("seq", F.lit(0).alias("part"), *records, "outcome", error)
+
+    # only the finished fields go through the explode, not the line and what it was parsed to
+    files = choose(lambda shape: shape.files)
+    if by is not None:
+        files = F.when(in_files, files).otherwise(F.array(F.lit(None)))
+    df = df.select("seq", *records, "outcome", error, in_files.alias("_in_files"), F.posexplode_outer(files).alias("_part", "_file"))
+    keyless = F.col("_in_files") & (F.col("outcome") != "failed") & F.col("_file.md5").isNull()
+    df = df.withColumn("outcome", F.when(keyless, "skipped").otherwise(F.col("outcome")))
+    shown = {}
+    for name in RECORD_TYPES:
+        shown[name] = F.when(F.col("outcome") != "skipped", F.col(name))
+        if name in OF_FILES:
+            wide = F.col("outcome").isin("kept", "discarded") if name == "md5" else F.col("outcome") == "kept"
+            shown[name] = F.when(F.col("_in_files"), F.when(wide, F.col(f"_file.{name}"))).otherwise(F.col(name))
+    return df.select("seq", F.coalesce("_part", F.lit(0)).alias("part"), *record_columns(**shown), "outcome", "error")
 
 
-def zlib3(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> DataFrame:
+def zlib3_shape(settings: AdapterSettings) -> Shape:
     """P1."""
-    df = _envelope(lines)
     book = lambda name: _get(F.col("raw.metadata"), f"$.annabookinfo.response.{name}")
     isbns = _field("isbns", "array<string>")
     language = F.coalesce(
@@ -191,7 +235,7 @@ def zlib3(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> Da
         "removed_reason": F.when(removed, _field("removalReason")),
         "ipfs_cid": book("ipfs_cid"),
     }
-    return _emit(df, record)
+    return Shape(record)
 
 
 def first_of_each(items: Column, key: str) -> Column:
@@ -207,9 +251,8 @@ def first_of_each(items: Column, key: str) -> Column:
     return F.transform(in_place, lambda x: x["item"])
 
 
-def ia2(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> DataFrame:
+def ia2_shape(settings: AdapterSettings) -> Shape:
     """One record per usable file of an item."""
-    df = _envelope(lines).withColumn("_item", _get(F.col("raw.metadata"), "$.metadata_json", "variant"))
     item = lambda name: _get(F.col("_item"), f"$.metadata['{name}']", "variant")
     files = F.transform(
         F.filter(_items(_get(F.col("_item"), "$.aa_shorter_files", "variant")), _is_object),
@@ -221,27 +264,26 @@ def ia2(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> Data
     )
     media = F.lower(as_text(item("mediatype")))
     off_type = (media != "texts") if settings.require_ia_texts else F.lit(False)
-    df = df.withColumn("_files", files).withColumn(
-        "_discard_media", F.when(off_type, F.concat(F.lit("ia_mediatype:"), media))
-    )
-    usable = F.when(F.col("_discard_media").isNotNull(), F.slice("_files", 1, 1)).otherwise(
-        F.col("_files")
+    usable = F.when(F.col("_off_type").isNotNull(), F.slice("_files", 1, 1)).otherwise(F.col("_files"))
+    each = F.transform(
+        first_of_each(usable, "md5"),
+        lambda f: F.struct(
+            f["md5"].alias("md5"),
+            normalize_extension(path_suffix(f["name"])).alias("extension"),
+            safe_long(f["size"]).alias("filesize"),
+        ),
     )
-    df = df.select("*", F.posexplode_outer(first_of_each(usable, "md5")).alias("_part", "_file"))
 
     isbns = as_list(item("isbn"))
     people = F.concat(as_list(item("creator")), as_list(item("associated-names")))
     libraries = F.concat(as_list(item("openlibrary_edition")), as_list(item("openlibrary_work")))
     ia_id = _field("ia_id")
     record = {
-        "md5": F.col("_file.md5"),
         "title": as_text(item("title")),
         "authors": F.array_distinct(F.flatten(F.transform(people, split_authors))),
         "publisher": as_text(item("publisher")),
         "publication_year": normalize_year(_get(item("date"), "$")),
         "languages": one_language(normalize_language(as_text(item("language")))),
-        "extension": normalize_extension(path_suffix(F.col("_file.name"))),
-        "filesize": safe_long(F.col("_file.size")),
         "isbn13": isbn13_list(isbns),
         "oclc": F.filter(as_list(item("oclc-id")), lambda x: x.rlike(r"^\p{Nd}+$")),
         "openlibrary_ids": F.filter(libraries, lambda x: x.rlike(OPEN_LIBRARY_ID)),
@@ -253,27 +295,22 @@ def ia2(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> Data
         "aacid": F.col("raw.aacid"),
         "source_timestamp": record_timestamp(F.col("raw.aacid")),
     }
-    return _emit(
-        df,
-        record,
-        discard=F.col("_discard_media"),
-        discard_keeps=("source_record_id",),
-        part=F.coalesce("_part", F.lit(0)),
+    stages = (
+        {"_item": _get(F.col("raw.metadata"), "$.metadata_json", "variant")},
+        {"_files": files, "_off_type": F.when(off_type, F.concat(F.lit("ia_mediatype:"), media))},
     )
+    return Shape(record, stages, discard=F.col("_off_type"), discard_keeps=("source_record_id",), files=each)
 
 
-def uploads(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> DataFrame:
+def uploads_shape(settings: AdapterSettings) -> Shape:
     """P3."""
-    df = _envelope(lines)
     exif = lambda name: non_blank(_get(F.col("raw.metadata"), f"$.exiftool_output.{name}"))
     info = lambda name: non_blank(_get(F.col("raw.metadata"), f"$.pikepdf_docinfo['/{name}']"))
-    df = df.withColumns(
-        {
-            "_title": F.coalesce(exif("Title"), info("Title")),
-            "_author": F.coalesce(exif("Author"), info("Author")),
-            "_group": upload_group(F.col("raw.aacid")),
-        }
-    )
+    named = {
+        "_title": F.coalesce(exif("Title"), info("Title")),
+        "_author": F.coalesce(exif("Author"), info("Author")),
+        "_group": upload_group(F.col("raw.aacid")),
+    }
     blocked = F.col("_group").isin(list(settings.blocked_upload_groups))
     discard = F.when(blocked, F.concat(F.lit("blocked_subcollection:"), F.col("_group")))
     if settings.require_upload_title_author:
@@ -311,9 +348,9 @@ def uploads(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) ->
         "deleted": copy,
         "removed_reason": F.when(copy, F.lit("deleted_as_duplicate")),
     }
-    return _emit(
-        df,
+    return Shape(
         record,
+        (named,),
         discard=discard,
         discard_keeps=("title", "authors", "source_record_id", "aacid"),
         failure=F.when(size.isNotNull() & safe_long(size).isNull(), F.lit("file size is no number")),
@@ -329,14 +366,13 @@ GOODREADS_XML = (
 )
 
 
-def goodreads(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> DataFrame:
+def goodreads_shape(settings: AdapterSettings) -> Shape:
     """The record is an XML text."""
     xml = F.from_xml(
         F.coalesce(_field("record"), F.lit("")),
         GOODREADS_XML,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"},
     )
-    df = _envelope(lines).withColumn("_xml", xml)
     book = lambda name: non_blank(F.col(f"_xml.book.{name}"))
     no_names = F.array().cast("array<string>")
     own = F.coalesce(F.transform("_xml.book.authors.author", lambda a: a["name"]), no_names)
@@ -369,12 +405,11 @@ def goodreads(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -
         "source_timestamp": record_timestamp(F.col("raw.aacid")),
     }
     broken = F.col("_xml._bad").isNotNull() | F.col("_xml.book").isNull()
-    return _emit(df, record, failure=F.when(broken, F.lit("no readable book in the XML text")))
+    return Shape(record, ({"_xml": xml},), failure=F.when(broken, F.lit("no readable book in the XML text")))
 
 
-def gbooks(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> DataFrame:
+def gbooks_shape(settings: AdapterSettings) -> Shape:
     """P5."""
-    df = _envelope(lines)
     record_id = _field("id")
     ids = F.transform(
         F.filter(_items(_field("industryIdentifiers", "variant")), _is_object),
@@ -396,12 +431,11 @@ def gbooks(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> D
         "aacid": F.col("raw.aacid"),
         "source_timestamp": record_timestamp(F.col("raw.aacid")),
     }
-    return _emit(df, record, discard=discard)
+    return Shape(record, discard=discard)
 
 
-def libby(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> DataFrame:
+def libby_shape(settings: AdapterSettings) -> Shape:
     """P6."""
-    df = _envelope(lines)
     record_id = _field("id")
     media = F.lower(_name_of(_field("type", "variant"), "id", "name"))
     writers = F.filter(
@@ -436,16 +470,16 @@ def libby(lines: DataFrame, settings: AdapterSettings = AdapterSettings()) -> Da
     off_type = F.when(
         ~media.isin(list(settings.libby_types)), F.concat(F.lit("libby_type:"), media)
     )
-    return _emit(df, record, discard=off_type)
+    return Shape(record, discard=off_type)
 
 
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {
-    ZLIB3: zlib3,
-    IA2: ia2,
-    UPLOADS: uploads,
-    GOODREADS: goodreads,
-    GBOOKS: gbooks,
-    LIBBY: libby,
+SHAPES: dict[str, Callable[[AdapterSettings], Shape]] = {
+    ZLIB3: zlib3_shape,
+    IA2: ia2_shape,
+    UPLOADS: uploads_shape,
+    GOODREADS: goodreads_shape,
+    GBOOKS: gbooks_shape,
+    LIBBY: libby_shape,
 }
 
 
@@ -453,30 +487,13 @@ def adapt(
     lines: DataFrame, collection: str, settings: AdapterSettings = AdapterSettings()
 ) -> DataFrame:
     """Records of a dump of one collection."""
-    if collection not in ADAPTERS:
+    if collection not in SHAPES:
         raise KeyError(f"no adapter for collection {collection!r}")
-    return ADAPTERS[collection](lines, settings)
+    return _shaped(lines, {collection: SHAPES[collection](settings)})
 
 
 def adapt_mixed(
     lines: DataFrame, settings: AdapterSettings = AdapterSettings(), column: str = "collection"
 ) -> DataFrame:
-    """Lines of several collections, each to its adapter; unknown collections fail."""
-    known = list(ADAPTERS)
-    out = None
-    for name, adapter in ADAPTERS.items():
-        part = adapter(lines.filter(F.col(column) == name), settings)
-        out = part if out is None else out.unionByName(part)
-    stray = lines.filter(F.col(column).isNull() | ~F.col(column).isin(known))
-    failed = stray.select(
-        "seq",
-        F.lit(0).alias("part"),
-        *record_columns(),
-        F.lit("failed").alias("outcome"),
-        error_text(
-            F.lit("UnknownCollection"), F.coalesce(F.col(column), F.lit("none")), F.col("line")
-        ).alias("error"),
-    )
-    return out.unionByName(failed)
-
-
+    """Lines of several collections in one pass, each by the adapter of its collection; unknown collections fail."""
+    return _shaped(lines, {name: make(settings) for name, make in SHAPES.items()}, column)

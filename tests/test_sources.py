@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,29 @@ def test_unknown_collection(spark):
     assert got == {1: "failed", 2: "kept"}
 
 
+def test_mixed_lines_in_one_pass(spark, folder):
+    """A single scan; every line has the outcome that the adapter of its collection alone gives it."""
+    item = {"ia_id": "i", "metadata_json": {"metadata": {"title": "T"}, "aa_shorter_files": [{"md5": "a" * 32, "name": "x.PDF"}, {"md5": "b" * 32}]}}
+    lines = [
+        (ad.ZLIB3, book(1)), (ad.ZLIB3, "{bad"), (ad.ZLIB3, "{}"), (ad.IA2, envelope("x", item)), (ad.IA2, "[]"), (ad.IA2, envelope("x", {})),
+        (ad.UPLOADS, envelope("x", {"md5": "c" * 32, "filepath": "d/Some_File.epub"})), (ad.GOODREADS, envelope("x", {"id": 1, "record": "<r><book>"})),
+        (ad.GBOOKS, envelope("x", {"id": "m", "printType": "MAGAZINE"})), (ad.LIBBY, envelope("x", {"id": "1", "title": "L", "languages": ["de"]})),
+        ("other", envelope("x", {"id": "1"})), (None, book(2)),
+    ]
+    df = spark.createDataFrame([(c, n, line) for n, (c, line) in enumerate(lines)], "collection string, seq long, line string")
+    df.write.parquet(f"{folder}/mixed")
+    mixed = ad.adapt_mixed(spark.read.parquet(f"{folder}/mixed"))
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan|Scan parquet", plan)) == 1 and "Union" not in plan
+    generate = next(x for x in plan.splitlines() if "Generate" in x)
+    assert "line#" not in generate and "raw#" not in generate  # neither goes through the explode
+    got = sorted(map(str, mixed.collect()))
+    alone = [r for c in ad.SHAPES for r in ad.adapt(df.filter(F.col("collection") == c), c).collect()]
+    strange = mixed.filter(F.col("error").startswith("UnknownCollection")).orderBy("seq").collect()
+    assert [(r["seq"], r["error"][:26]) for r in strange] == [(10, "UnknownCollection: other ::"[:26]), (11, "UnknownCollection: none :: "[:26])]
+    assert got == sorted(map(str, [*alone, *strange]))
+
+
 def write(folder, name, lines, compress=False):
     os.makedirs(folder, exist_ok=True)
     data = "\n".join(lines).encode() + b"\n"
