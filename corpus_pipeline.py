@@ -1,6 +1,8 @@
 """Documents made ready for training: five stages, each written as Parquet and read again by the next.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever they
+are. A null text counts as empty. A null id is an id like any other, of which one row stays where one of each group does. Of rows
+that repeat, the dedup stages keep one; the other stages keep all they keep of one. Empty documents give empty results.
 """
 
 from __future__ import annotations
