@@ -62,7 +62,8 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_blocks, segments, formatted) of rows (conv_id, turns).
 
     The segments (said, loss) make up the formatted text and are its loss mask: loss is true for what an assistant said
-    and nothing else. Offsets are running sums of their lengths, so everything stays linear in the text.
+    and nothing else. There are no offsets: the mask is the list of segments itself, so everything stays linear in the text.
+    Conversations that repeat stay repeated; an empty table gives an empty one.
     """
     rows = conversations.select("conv_id", blocks_of(F.col("turns")).alias("blocks"))
     pieces = F.flatten(
@@ -93,7 +94,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 def read_back(texts: DataFrame) -> DataFrame:
     """(conv_id, turns, loss_text, formatted) of rows (conv_id, formatted, segments): roles and texts as they were, and
-    what stands under the loss mask."""
+    what stands under the loss mask. Rows that repeat stay repeated; an empty table gives an empty one."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != "")
     turns = F.flatten(
         F.transform(
@@ -112,7 +113,7 @@ def read_back(texts: DataFrame) -> DataFrame:
 
 
 def digests(texts: DataFrame) -> DataFrame:
-    """What the numbered query returns, all of it read back from the formatted texts."""
+    """What the numbered query returns, all of it read back from the formatted texts. An empty table gives an empty one."""
     back = read_back(texts)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -42,8 +42,8 @@ def limit_of(dims: int, parts: int) -> int:
 def integers(vectors: DataFrame, id_col: str, vector_col: str, label_col: str | None, settings: Settings) -> tuple[DataFrame, int]:
     """(id, label, dims, ints) of the vectors that can be coded, as a written table, and their length.
 
-    Left out are vectors that are null, hold a null or non-finite component or one beyond `limit_of` (262 000 and more for 64
-    components in 16 parts), those that cannot be cut into equal parts, and those of another length than the one
+    Left out are vectors that are null, hold a null or non-finite component or one beyond `limit_of` (a component beyond
+    370 000 for 64 of them in 16 parts and a scale of 256), those that cannot be cut into equal parts, and those of another length than the one
     with the smallest id."""
     label = F.col(f"`{label_col}`") if label_col else None
     rows = rows_of(vectors, id_col, vector_col, label)

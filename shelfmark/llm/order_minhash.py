@@ -124,7 +124,8 @@ RESULT = pa.schema(
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as array of COMPONENTS numbers) of every row; a null text is empty."""
+    """(id, fingerprint as array of COMPONENTS numbers) of every row; a null text is empty, a null id stays null, rows that
+    repeat have a row each, and an empty table gives an empty one."""
     schema = pa.schema([("id", pa.int64()), ("fingerprint", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -173,7 +174,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Of every row the fingerprints of its text and of its edited text, and how like the former is to the latter's
     and to the next row's, in ascending order of id (then text); the first row follows the last.
 
-    A null text is empty. Repeated rows follow each other. A null id counts as the least and stays null.
+    A null text is empty. Repeated rows follow each other. A null id counts as the least long (-2^63) and stays
+    null, so that number itself is no id of its own.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

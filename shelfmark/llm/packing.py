@@ -249,6 +249,9 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every text."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every text.
+
+    A null text is empty, so its one piece is the end id alone; a null id stays null, rows that repeat have pieces each, and an
+    empty table gives an empty one."""
     pieces = token_pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col)
     return pack(pieces, capacity).withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})
