@@ -257,6 +257,58 @@ def test_order_minhash(spark):
         assert r["near_edited"] == order_minhash.likeness(own, changed) and r["near_next"] == order_minhash.likeness(own, next_)
 
 
+def plain_fingerprint(text, k=8, components=32, chosen=2):
+    """The definition in Python integers: number equal k-mers by occurrence, take the least two by each hash function, put them back
+    into text order, hash that pair."""
+    whole, base = 1 << 64, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0x7FB5D329728EA185 % whole
+        x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D % whole
+        return x ^ x >> 33
+
+    if not text:
+        return [0] * components
+    points = [mix(ord(c) + 1) for c in text]
+    seen, marks = {}, []
+    for at in range(max(1, len(points) - k + 1)):
+        total = len(points) if len(points) < k else 0  # a text shorter than a k-mer is one, with its length
+        for x in points[at : at + k]:
+            total = (total * base + x) % whole
+        kmer = text[at : at + k]
+        times = seen[kmer] = seen.get(kmer, -1) + 1
+        total = mix(total)
+        marks.append((mix((total + times * base) % whole) if times else total) >> 32)
+    out = []
+    for c in range(1, components + 1):
+        factor = mix(c) >> 32 | 1
+        least = sorted(range(len(marks)), key=lambda i: (marks[i] * factor % (1 << 32), i))[:chosen]
+        sign = 1
+        for i in sorted(least):
+            sign = mix((sign * base + marks[i]) % whole)
+        out.append(sign >> 48)
+    return out
+
+
+def test_order_minhash_by_definition(spark):
+    """Fingerprints, edited texts and likenesses of the query from the plain definition, none of them by the module's own functions."""
+    rng = np.random.default_rng(21)
+    letters = [*"abc d", "é", "日", "\U0001f600"]
+    texts = ["", None, "a", "abcdefg", "abcdefgh", "ab" * 60, "x" * 500, *("".join(rng.choice(letters, rng.integers(1, 300))) for _ in range(20))]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    ordered = sorted(rows)
+    got = sorted(order_minhash.compare_with_next(frame(spark, rows)).collect(), key=lambda r: r["doc_id"])
+    for n, (r, (i, t)) in enumerate(zip(got, ordered)):
+        text, following = t or "", ordered[(n + 1) % len(ordered)][1] or ""
+        cut = len(text) // 4
+        new = text[: len(text) - cut] + following[:cut]
+        own, changed, next_ = (plain_fingerprint(x) for x in (text, new, following))
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(text), hashlib.sha256(new.encode()).hexdigest())
+        assert r["fingerprint"] == "".join(f"{x:04x}" for x in own) and r["edited_fingerprint"] == "".join(f"{x:04x}" for x in changed)
+        like = lambda x, y: sum(p == q for p, q in zip(x, y)) / 32
+        assert (r["near_edited"], r["near_next"]) == (like(own, changed), like(own, next_))
+
+
 def test_order_matters():
     words = [f"word{i} " for i in range(200)]
     text, turned = "".join(words), "".join(words[100:] + words[:100])

@@ -51,7 +51,7 @@ def passages(seed, docs, window):
                 part = pick.choice(stock)
                 a = pick.randint(0, 3)
                 part = part[a : len(part) - pick.randint(0, 3)]
-                if pick.random() < 0.3:
+                if part and pick.random() < 0.3:
                     part = [*part]
                     part[pick.randrange(len(part))] = "changed"
                 words += part
