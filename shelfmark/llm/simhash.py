@@ -469,9 +469,18 @@ ENDS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 ENDS_DDL = "a binary, b binary"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float, tmp: Scratch) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have the Jaccard similarity. Sketches spare nearly all pairs well below it the
-    comparison of their texts."""
+OF_ENDS = ("node", "content", "size", "sketch")
+
+
+def end(sets: DataFrame, x: str, fp: str | None = None) -> DataFrame:
+    """What is told of one end of a pair: the node as `a` or `b`, the rest with that suffix; and the fingerprint under a name."""
+    named = [F.col("fp").alias(fp)] if fp else []
+    return sets.select(*named, *(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in OF_ENDS))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, tmp: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have the Jaccard similarity, of pairs with both `end`s. Sketches spare nearly all
+    pairs well below it the comparison of their texts."""
 
     def by_sketch(batches):
         for b in batches:
@@ -493,8 +502,6 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, sim
                     fits.append(same / (len(known[left]) + len(known[right]) - same) >= similarity)
                 yield b.select([0, 1]).filter(pa.array(fits, pa.bool_())).cast(ENDS)
 
-    for x in "ab":
-        pairs = pairs.join(sets.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "content", "size", "sketch"))), x)
     pairs = pairs.select("size_a", "size_b", "sketch_a", "sketch_b", "a", "b", "content_a", "content_b")
     pairs = tmp.written(arrow_map(pairs, by_sketch, "a binary, b binary, content_a binary, content_b binary"), "candidates")
     contents = pairs.select(F.explode(F.array("content_a", "content_b")).alias("content")).distinct()
@@ -577,14 +584,16 @@ def similar_sets(docs: DataFrame, words: int, copies: int, similarity: float, tm
     one = table.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node")
     sets = tmp.written(one.agg(F.min("content").alias("content"), *(F.first(c).alias(c) for c in ("fp", "size", "coarse", "sketch"))), "sets")
     distance = int(round((1 - similarity) * 64 * copies, 6))
-    of_fp = tmp.written(sets.groupBy("fp").agg(F.min("node").alias("node")), "nodes")
-    found = links(of_fp, partitions, distance, write=tmp.written).join(of_fp.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a")
-    found = found.join(of_fp.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    equal = sets.select(F.col("node").alias("b"), "fp").join(of_fp.withColumnRenamed("node", "a"), "fp").where("a <> b").select("a", "b")
-    first = verified(found.unionByName(equal), sets, docs, words, similarity, tmp)
+    # of the nodes with one fingerprint the least stands for all; what verifies its links comes with it
+    least = F.min(F.struct(*OF_ENDS)).alias("end")
+    of_fp = tmp.written(sets.groupBy("fp").agg(least).select("fp", "end.*"), "nodes")
+    found = links(of_fp, partitions, distance, write=tmp.written).withColumnsRenamed({"a": "left", "b": "right"})
+    found = found.join(end(of_fp, "a", "left"), "left").join(end(of_fp, "b", "right"), "right").drop("left", "right")
+    equal = end(of_fp, "a", "fp").join(end(sets, "b", "fp"), "fp").where("a <> b").drop("fp")
+    first = verified(found.unionByName(equal), docs, words, similarity, tmp)
     pairs = across(shared, sets, components(first, tmp.written), similarity, partitions, tmp)
     tmp.drop(shared)
-    rest = verified(pairs, sets, docs, words, similarity, tmp)
+    rest = verified(pairs.join(end(sets, "a"), "a").join(end(sets, "b"), "b"), docs, words, similarity, tmp)
     return table.select("id", "node"), components(first.unionByName(rest), tmp.written)
 
 
