@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.workspace import remove_folder
+
 
 def manifests(spark: SparkSession, base: str) -> DataFrame | None:
     try:
@@ -39,3 +41,20 @@ def commit(spark: SparkSession, base: str, version: int, entries: list[tuple], s
     """Makes a version current."""
     rows = spark.createDataFrame(entries, schema).coalesce(1)
     rows.write.mode("overwrite").parquet(f"{base}/manifests/version={version}")
+
+
+def expire(spark: SparkSession, base: str, keep: int, columns: list[str]) -> list[str]:
+    """Removes all versions but the last ``keep``, and the folders named in the columns that only removed ones name; returns these
+    folders. Manifests go last, so one that was stopped is finished by the next. Readers of the versions that are kept notice
+    nothing; no writer may be at work."""
+    if keep < 1:
+        raise ValueError("the last version stays")
+    found = manifests(spark, base)
+    rows = [] if found is None else found.collect()  # as many as folders in all versions
+    kept = sorted({r["version"] for r in rows})[-keep:]
+    named = lambda old: {r[c] for r in rows for c in columns if (r["version"] not in kept) == old and r[c] is not None}
+    gone = sorted(named(True) - named(False))
+    versions = sorted({r["version"] for r in rows} - set(kept))
+    for folder in [*gone, *(f"manifests/version={v}" for v in versions)]:
+        remove_folder(spark, f"{base}/{folder}")
+    return gone

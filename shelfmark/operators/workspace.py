@@ -30,6 +30,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder and all in it, in whatever store it lies: as the place of a database that is dropped. None need be there."""
+    name = f"gone_{uuid.uuid4().hex}"
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{place}'")
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 class Scratch:
     """Written tables that last as long as a ``with`` block, or until they are dropped within it.
 

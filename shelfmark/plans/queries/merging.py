@@ -200,6 +200,41 @@ def upsert_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return _scalar_columns(table_.rows())
 
 
+@query(f"""with {_VERSIONS}, e as (select * from v where ts < {HALF} or user_id % 5 > 0), {_fold('e', 'm')} {_SCALAR_OUT} m""")
+def earlier_version(spark: SparkSession, folder: str) -> DataFrame:
+    """The table as it was before its last release, read after older versions are removed."""
+    table_ = BucketedTable(spark, new_dir(spark, "buckets"), "user_id", buckets=16)
+    v = versions(spark, folder)
+    for part in (F.expr(f"ts < {HALF}"), F.expr(f"ts >= {HALF} and user_id % 5 > 0"), F.expr(f"ts >= {HALF} and user_id % 5 = 0")):
+        table_.upsert(v.filter(part), lambda old, new: upsert_merge(old, new, SPEC))
+    table_.expire(keep=2)
+    return _scalar_columns(table_.rows(table_.version() - 1))
+
+
+@query(f"""with {_VERSIONS}
+select user_id, count(distinct aacid) as remembered, min(aacid) as least, max(aacid) as most,
+  count(*) filter (where k % 2 = 1) as fresh
+from v where aacid is not null group by user_id""")
+def seen_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """What the log of seen records holds after overlapping releases whose deltas were joined and whose old files are gone,
+    and how many records it would let through had it seen the even ones only."""
+    base = new_dir(spark, "log")
+    seen, even = (SeenLog(spark, f"{base}/{name}", "user_id", buckets=8) for name in ("seen", "even"))
+    v = versions(spark, folder)
+    for part in (F.expr(f"ts < {HALF}"), F.col("k") % 2 == 0, F.lit(True)):
+        seen.append(v.filter(part))
+    seen.compact()
+    seen.expire()
+    for part in (F.col("k") % 4 == 0, F.col("k") % 2 == 0):
+        even.append(even.unseen(v.filter(part)))
+    even.compact()
+    held = seen.pairs().groupBy("user_id").agg(
+        F.count("*").alias("remembered"), F.min("aacid").alias("least"), F.max("aacid").alias("most")
+    )
+    fresh = even.unseen(v.filter(F.col("aacid").isNotNull())).groupBy("user_id").agg(F.count("*").alias("fresh"))
+    return held.join(fresh, "user_id", "left").fillna(0, ["fresh"])
+
+
 @query(f"""with {_VERSIONS},
 old_v as (select * from v where ts < {HALF}), new_v as (select * from v where ts >= {HALF}),
 {_fold('old_v', 'o')}, {_fold('new_v', 'n')}

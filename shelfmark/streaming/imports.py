@@ -123,3 +123,11 @@ def fold_staged(
         records.upsert(fresh, merge)
         seen.append(fresh)
     return records.rows()
+
+
+def tidy(spark: SparkSession, base: str, keep: int = 2, most: int = 8) -> None:
+    """Upkeep between imports: buckets of the log with more than ``most`` deltas are joined, and versions of both tables but the
+    last ``keep`` go. It may be stopped and run again at any point; no fold may be at work."""
+    seen_log(spark, base).compact(most)
+    seen_log(spark, base).expire(keep)
+    record_table(spark, base).expire(keep)

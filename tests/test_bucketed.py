@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import bucketed
+from shelfmark.operators import bucketed, versions
 from shelfmark.operators.bucketed import BucketedTable, SeenLog, bucket_of
 from shelfmark.operators.tables import upsert_overwrite
 from shelfmark.operators.workspace import Scratch, shared_dir, written
@@ -132,6 +132,69 @@ def test_a_replay_reads_only_deltas_that_its_filters_hit(spark, folder):
     assert len(few) <= 20  # of 160 filters asked for what they do not hold
 
 
+def test_compaction_of_the_log(spark, folder):
+    """One delta for each bucket that had several, the same pairs, and files of others as they were."""
+    log = SeenLog(spark, f"{folder}/seen", buckets=4)
+    assert log.compact() == 0
+    log.append(pairs(spark, range(200)))
+    assert log.compact() == 1  # nothing to join
+    alone = next(n for n in range(1000, 2000) if bucket_number(spark, n) == 3)
+    log.append(pairs(spark, [*range(150), alone]).filter(bucket_of("md5", 4).isin(1, 3)))
+    assert log.compact(most=2) == 2
+    before, held = files(f"{folder}/seen/deltas"), [e["folder"] for e in bucketed.manifest(spark, log.base)]
+    assert len(held) == 6
+    assert log.compact() == 3
+    after = [e["folder"] for e in bucketed.manifest(spark, log.base)]
+    assert sorted(f.split("/")[1] for f in after) == ["version=1"] * 2 + ["version=3"] * 2 and len(set(after)) == 4
+    assert before.items() <= files(f"{folder}/seen/deltas").items()
+    assert sorted(map(tuple, log.pairs().collect())) == sorted((f"k{n}", f"a{n}") for n in [*range(200), alone])
+    assert log.unseen(pairs(spark, [5, 150, alone, 500])).count() == 1
+
+
+def bucket_number(spark, n):
+    return pairs(spark, [n]).select(bucket_of("md5", 4).alias("b")).first()["b"]
+
+
+def test_expiry_of_versions(spark, folder):
+    table, log = table_of(spark, folder), SeenLog(spark, f"{folder}/seen", buckets=2)
+    assert table.expire() == []
+    table.upsert(spark.createDataFrame([(k, "a") for k in range(100)], ROW), newest)
+    for n in range(3):
+        table.upsert(spark.createDataFrame([(n, f"b{n}")], ROW), newest)
+        log.append(pairs(spark, range(10 * n, 10 * n + 10)))
+    want, older = contents(table), contents(table, version=3)
+    with pytest.raises(ValueError):
+        table.expire(keep=0)
+    gone = table.expire(keep=2)
+    assert gone and contents(table) == want and contents(table, version=3) == older and table.version() == 4
+    assert {r["version"] for r in versions.manifests(spark, table.base).collect()} == {3, 4}
+    used = {f"{table.base}/{f}" for v in (3, 4) for f in table.folders(v).values()}
+    assert {os.path.dirname(f) for f in files(f"{table.base}/data")} == used
+    assert table.expire(keep=2) == []
+    table.upsert(spark.createDataFrame([(7, "c")], ROW), newest)  # numbers go on
+    assert table.version() == 5 and contents(table) == want | {7: "c"}
+    log.compact()
+    assert {f.split("/")[0] for f in log.expire()} == {"deltas", "filters"}
+    assert {d for f in files(log.base) for d in f.split("/") if d.startswith("version=")} == {"version=4"}
+    assert log.pairs().count() == 30 and log.unseen(pairs(spark, [3, 29, 30])).count() == 1
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, folder):
+    rows = spark.range(4000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in settings}
+    try:
+        for c, v in settings.items():
+            spark.conf.set(c, v)
+        table = table_of(spark, folder, buckets=2)
+        table.upsert(rows, newest)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    written_ = [f.split("/")[-2] for f in files(f"{folder}/t/data")]
+    assert min(written_.count(f"bucket={b}") for b in (0, 1)) > 4 and contents(table) == dict.fromkeys(range(4000), "a")
+
+
 def staged_dump(spark, folder, base):
     for i in range(3):
         write(f"{folder}/in", f"{i}.txt", [book(n, publisher=f"p{i}") for n in range(10 * i, 10 * i + 15)])
@@ -212,3 +275,22 @@ def test_scratch_leaves_only_the_result(spark):
         tmp.written(spark.range(3), "x")
         raise ZeroDivisionError
     assert all(n.startswith("result") for n in there() - before)
+
+
+def test_upkeep_between_imports(spark, folder):
+    base = f"{folder}/base"
+    stage = staged_dump(spark, folder, base)
+    stage()
+    fold_staged(spark, base, 1)
+    write(f"{folder}/in", "3.txt", [book(n, publisher="late") for n in range(40, 45)])
+    stage()
+    want = rows_of(fold_staged(spark, base, 1))
+    before = files(base)
+    imports.tidy(spark, base, keep=1, most=1)
+    left = files(base)
+    assert len([f for f in left if "/records/data/" in f or "/seen/deltas/" in f]) < len([f for f in before if "/records/data/" in f or "/seen/deltas/" in f])
+    assert not any("/manifests/version=1" in f for f in left)
+    assert rows_of(current_records(spark, base)) == want
+    log = imports.seen_log(spark, base)
+    assert log.compact() == versions.latest_version(spark, log.base)  # nothing left to join
+    assert rows_of(fold_staged(spark, base, 1)) == want  # a replay still finds all it has merged
