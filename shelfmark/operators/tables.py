@@ -13,6 +13,10 @@ from shelfmark.operators.merge import HOT_ROWS, MergeSpec, merge_versions
 KEEP_WHEN_NULL = ("series_name", "series_position", "edition", "source_timestamp", "ipfs_cid")
 
 
+# What a version says, besides its key, its arrival and its record reference.
+VERSION_CONTENT = tuple(c for c in MergeSpec().columns() if c not in ("md5", "seq", "aacid"))
+
+
 def before_all(kind: T.DataType) -> Column:
     """An arrival before any other: a stored row is the version before all incoming ones."""
     if isinstance(kind, T.StructType):
@@ -84,12 +88,13 @@ def unseen(
 
 
 def once_per_record(
-    incoming: DataFrame, key: str = "md5", record: str = "aacid", seq: str = "seq"
+    incoming: DataFrame, key: str = "md5", record: str = "aacid", seq: str = "seq", content: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Exact repeats of a record reference within one input, the first arrival kept."""
+    """Repeats of a record reference within one input, the first arrival kept. With ``content`` only rows that are alike in these
+    columns too are repeats, so a second version under the same reference stays to be merged."""
     named = incoming.filter(F.col(record).isNotNull())
     # the limit on the place drops repeats in every task before the shuffle
-    place = F.row_number().over(W.partitionBy(key, record).orderBy(seq))
+    place = F.row_number().over(W.partitionBy(key, record, *content).orderBy(seq))
     firsts = named.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
     return firsts.unionByName(incoming.filter(F.col(record).isNull()))
 

@@ -12,7 +12,7 @@ from shelfmark.operators.discards import ABORT_RATE, check_error_rate, import_co
 from shelfmark.operators.gate import ErrorGate
 from shelfmark.operators.merge import HOT_ROWS
 from shelfmark.operators.records import quality_score, with_derived
-from shelfmark.operators.tables import once_per_record, unseen, upsert_merge
+from shelfmark.operators.tables import VERSION_CONTENT, once_per_record, unseen, upsert_merge
 from shelfmark.operators.text_index import add_segment, build_index
 from shelfmark.operators.workspace import new_dir
 from shelfmark.sources.adapters import AdapterSettings, adapt
@@ -41,8 +41,8 @@ def import_release(
 ) -> ImportResult:
     """Merged records after one release. The parsed rows are written once to the shared folder and
     serve the counters, the gate, the quarantine and the merge. The gate also ends the scan early when
-    too many lines have failed. Repeats of a record reference count once; ``seen`` is what to remember for the next
-    release."""
+    too many lines have failed. Equal versions under one record reference count once; ``seen`` is what to remember for
+    the next release."""
     lines = read_lines(spark, path, release_rank, tolerant)
     gate = ErrorGate(spark, abort_rate)
     target = new_dir(spark, "parsed")
@@ -50,7 +50,7 @@ def import_release(
     parsed = spark.read.parquet(target)
     counters = import_counters(parsed).first()
     check_error_rate(counters, abort_rate)
-    rows = once_per_record(parsed.filter(F.col("outcome") == "kept"))
+    rows = once_per_record(parsed.filter(F.col("outcome") == "kept"), content=VERSION_CONTENT)
     if seen is not None:
         rows = unseen(rows, seen)
     base = rows.limit(0) if stored is None else stored

@@ -22,7 +22,7 @@ from shelfmark.operators.discards import ABORT_RATE, check_error_rate
 from shelfmark.operators.merge import HOT_ROWS
 from shelfmark.operators.records import quality_score, with_derived
 from shelfmark.operators.bucketed import BucketedTable, SeenLog
-from shelfmark.operators.tables import once_per_record, upsert_merge
+from shelfmark.operators.tables import VERSION_CONTENT, once_per_record, upsert_merge
 from shelfmark.operators.workspace import Scratch
 from shelfmark.sources.adapters import AdapterSettings, adapt
 from shelfmark.sources.jsonl import arrival, read_line_stream
@@ -114,7 +114,8 @@ def fold_staged(
     check_error_rate(staged_counters(spark, base, release_rank).first(), abort_rate)
     records, seen = record_table(spark, base), seen_log(spark, base)
     with Scratch(spark) as tmp:
-        rows = once_per_record(staged(spark, base, release_rank).filter(F.col("outcome") == "kept"))
+        kept = staged(spark, base, release_rank).filter(F.col("outcome") == "kept")
+        rows = once_per_record(kept, content=VERSION_CONTENT)
         fresh = tmp.written(seen.unseen(rows), "fresh")
 
         def merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -169,6 +169,15 @@ def test_repeats_of_a_record_are_dropped_once(spark):
     assert sorted(r["seq"] for r in kept) == [0, 2, 3]
 
 
+def test_other_versions_under_one_reference_stay(spark):
+    df = spark.createDataFrame(
+        [("k", 1, "a", "x", None), ("k", 2, "a", None, "x"), ("k", 3, "a", "x", None), ("k", 4, None, "x", None), ("k", 5, None, "x", None)],
+        "k string, seq long, aacid string, title string, publisher string",
+    )
+    kept = once_per_record(df, key="k", content=("title", "publisher")).select("seq").collect()
+    assert sorted(r["seq"] for r in kept) == [1, 2, 4, 5]
+
+
 def test_ordered_union_keeps_first_places(spark):
     df = spark.createDataFrame(
         [("k", 2, ["b", "a"], []), ("k", 1, ["c", "b"], ["z"]), ("j", 3, [], [])],
