@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.versions import commit, latest_version, manifest
-from shelfmark.operators.workspace import Scratch
+from shelfmark.operators.workspace import CODEC, Scratch
 
 # Weights of the three indexed fields.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -39,10 +39,11 @@ def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5")
         F.concat(*parts), lambda w, i: F.struct(w["token"].alias("token"), i.alias("pos"), w["field"].alias("field"))
     )
     # grouped within the row: sorted by token, then cut where the token changes; nothing is shuffled
-    rows = records.select(key, F.array_sort(spots).alias("_s")).filter(F.size("_s") > 0)
-    here = lambda i: F.get("_s", i - 1)["token"]
-    starts = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (here(i) != here(i - 1)))
-    rows = rows.select(key, "_s", starts.alias("_from"))
+    # (sort_array compares natively, array_sort by a lambda for each pair)
+    rows = records.select(key, F.sort_array(spots).alias("_s"))
+    new = lambda w, i: (i == 0) | (w["token"] != F.get("_s", i - 1)["token"])
+    starts = F.transform("_s", lambda w, i: F.when(new(w, i), i + 1))
+    rows = rows.select(key, "_s", F.array_compact(starts).alias("_from"))
     until = F.concat(F.slice("_from", 2, F.size("_from")), F.array(F.size("_s") + 1))
     groups = F.transform(
         F.arrays_zip(F.col("_from").alias("a"), until.alias("b")),
@@ -86,7 +87,7 @@ def stored_segment(entries: DataFrame, keys: DataFrame | None, path: str, number
     """Writes entries (token, key, places) as a segment: sorted by token, part and key, so that a scan for some tokens prunes
     by min/max. ``keys``: what the segment speaks for, records without a word among them; the first segment needs none."""
     with Scratch(entries.sparkSession) as tmp:
-        entries = tmp.written(entries, "entries")  # read for the counts and again for the parts
+        entries = tmp.written(entries, "entries", CODEC)  # read for the counts and again for the parts
         counts = entries.groupBy("token").agg(F.count("*").alias("df"))
         counts = tmp.written(counts.withColumn("parts", F.ceil(F.col("df") / part).cast("int")), "counts")
         # of these there are at most as many as entries / part
@@ -94,7 +95,7 @@ def stored_segment(entries: DataFrame, keys: DataFrame | None, path: str, number
         rows = entries.join(common, "token", "left") if not common.isEmpty() else entries.withColumn("parts", F.lit(None).cast("int"))
         rows = rows.select("token", part_of(key, F.coalesce("parts", F.lit(1))).alias("part"), key, "places")
         ordered = rows.repartitionByRange("token", "part", key).sortWithinPartitions("token", "part", key)
-        ordered.write.mode("overwrite").parquet(f"{path}/entries/segment={number}")
+        ordered.write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/entries/segment={number}")
         counts = counts.repartitionByRange("token").sortWithinPartitions("token")
         counts.write.mode("overwrite").parquet(f"{path}/vocabulary/segment={number}")
         if keys is not None:
@@ -252,7 +253,7 @@ def match(
             F.count_if(F.col("ask.term") >= 0).alias("held"),
             F.max("ask.either").alias("either"),
             F.max("ask.bars").alias("barred"),
-            F.array_sort(F.flatten(F.collect_list(F.when(scores, events)))).alias("events"),
+            F.sort_array(F.flatten(F.collect_list(F.when(scores, events)))).alias("events"),
             F.flatten(F.collect_list(lines)).alias("lines"),
         )
         .filter(
