@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.fields import YEAR_MAX, YEAR_MIN
 from shelfmark.functions.text import distinct_tokens
 from shelfmark.operators.text_index import PART, part_of
-from shelfmark.operators.workspace import Scratch
+from shelfmark.operators.workspace import CODEC, Scratch
 
 # Kinds of lookup values in which the beginnings of a title query are looked for.
 TITLE_KINDS, ALL_KINDS = ("title",), ("title", "author", "publisher")
@@ -65,7 +65,7 @@ def lookup_of(records: DataFrame, key: str = "md5") -> LookupIndex:
 def write_lookup(records: DataFrame, path: str, key: str = "md5", part: int = PART) -> None:
     """Stores the lookup values of records, in the order of kind, value and key."""
     with Scratch(records.sparkSession) as tmp:
-        ids = tmp.written(identifiers(records, key), "identifiers")
+        ids = tmp.written(identifiers(records, key), "identifiers", CODEC)
         counts = ids.groupBy("kind", "value").agg(F.count("*").alias("df"))
         counts = tmp.written(counts.withColumn("parts", F.ceil(F.col("df") / part).cast("int")), "counts")
         common = counts.filter(F.col("parts") > 1).select("kind", "value", "parts")  # at most entries / part of them
@@ -74,7 +74,7 @@ def write_lookup(records: DataFrame, path: str, key: str = "md5", part: int = PA
         )
         for df, name, order in ((rows, "entries", ["kind", "value", "part", key]), (counts, "vocabulary", ["kind", "value"])):
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-            df.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/{name}")
+            df.write.mode("overwrite").option("compression", CODEC).partitionBy("kind").parquet(f"{path}/{name}")
 
 
 def read_lookup(spark: SparkSession, path: str, key: str = "md5") -> LookupIndex:
@@ -126,12 +126,13 @@ def bin_length(n: Column) -> Column:
 
 
 def words_of(points: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Points (query_id, criterion, kind, value, by_prefix) as the dictionary words they stand for: (query_id, criterion, kind,
-    value, df, parts). A prefix p is the range of words [p, next(p)); ranges and words meet in bins of words that begin
-    alike, so the join is by equality on the bin and only words of that bin are compared."""
+    """Points (kind, value, by_prefix and others) as the dictionary words they stand for: (the others, kind, value, df, parts). A
+    prefix p is the range of words [p, next(p)); ranges and words meet in bins of words that begin alike, so the join is by
+    equality on the bin and only words of that bin are compared."""
     exact = points.filter(~F.col("by_prefix")).join(vocabulary, ["kind", "value"])
-    columns = ["query_id", "criterion", "kind", "value", "df", "parts"]
-    ranges = points.filter("by_prefix").select("query_id", "criterion", "kind", F.col("value").alias("low"), F.concat("value", F.lit(LAST)).alias("high"))
+    others = [c for c in points.columns if c not in ("value", "by_prefix")]
+    columns = [*others, "value", "df", "parts"]
+    ranges = points.filter("by_prefix").select(*others, F.col("value").alias("low"), F.concat("value", F.lit(LAST)).alias("high"))
     ranges = ranges.withColumn("bin_length", bin_length(F.length("low"))).withColumn("bin", F.expr("left(low, bin_length)"))
     lengths = ranges.groupBy("kind").agg(F.collect_set("bin_length").alias("lengths"))  # at most as many as BINS for each kind
     binned = vocabulary.join(lengths, "kind").withColumn("bin_length", F.explode(F.filter("lengths", lambda n: n <= F.length("value"))))
@@ -142,13 +143,17 @@ def words_of(points: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def rarest_points(lookup: LookupIndex, q: DataFrame, all_fields: bool, tmp: Scratch) -> DataFrame:
     """(query_id, kind, value, parts): the values of the criterion of each query that the fewest entries meet. A query with a
-    criterion that nothing meets has none."""
-    points = tmp.written(criteria(q, all_fields), "points")
-    words = tmp.written(words_of(points, lookup.vocabulary), "words")
-    met = words.groupBy("query_id", "criterion").agg(F.sum("df").alias("df"))
-    totals = points.select("query_id", "criterion").distinct().join(met, ["query_id", "criterion"], "left")
-    rarest = totals.groupBy("query_id").agg(F.min_by("criterion", F.struct(F.coalesce("df", F.lit(0)), "criterion")).alias("criterion"))
-    return words.join(rarest, ["query_id", "criterion"]).select("query_id", "kind", "value", "parts").distinct()
+    criterion that nothing meets has none. What several queries ask is counted once; only the rarest criteria are spelt out
+    in words."""
+    points = tmp.written(criteria(q, all_fields).withColumns({"asked": F.col("value"), "prefix": F.col("by_prefix")}), "points")
+    what = ["kind", "asked", "prefix"]
+    each = lambda df: words_of(df.select(*what, "value", "by_prefix").distinct(), lookup.vocabulary)
+    counts = each(points).groupBy(*what).agg(F.sum("df").alias("df"))
+    totals = points.join(counts, what, "left").groupBy("query_id", "criterion").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
+    rarest = totals.groupBy("query_id").agg(F.min_by("criterion", F.struct("df", "criterion")).alias("criterion"))
+    chosen = tmp.written(points.join(rarest, ["query_id", "criterion"]), "chosen")
+    named = chosen.select("query_id", *what).join(each(chosen), what)
+    return named.select("query_id", "kind", "value", "parts").distinct()
 
 
 def looked_up(lookup: LookupIndex, q: DataFrame, all_fields: bool, tmp: Scratch) -> DataFrame:

@@ -12,7 +12,7 @@ from shelfmark.functions.languages import normalize_language
 from shelfmark.functions.text import distinct_tokens, normalize_text, tokens
 from shelfmark.operators.lookup_index import LookupIndex, looked_up, lookup_of
 from shelfmark.operators.text_index import TextIndex, having, match
-from shelfmark.operators.workspace import Scratch, written
+from shelfmark.operators.workspace import CODEC, Scratch, written
 
 PAGE_SIZE = 20
 # Bounds of a request.
@@ -158,12 +158,9 @@ def _asked_or_true(asked: Column, cond: Column) -> Column:
     return ~asked | F.coalesce(cond, F.lit(False))
 
 
-def _batch_filter(all_fields: bool) -> Column:
-    """The same conditions between query columns (q.*) and record columns (r.*)."""
+def _batch_filter() -> Column:
+    """The same conditions between query columns (q.*) and record columns (r.*), ``title_words`` among them."""
     q, r = (lambda n: F.col(f"q.{n}")), (lambda n: F.col(f"r.{n}"))
-    title_words = distinct_tokens(r("title_norm"))
-    if all_fields:
-        title_words = F.concat(title_words, r("author_tokens"), r("publisher_tokens"))
     no = F.array().cast("array<string>")
     cond = ~r("deleted")
     cond &= _asked_or_true(
@@ -175,7 +172,7 @@ def _batch_filter(all_fields: bool) -> Column:
         q("language").isNotNull(), F.array_contains(r("languages"), q("language"))
     )
     cond &= has_all(F.coalesce(r("author_tokens"), no), q("author_tokens"))
-    cond &= (F.size(q("title_prefixes")) == 0) | has_prefixes(title_words, q("title_prefixes"))
+    cond &= (F.size(q("title_prefixes")) == 0) | has_prefixes(r("title_words"), q("title_prefixes"))
     cond &= (F.size(q("series_prefixes")) == 0) | has_prefixes(
         r("series_tokens"), q("series_prefixes")
     )
@@ -199,6 +196,17 @@ def _looked_up(lookup: LookupIndex, index: DataFrame | TextIndex, q: DataFrame,
     return hits
 
 
+def _hit_records(records: DataFrame, hits: DataFrame, titles: bool, all_fields: bool) -> DataFrame:
+    """The records that some query hits, with the words a title query looks at: taken apart once for each record, not for each of
+    its hits. ``titles``: whether there is such a query."""
+    if not titles:
+        return records.withColumn("title_words", F.array().cast("array<string>"))
+    words = distinct_tokens(F.col("title_norm"))
+    if all_fields:
+        words = F.concat(words, "author_tokens", "publisher_tokens")
+    return records.join(hits.select("md5"), "md5", "left_semi").withColumn("title_words", words)
+
+
 def candidates(
     records: DataFrame,
     index: DataFrame | TextIndex,
@@ -225,11 +233,13 @@ def candidates(
             plain = _looked_up(lookup or lookup_of(records), index, valid.filter(~textual), all_fields, tmp)
             plain = plain.withColumn("rank", F.lit(0.0))
             hits = plain if hits is None else hits.unionByName(plain)
+        hits = tmp.written(hits, "pairs", CODEC)
+        titles = not valid.filter(F.size("title_prefixes") > 0).isEmpty()
         rows = (
             hits.alias("h")
             .join(valid.alias("q"), F.col("h.query_id") == F.col("q.query_id"))
-            .join(records.alias("r"), F.col("h.md5") == F.col("r.md5"))
-            .filter(_batch_filter(all_fields))
+            .join(_hit_records(records, hits, titles, all_fields).alias("r"), F.col("h.md5") == F.col("r.md5"))
+            .filter(_batch_filter())
             .select("h.query_id", "r.md5", F.coalesce("h.rank", F.lit(0.0)).alias("rank"), "r.work_key")
         )
         rows = written(rows, "hits")
