@@ -450,11 +450,22 @@ def _written_lines(lines: DataFrame, label: str, files: int) -> str:
     return path
 
 
-def _written_dump(lines: DataFrame, label: str) -> str:
-    """Four dump files of unequal size, the later ones larger; copies of a key go to several of them."""
+#: Characters of text in one file of a dump.
+DUMP_FILE = 32 << 20
+
+
+def _dump_files(spark: SparkSession, folder: str) -> int:
+    """Into how many files a dump of the documents is written: four, or more of a bounded size."""
+    chars = table(spark, folder, "documents").agg(F.sum("n_chars")).first()[0] or 0
+    return max(4, -(-chars // DUMP_FILE))
+
+
+def _written_dump(lines: DataFrame, label: str, files: int) -> str:
+    """Four dump files of unequal size, the later ones larger; copies of a key go to several of them. Where there are to be more files,
+    each of the four is a run of files in the order of their names."""
     path = new_dir(lines.sparkSession, label)
     file = F.when(F.col("seq") % 10 < 1, 0).when(F.col("seq") % 10 < 3, 1).when(F.col("seq") % 10 < 5, 2).otherwise(3)
-    dealt = lines.select(file.alias("file"), "seq", "line").repartitionByRange(4, "file")
+    dealt = lines.select(file.alias("file"), "seq", "line").repartitionByRange(files, *(["file"] if files == 4 else ["file", "seq"]))
     dealt.sortWithinPartitions("file", "seq").select("line").write.mode("overwrite").text(path)
     return path
 
@@ -480,9 +491,11 @@ def _imported(records: DataFrame) -> DataFrame:
 
 @query(_IMPORTED)
 def file_import_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The same dump cut into many small pieces arrives in the same order."""
-    path = _written_dump(zlib3_lines(spark, folder), "dump")
-    keys = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    """The same dump cut into many small pieces arrives in the same order. Of a dump of more files they are larger, so that
+    about two thousand pieces are the most."""
+    files = _dump_files(spark, folder)
+    path = _written_dump(zlib3_lines(spark, folder), "dump", files)
+    keys = {"spark.sql.files.maxPartitionBytes": f"{64 * files // 4}k", "spark.sql.files.openCostInBytes": "1k"}
     before = {k: spark.conf.get(k) for k in keys}
     try:
         for k, v in keys.items():
@@ -498,7 +511,7 @@ def file_import_order(spark: SparkSession, folder: str) -> DataFrame:
 @query(_IMPORTED)
 def file_import(spark: SparkSession, folder: str) -> DataFrame:
     """A dump of files imported in one go."""
-    path = _written_dump(zlib3_lines(spark, folder), "dump")
+    path = _written_dump(zlib3_lines(spark, folder), "dump", _dump_files(spark, folder))
     return _imported(import_release(spark, path, adapters.ZLIB3).records)
 
 
@@ -571,11 +584,12 @@ def gate_by_payload(spark: SparkSession, folder: str) -> DataFrame:
 def stream_import(spark: SparkSession, folder: str) -> DataFrame:
     """The same dump as a stream of files in several micro-batches, staged and folded; the
     second release repeats the first one and changes nothing."""
-    path = _written_dump(zlib3_lines(spark, folder), "dump")
+    files = _dump_files(spark, folder)
+    path = _written_dump(zlib3_lines(spark, folder), "dump", files)
     base = new_dir(spark, "catalogue")
     records = None
     for rank in (1, 2):
-        stage_stream(spark, path, adapters.ZLIB3, base, rank, max_files=2).awaitTermination()
+        stage_stream(spark, path, adapters.ZLIB3, base, rank, max_files=-(-files // 2)).awaitTermination()
         records = fold_staged(spark, base, rank)
     return _imported(records)
 
@@ -585,9 +599,10 @@ select count(*) as seen, count(*) filter (where lang <> 'es') as kept, count(*)
   0 as discarded, 0 as failed from documents""")
 def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Counters observed while the stream is staged, summed over its micro-batches."""
-    path = _written_dump(zlib3_lines(spark, folder), "dump")
+    files = _dump_files(spark, folder)
+    path = _written_dump(zlib3_lines(spark, folder), "dump", files)
     base = new_dir(spark, "catalogue")
-    stage_stream(spark, path, adapters.ZLIB3, base, 1, max_files=1).awaitTermination()
+    stage_stream(spark, path, adapters.ZLIB3, base, 1, max_files=-(-files // 4)).awaitTermination()
     return staged_counters(spark, base, 1)
 
 
