@@ -85,6 +85,7 @@ def _maybe_expanding() -> str:
     return _BEYOND_ASCII + _char_class(sorted(wide))
 
 
+_ASCII_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"  # but the space itself
 _SPACES = "".join(chr(cp) for cp in range(sys.maxunicode + 1) if chr(cp).isspace())
 
 
@@ -146,9 +147,10 @@ def normalize_text(c: Column) -> Column:
         return F.when(x.rlike(_maybe_expanding()), _expand(x)).otherwise(x)
 
     def folded(x: Column) -> Column:
-        plain = F.regexp_replace(F.lower(x), r"[\t-\r\x1C-\x20]+", " ")
+        plain = F.translate(F.lower(x), _ASCII_SPACES, " " * len(_ASCII_SPACES))
         rich = bind(F.translate(x, source, target), unfold)
-        return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(rich, " {2,}", " ")).otherwise(plain)
+        # every match is copied by itself, so single spaces are none
+        return F.regexp_replace(F.when(x.rlike(r"[^\x00-\x7F]"), rich).otherwise(plain), " {2,}", " ")
 
     return F.trim(bind(F.coalesce(c, F.lit("")), folded))
 

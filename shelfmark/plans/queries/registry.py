@@ -29,12 +29,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of a single small file, spread over the cores for work that costs more than reading.
+    """A table of few small files, spread over the cores for work that costs more than reading.
 
-    Larger tables have more scan tasks than that and are left as they are.
+    Larger tables have more scan tasks than that, or as many files as there are cores, and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores and len(df.inputFiles()) < cores else df
 
 
 def utc(c: Column | str) -> Column:
