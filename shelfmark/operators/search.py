@@ -11,7 +11,7 @@ from shelfmark.functions.identifiers import normalize_doi, normalize_isbn10, nor
 from shelfmark.functions.languages import normalize_language
 from shelfmark.functions.text import distinct_tokens, normalize_text, tokens
 from shelfmark.operators.lookup_index import LookupIndex, looked_up, lookup_of
-from shelfmark.operators.text_index import TextIndex, having, match
+from shelfmark.operators.text_index import TextIndex, Unindexed, having, match
 from shelfmark.operators.workspace import CODEC, Scratch, written
 
 PAGE_SIZE = 20
@@ -186,7 +186,7 @@ def _batch_filter() -> Column:
     return cond
 
 
-def _looked_up(lookup: LookupIndex, index: DataFrame | TextIndex, q: DataFrame, all_fields: bool, tmp: Scratch) -> DataFrame:
+def _looked_up(lookup: LookupIndex, index: DataFrame | TextIndex | Unindexed, q: DataFrame, all_fields: bool, tmp: Scratch) -> DataFrame:
     """(query_id, md5) of queries without text terms, from the lookup values and the index alone."""
     hits = looked_up(lookup, q, all_fields, tmp)
     if not q.filter(F.size("exclude") > 0).isEmpty():
@@ -209,7 +209,7 @@ def _hit_records(records: DataFrame, hits: DataFrame, titles: bool, all_fields:
 
 def candidates(
     records: DataFrame,
-    index: DataFrame | TextIndex,
+    index: DataFrame | TextIndex | Unindexed,
     queries: DataFrame,
     all_fields: bool = False,
     lookup: LookupIndex | None = None,
@@ -299,7 +299,7 @@ def next_keys(pages: DataFrame) -> DataFrame:
 
 def search(
     records: DataFrame,
-    index: DataFrame | TextIndex,
+    index: DataFrame | TextIndex | Unindexed,
     raw_queries: DataFrame,
     all_fields: bool = False,
     lookup: LookupIndex | None = None,

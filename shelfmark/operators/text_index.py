@@ -5,6 +5,9 @@ never groups raw occurrences again. Matching starts from the rarest required ter
 and checks the other terms by an equi-join on (token, key): the work is bounded by the document
 frequency of the rarest term, however common the others are.
 
+Records need not be indexed for one batch of queries (``Unindexed``): their words are read once, the rarest terms give the pairs of
+query and record, and entries are made for the words that the queries of a record ask for.
+
 A stored index is a list of immutable segments. Records that change are indexed in a segment of their own, which
 overrules what older segments say of its keys; no old segment is written again until segments are compacted. Each segment
 knows the frequency of its tokens and splits the entries of common ones into parts by a hash of the key, so that a join on a
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.versions import commit, latest_version, manifest
-from shelfmark.operators.workspace import CODEC, Scratch
+from shelfmark.operators.workspace import CODEC, Scratch, written
 
 # Weights of the three indexed fields.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -28,8 +31,9 @@ RANK_DIGITS = 9
 QUERY_LISTS = ("terms", "any_of", "exclude", "phrase")
 
 
-def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5") -> DataFrame:
-    """(token, key, places) from token lists per field; positions run on over the fields."""
+def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5", only: str | None = None) -> DataFrame:
+    """(token, key, places) from token lists per field; positions run on over the fields. ``only``: a column with the list
+    of tokens that are wanted of a record; the places are those among all its tokens."""
 
     def labelled(label: str, words: Column) -> Column:
         return F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(label).alias("field")))
@@ -38,6 +42,8 @@ def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5")
     spots = F.transform(
         F.concat(*parts), lambda w, i: F.struct(w["token"].alias("token"), i.alias("pos"), w["field"].alias("field"))
     )
+    if only is not None:
+        spots = F.filter(spots, lambda w: F.array_contains(only, w["token"]))
     # grouped within the row: sorted by token, then cut where the token changes; nothing is shuffled
     # (sort_array compares natively, array_sort by a lambda for each pair)
     rows = records.select(key, F.sort_array(spots).alias("_s"))
@@ -139,10 +145,31 @@ def compacted(spark: SparkSession, path: str, key: str = "md5", part: int = PART
     return number
 
 
-def having(index: DataFrame | TextIndex, tokens: DataFrame) -> DataFrame:
+class Unindexed(NamedTuple):
+    """Records whose entries are made for each batch of queries: ``fields`` are their token lists, as for ``build_index``."""
+
+    records: DataFrame
+    fields: dict[str, Column]
+    key: str = "md5"
+
+    def words(self, tokens: DataFrame) -> DataFrame:
+        """(segment, token, part, key) of the records that hold some tokens, without places; all is one part."""
+        every = F.array_distinct(F.concat(*self.fields.values()))
+        held = self.records.select(self.key, F.explode(every).alias("token")).join(tokens, "token", "left_semi")
+        return held.select(F.lit(0).alias("segment"), "token", F.lit(0).alias("part"), self.key)
+
+    def entries(self, wanted: DataFrame) -> DataFrame:
+        """(token, key, places) of some (key, token)."""
+        lists = wanted.groupBy(self.key).agg(F.collect_set("token").alias("_only"))
+        return build_index(self.records.join(lists, self.key), self.fields, self.key, "_only")
+
+
+def having(index: DataFrame | TextIndex | Unindexed, tokens: DataFrame) -> DataFrame:
     """(segment, token, part, key, places) of the valid entries of some tokens. Of an index that is not stored, all is one part."""
     if isinstance(index, TextIndex):
         return index.living(index.entries.join(tokens, "token", "left_semi"))
+    if isinstance(index, Unindexed):
+        index = build_index(index.records, index.fields, index.key)
     plain = index.join(tokens, "token", "left_semi")
     return plain.withColumns({"segment": F.lit(0), "part": F.lit(0)})
 
@@ -206,7 +233,7 @@ def starting_pairs(rows: DataFrame, spread: DataFrame, q: DataFrame, key: str) -
 
 
 def match(
-    index: DataFrame | TextIndex,
+    index: DataFrame | TextIndex | Unindexed,
     queries: DataFrame,
     key: str = "md5",
     weights: dict[str, float] | None = None,
@@ -220,7 +247,12 @@ def match(
     weights = weights or FIELD_WEIGHTS
     q = _queries(queries).withColumn("asks", _asks())
     asked = q.select(F.explode("asks.token").alias("token")).distinct()
-    rows = having(index, asked)
+    scanned = isinstance(index, Unindexed)
+    if scanned:  # read for the counts and again for the pairs
+        q, asked = written(q, "asked", CODEC), written(asked, "tokens", CODEC)
+        rows = written(index.words(asked), "words", CODEC)
+    else:
+        rows = having(index, asked)
     spread = frequencies(index, rows, asked)
     needs = q.select(
         "query_id",
@@ -229,11 +261,18 @@ def match(
         F.size("phrase").alias("steps"),
         (F.size("any_of") > 0).alias("wants_any"),
     )
-    pairs = starting_pairs(rows, spread, q, key).join(needs, "query_id")
+    starts = starting_pairs(rows, spread, q, key)
+    if scanned:
+        starts = written(starts, "starts", CODEC)
+        terms = q.select("query_id", F.explode("asks.token").alias("token"))
+        entries = index.entries(starts.join(terms, "query_id").select(key, "token"))
+    else:
+        entries = rows.drop("segment", "part")
+    pairs = starts.join(needs, "query_id")
     wanted = pairs.select(
         "query_id", key, "k", "steps", "wants_any", F.explode("asks").alias("ask")
     ).withColumn("token", F.col("ask.token"))
-    found = wanted.join(rows.drop("segment", "part"), ["token", key])
+    found = wanted.join(entries, ["token", key])
 
     scores = F.when(F.col("k") > 0, F.col("ask.term") >= 0).otherwise(F.col("ask.either"))
     events = F.transform(

@@ -13,7 +13,7 @@ from shelfmark.operators.gate import ErrorGate
 from shelfmark.operators.merge import HOT_ROWS
 from shelfmark.operators.records import quality_score, with_derived
 from shelfmark.operators.tables import VERSION_CONTENT, once_per_record, unseen, upsert_merge
-from shelfmark.operators.text_index import add_segment, build_index
+from shelfmark.operators.text_index import Unindexed, add_segment, build_index
 from shelfmark.operators.workspace import new_dir
 from shelfmark.sources.adapters import AdapterSettings, adapt
 from shelfmark.sources.jsonl import read_lines
@@ -73,6 +73,11 @@ def index_records(records: DataFrame) -> DataFrame:
     return build_index(records.filter(~F.col("deleted")), index_fields())
 
 
+def unindexed_records(records: DataFrame) -> Unindexed:
+    """The same records to be searched without an index."""
+    return Unindexed(records.filter(~F.col("deleted")), index_fields())
+
+
 def refresh_index(spark: SparkSession, path: str, changed: DataFrame) -> int:
     """L1: the stored index with the entries of changed records rebuilt, removed ones among them, in a segment of their own."""
     return add_segment(spark, path, index_records(changed), changed.select("md5"))
