@@ -116,9 +116,19 @@ def with_derived(df: DataFrame, score: bool = True) -> DataFrame:
 
     Merged rows keep the score the merge gave them (``score=False``).
     """
+    return with_title(without_title(df, score))
+
+
+def with_title(df: DataFrame) -> DataFrame:
+    """The title and what is derived from it."""
+    clean = df.withColumn("title", strip_nul(F.coalesce("title", F.lit(""))))
+    return clean.withColumn("title_norm", normalize_text(F.col("title")))
+
+
+def without_title(df: DataFrame, score: bool = True) -> DataFrame:
+    """All of ``with_derived`` but the title, which may be absent."""
     clean = df.withColumns(
         {
-            "title": strip_nul(F.coalesce("title", F.lit(""))),
             "publisher": strip_nul(F.col("publisher")),
             "series_name": strip_nul(F.col("series_name")),
             "edition": strip_nul(F.col("edition")),
@@ -128,14 +138,13 @@ def with_derived(df: DataFrame, score: bool = True) -> DataFrame:
             "languages": F.transform("languages", strip_nul),
         }
     )
-    texts = F.concat(F.array("title", "publisher", "series_name"), "authors")
+    texts = F.concat(F.array("publisher", "series_name"), "authors")
     clean = clean.withColumn("_norm", F.transform(texts, normalize_text))
-    names = F.slice("_norm", F.lit(4), F.greatest(F.size("_norm") - 3, F.lit(0)))
+    names = F.slice("_norm", F.lit(3), F.greatest(F.size("_norm") - 2, F.lit(0)))
     derived = {
-        "title_norm": F.get("_norm", F.lit(0)),
         "author_tokens": F.array_distinct(F.flatten(F.transform(names, distinct_tokens))),
-        "publisher_tokens": tokens(F.get("_norm", F.lit(1))),
-        "series_tokens": distinct_tokens(F.get("_norm", F.lit(2))),
+        "publisher_tokens": tokens(F.get("_norm", F.lit(0))),
+        "series_tokens": distinct_tokens(F.get("_norm", F.lit(1))),
         "work_key": work_key(*[F.col(n) for n in ("isbn13", "isbn10", "doi", "openlibrary_ids")]),
     }
     if score:
