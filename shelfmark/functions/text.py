@@ -157,7 +157,7 @@ def normalize_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """All word tokens in order (letters, numbers, underscore)."""
-    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), 0)  # a group of its own would be tracked for each match
 
 
 def distinct_tokens(c: Column) -> Column:
