@@ -38,12 +38,13 @@ def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5",
     def labelled(label: str, words: Column) -> Column:
         return F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(label).alias("field")))
 
-    parts = [labelled(label, words) for label, words in fields.items()]
-    spots = F.transform(
-        F.concat(*parts), lambda w, i: F.struct(w["token"].alias("token"), i.alias("pos"), w["field"].alias("field"))
-    )
-    if only is not None:
-        spots = F.filter(spots, lambda w: F.array_contains(only, w["token"]))
+    if only is None:
+        parts = [labelled(label, words) for label, words in fields.items()]
+        spots = F.transform(
+            F.concat(*parts), lambda w, i: F.struct(w["token"].alias("token"), i.alias("pos"), w["field"].alias("field"))
+        )
+    else:
+        records, spots = _asked_spots(records, fields, key, only)
     # grouped within the row: sorted by token, then cut where the token changes; nothing is shuffled
     # (sort_array compares natively, array_sort by a lambda for each pair)
     rows = records.select(key, F.sort_array(spots).alias("_s"))
@@ -63,6 +64,21 @@ def build_index(records: DataFrame, fields: dict[str, Column], key: str = "md5",
     return rows.select(key, F.explode(groups).alias("g")).select("g.token", key, "g.places")
 
 
+def _asked_spots(records: DataFrame, fields: dict[str, Column], key: str, only: str) -> tuple[DataFrame, Column]:
+    """Records with their tokens, and the spots of the wanted ones. Of all tokens only a number is made, and that where they are wanted."""
+    words = {f"_{label}": tokens for label, tokens in fields.items()}
+    rows = records.select(key, only, *[c.alias(n) for n, c in words.items()])
+    rows = rows.select(key, only, F.concat(*words).alias("_w"), *[F.size(n).alias(n) for n in words])
+    at = F.array_compact(F.transform("_w", lambda t, i: F.when(F.array_contains(only, t), i)))
+
+    def field(i: Column) -> Column:
+        """The first field that ends after the place."""
+        ends = [sum((F.col(n) for n in list(words)[:m]), F.lit(0)) for m in range(1, len(words) + 1)]
+        return F.coalesce(*[F.when(i < end, F.lit(label)) for label, end in zip(fields, ends, strict=True)])
+
+    return rows, F.transform(at, lambda i: F.struct(F.get("_w", i).alias("token"), i.alias("pos"), field(i).alias("field")))
+
+
 #: Entries of a token in one part of it.
 PART = 50_000
 SEGMENTS = "segment int"
