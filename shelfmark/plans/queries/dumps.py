@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.discards import discard_counts, error_samples, import_counters
 from shelfmark.operators.gate import gate_outcomes
+from shelfmark.operators.records import with_derived
 from shelfmark.operators.tables import upsert_merge
 from shelfmark.operators.workspace import new_dir, written
 from shelfmark.plans.imports import import_release
@@ -505,7 +506,7 @@ def file_import_order(spark: SparkSession, folder: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.set(k, v)
     rows = parsed.filter(F.col("outcome") == "kept")
-    return _imported(upsert_merge(rows.limit(0), rows))
+    return _imported(with_derived(upsert_merge(rows.limit(0), rows), score=False))
 
 
 @query(_IMPORTED)
