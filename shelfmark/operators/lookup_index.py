@@ -8,6 +8,7 @@ read. The entries of very common values are split into parts by a hash of the ke
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.fields import YEAR_MAX, YEAR_MIN
 from shelfmark.functions.text import distinct_tokens
 from shelfmark.operators.text_index import PART, part_of
-from shelfmark.operators.workspace import CODEC, Scratch
+from shelfmark.operators.workspace import CODEC, Scratch, written
 
 # Kinds of lookup values in which the beginnings of a title query are looked for.
 TITLE_KINDS, ALL_KINDS = ("title",), ("title", "author", "publisher")
@@ -25,14 +26,21 @@ BINS = (1, 2, 3, 5, 8)
 LAST = "\U0010ffff"
 
 
+#: All kinds of values.
+KINDS = ("isbn", "doi", "author", "publisher", "title", "series", "position", "year", "extension", "language")
+
+
 class LookupIndex(NamedTuple):
+    """``kinds``: what it holds; it can answer no query that asks for another kind."""
+
     entries: DataFrame
     vocabulary: DataFrame
     key: str = "md5"
+    kinds: tuple[str, ...] = KINDS
 
 
-def identifiers(records: DataFrame, key: str = "md5") -> DataFrame:
-    """Lookup values of every record: (kind, value, key), one row each."""
+def identifiers(records: DataFrame, key: str = "md5", kinds: Iterable[str] = KINDS) -> DataFrame:
+    """Lookup values of every record: (kind, value, key), one row each. Of the records only what some kind is made of is read."""
 
     def pairs(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
@@ -40,32 +48,40 @@ def identifiers(records: DataFrame, key: str = "md5") -> DataFrame:
     def single(c: Column) -> Column:
         return F.filter(F.array(c.cast("string")), lambda v: v.isNotNull())
 
-    entries = F.concat(
-        pairs("isbn", F.array_distinct(F.concat("isbn13", "isbn10"))),
-        pairs("doi", F.array_distinct("doi")),
-        pairs("author", F.col("author_tokens")),
-        pairs("publisher", F.col("publisher_tokens")),
-        pairs("title", distinct_tokens(F.col("title_norm"))),
-        pairs("series", F.col("series_tokens")),
-        pairs("position", single(F.col("series_position"))),
-        pairs("year", single(F.col("publication_year"))),
-        pairs("extension", single(F.col("extension"))),
-        pairs("language", F.array_distinct("languages")),
-    )
+    values = {
+        "isbn": F.array_distinct(F.concat("isbn13", "isbn10")),
+        "doi": F.array_distinct("doi"),
+        "author": F.col("author_tokens"),
+        "publisher": F.col("publisher_tokens"),
+        "title": distinct_tokens(F.col("title_norm")),
+        "series": F.col("series_tokens"),
+        "position": single(F.col("series_position")),
+        "year": single(F.col("publication_year")),
+        "extension": single(F.col("extension")),
+        "language": F.array_distinct("languages"),
+    }
+    entries = F.concat(*[pairs(kind, values[kind]) for kind in kinds])
     return records.select(key, F.explode(entries).alias("e")).select("e.kind", "e.value", key)
 
 
-def lookup_of(records: DataFrame, key: str = "md5") -> LookupIndex:
+def lookup_of(records: DataFrame, key: str = "md5", kinds: tuple[str, ...] = KINDS) -> LookupIndex:
     """The lookup values of a table that has none stored, worked out anew."""
-    ids = identifiers(records, key)
+    ids = identifiers(records, key, kinds)
     counts = ids.groupBy("kind", "value").agg(F.count("*").alias("df")).withColumn("parts", F.lit(1))
-    return LookupIndex(ids.withColumn("part", F.lit(0)), counts, key)
+    return LookupIndex(ids.withColumn("part", F.lit(0)), counts, key, kinds)
+
+
+def counted_lookup(records: DataFrame, key: str = "md5", kinds: tuple[str, ...] = KINDS) -> LookupIndex:
+    """The same with a written dictionary. The entries are read off the records by every search, so none is moved or stored: for a batch
+    of queries on long titles, whose entries would be larger than the titles are."""
+    lookup = lookup_of(records, key, kinds)
+    return lookup._replace(vocabulary=written(lookup.vocabulary, "vocabulary", CODEC))
 
 
-def write_lookup(records: DataFrame, path: str, key: str = "md5", part: int = PART) -> None:
+def write_lookup(records: DataFrame, path: str, key: str = "md5", part: int = PART, kinds: tuple[str, ...] = KINDS) -> None:
     """Stores the lookup values of records, in the order of kind, value and key."""
     with Scratch(records.sparkSession) as tmp:
-        ids = tmp.written(identifiers(records, key), "identifiers", CODEC)
+        ids = tmp.written(identifiers(records, key, kinds), "identifiers", CODEC)
         counts = ids.groupBy("kind", "value").agg(F.count("*").alias("df"))
         counts = tmp.written(counts.withColumn("parts", F.ceil(F.col("df") / part).cast("int")), "counts")
         common = counts.filter(F.col("parts") > 1).select("kind", "value", "parts")  # at most entries / part of them
@@ -77,8 +93,8 @@ def write_lookup(records: DataFrame, path: str, key: str = "md5", part: int = PA
             df.write.mode("overwrite").option("compression", CODEC).partitionBy("kind").parquet(f"{path}/{name}")
 
 
-def read_lookup(spark: SparkSession, path: str, key: str = "md5") -> LookupIndex:
-    return LookupIndex(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/vocabulary"), key)
+def read_lookup(spark: SparkSession, path: str, key: str = "md5", kinds: tuple[str, ...] = KINDS) -> LookupIndex:
+    return LookupIndex(spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/vocabulary"), key, kinds)
 
 
 def criteria(q: DataFrame, all_fields: bool = False) -> DataFrame:
@@ -146,6 +162,8 @@ def rarest_points(lookup: LookupIndex, q: DataFrame, all_fields: bool, tmp: Scra
     criterion that nothing meets has none. What several queries ask is counted once; only the rarest criteria are spelt out
     in words."""
     points = tmp.written(criteria(q, all_fields).withColumns({"asked": F.col("value"), "prefix": F.col("by_prefix")}), "points")
+    if not points.filter(~F.col("kind").isin(*lookup.kinds)).isEmpty():
+        raise ValueError(f"a query asks for a kind of value that is not looked up in {lookup.kinds}")
     what = ["kind", "asked", "prefix"]
     each = lambda df: words_of(df.select(*what, "value", "by_prefix").distinct(), lookup.vocabulary)
     counts = each(points).groupBy(*what).agg(F.sum("df").alias("df"))

@@ -186,10 +186,12 @@ def _batch_filter() -> Column:
     return cond
 
 
-def _looked_up(lookup: LookupIndex, index: DataFrame | TextIndex | Unindexed, q: DataFrame, all_fields: bool, tmp: Scratch) -> DataFrame:
+def _looked_up(lookup: LookupIndex, index: DataFrame | TextIndex | Unindexed | None, q: DataFrame, all_fields: bool, tmp: Scratch) -> DataFrame:
     """(query_id, md5) of queries without text terms, from the lookup values and the index alone."""
     hits = looked_up(lookup, q, all_fields, tmp)
     if not q.filter(F.size("exclude") > 0).isEmpty():
+        if index is None:
+            raise ValueError("a query excludes words, and there is no index")
         barred = q.select("query_id", F.explode("exclude").alias("token"))
         rows = having(index, barred.select("token").distinct())
         hits = hits.join(barred.join(rows.select("token", "md5"), "token"), ["query_id", "md5"], "left_anti")
@@ -209,13 +211,13 @@ def _hit_records(records: DataFrame, hits: DataFrame, titles: bool, all_fields:
 
 def candidates(
     records: DataFrame,
-    index: DataFrame | TextIndex | Unindexed,
+    index: DataFrame | TextIndex | Unindexed | None,
     queries: DataFrame,
     all_fields: bool = False,
     lookup: LookupIndex | None = None,
 ) -> DataFrame:
     """Rows of every valid query: (query_id, md5, rank, work_key, edition_count). Without a stored ``lookup`` its values are
-    worked out from the records.
+    worked out from the records. ``index`` may be none where no query looks for words in the text.
 
     ``edition_count`` (W1) counts the rows of the same query with the same work key; rows without a
     work key have none. The narrow rows are written once, because the count and the page both read
@@ -227,9 +229,11 @@ def candidates(
     has_text, has_plain = valid.agg(F.max(textual), F.max(~textual)).first()
     with Scratch(records.sparkSession) as tmp:
         hits = None
-        if has_text or not has_plain:
+        if has_text and index is None:
+            raise ValueError("a query looks for words in the text, and there is no index")
+        if index is not None and (has_text or not has_plain):
             hits = match(index, valid.filter(textual))
-        if has_plain:
+        if has_plain or index is None:
             plain = _looked_up(lookup or lookup_of(records), index, valid.filter(~textual), all_fields, tmp)
             plain = plain.withColumn("rank", F.lit(0.0))
             hits = plain if hits is None else hits.unionByName(plain)
@@ -299,7 +303,7 @@ def next_keys(pages: DataFrame) -> DataFrame:
 
 def search(
     records: DataFrame,
-    index: DataFrame | TextIndex | Unindexed,
+    index: DataFrame | TextIndex | Unindexed | None,
     raw_queries: DataFrame,
     all_fields: bool = False,
     lookup: LookupIndex | None = None,
