@@ -198,15 +198,33 @@ def _looked_up(lookup: LookupIndex, index: DataFrame | TextIndex | Unindexed | N
     return hits
 
 
-def _hit_records(records: DataFrame, hits: DataFrame, titles: bool, all_fields: bool) -> DataFrame:
+#: More beginnings of words than that are not looked for one by one, and so many hits are few.
+BEGINNINGS, FEW = 1_000, 10_000
+
+
+def _beginning_as(words: Column, asked: DataFrame) -> Column:
+    """The words that begin with the first two letters of some ``title_prefixes``; no other word can begin with one of these."""
+    first = asked.select(F.explode("title_prefixes").alias("p")).select(F.expr("left(p, 2)").alias("b")).distinct()
+    starts = [r["b"] for r in first.limit(BEGINNINGS + 1).collect()]
+    if len(starts) > BEGINNINGS:
+        return words
+    ones, twos = [b for b in starts if len(b) == 1], [b for b in starts if len(b) == 2]
+    return F.filter(words, lambda w: F.substr(w, F.lit(1), F.lit(1)).isin(ones) | F.substr(w, F.lit(1), F.lit(2)).isin(twos))
+
+
+def _hit_records(records: DataFrame, hits: DataFrame, titles: bool, all_fields: bool, asked: DataFrame | None = None) -> DataFrame:
     """The records that some query hits, with the words a title query looks at: taken apart once for each record, not for each of
-    its hits. ``titles``: whether there is such a query."""
+    its hits. ``titles``: whether there is such a query; of the words only those are kept that may begin as ``asked``. Few hits are told
+    apart before the words are; else the words are made in the scan, so that no title is moved to the hits."""
     if not titles:
         return records.withColumn("title_words", F.array().cast("array<string>"))
-    words = distinct_tokens(F.col("title_norm"))
+    words = tokens(F.col("title_norm"))
     if all_fields:
         words = F.concat(words, "author_tokens", "publisher_tokens")
-    return records.join(hits.select("md5"), "md5", "left_semi").withColumn("title_words", words)
+    words = F.array_distinct(words if asked is None else _beginning_as(words, asked))
+    if hits.limit(FEW + 1).count() <= FEW:
+        records = records.join(hits.select("md5"), "md5", "left_semi")
+    return records.withColumn("title_words", words)
 
 
 def candidates(
@@ -238,11 +256,11 @@ def candidates(
             plain = plain.withColumn("rank", F.lit(0.0))
             hits = plain if hits is None else hits.unionByName(plain)
         hits = tmp.written(hits, "pairs", CODEC)
-        titles = not valid.filter(F.size("title_prefixes") > 0).isEmpty()
+        titles = valid.filter(F.size("title_prefixes") > 0)
         rows = (
             hits.alias("h")
             .join(valid.alias("q"), F.col("h.query_id") == F.col("q.query_id"))
-            .join(_hit_records(records, hits, titles, all_fields).alias("r"), F.col("h.md5") == F.col("r.md5"))
+            .join(_hit_records(records, hits, not titles.isEmpty(), all_fields, titles).alias("r"), F.col("h.md5") == F.col("r.md5"))
             .filter(_batch_filter())
             .select("h.query_id", "r.md5", F.coalesce("h.rank", F.lit(0.0)).alias("rank"), "r.work_key")
         )
