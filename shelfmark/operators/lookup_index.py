@@ -84,7 +84,7 @@ def write_lookup(records: DataFrame, path: str, key: str = "md5", part: int = PA
         ids = tmp.written(identifiers(records, key, kinds), "identifiers", CODEC)
         counts = ids.groupBy("kind", "value").agg(F.count("*").alias("df"))
         counts = tmp.written(counts.withColumn("parts", F.ceil(F.col("df") / part).cast("int")), "counts")
-        common = counts.filter(F.col("parts") > 1).select("kind", "value", "parts")  # at most entries / part of them
+        common = tmp.written(counts.filter(F.col("parts") > 1).select("kind", "value", "parts"), "common")  # at most entries / part of them
         rows = ids.join(common, ["kind", "value"], "left").select(
             "kind", "value", part_of(key, F.coalesce("parts", F.lit(1))).alias("part"), key
         )

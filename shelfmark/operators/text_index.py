@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.versions import commit, latest_version, manifest
-from shelfmark.operators.workspace import CODEC, Scratch, written
+from shelfmark.operators.workspace import CODEC, Scratch, settings, written
 
 # Weights of the three indexed fields.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -81,24 +81,30 @@ def _asked_spots(records: DataFrame, fields: dict[str, Column], key: str, only:
 
 #: Entries of a token in one part of it.
 PART = 50_000
+#: What one task reads to make a sorted file of a segment, so that it sorts in memory.
+RUN = "32m"
 SEGMENTS = "segment int"
 
 
 class TextIndex(NamedTuple):
     """A stored index: ``entries`` (segment, token, part, key, places), ``vocabulary`` (segment, token, df, parts) and, if there
-    is more than one segment, ``latest`` (key, latest): the newest segment that speaks for a key of a later one."""
+    is more than one segment, ``latest`` (key, latest): the newest segment that speaks for a key of a later one. ``newest`` is
+    the newest of all."""
 
     entries: DataFrame
     vocabulary: DataFrame
     latest: DataFrame | None = None
     key: str = "md5"
+    newest: int | None = None
 
     def living(self, rows: DataFrame) -> DataFrame:
-        """Without the entries that newer segments overrule."""
+        """Without the entries that newer segments overrule. Those of the newest segment need not be looked at."""
         if self.latest is None:
             return rows
-        ruled = rows.join(self.latest, self.key, "left")
-        return ruled.filter(F.coalesce("latest", F.lit(0)) <= F.col("segment")).drop("latest")
+        older = rows if self.newest is None else rows.filter(F.col("segment") != self.newest)
+        ruled = older.join(self.latest, self.key, "left").filter(F.coalesce("latest", F.lit(0)) <= F.col("segment"))
+        ruled = ruled.select(*rows.columns)
+        return ruled if self.newest is None else ruled.unionByName(rows.filter(F.col("segment") == self.newest))
 
     def rows(self) -> DataFrame:
         """All valid entries as (token, key, places)."""
@@ -106,17 +112,18 @@ class TextIndex(NamedTuple):
 
 
 def stored_segment(entries: DataFrame, keys: DataFrame | None, path: str, number: int, key: str = "md5", part: int = PART) -> None:
-    """Writes entries (token, key, places) as a segment: sorted by token, part and key, so that a scan for some tokens prunes
-    by min/max. ``keys``: what the segment speaks for, records without a word among them; the first segment needs none."""
-    with Scratch(entries.sparkSession) as tmp:
+    """Writes entries (token, key, places) as a segment of sorted files: each is sorted by token, part and key, so that a scan for some
+    tokens prunes by min/max. A file holds all entries of the records that one task read; none is moved. ``keys``: what the segment speaks for, records without a word among them; the first segment needs none."""
+    spark = entries.sparkSession
+    with Scratch(spark) as tmp, settings(spark, {"spark.sql.files.maxPartitionBytes": RUN}):
         entries = tmp.written(entries, "entries", CODEC)  # read for the counts and again for the parts
         counts = entries.groupBy("token").agg(F.count("*").alias("df"))
         counts = tmp.written(counts.withColumn("parts", F.ceil(F.col("df") / part).cast("int")), "counts")
-        # of these there are at most as many as entries / part
-        common = counts.filter(F.col("parts") > 1).select("token", "parts")
+        # of these there are at most as many as entries / part; written, so that their number is known to the join
+        common = tmp.written(counts.filter(F.col("parts") > 1).select("token", "parts"), "common")
         rows = entries.join(common, "token", "left") if not common.isEmpty() else entries.withColumn("parts", F.lit(None).cast("int"))
         rows = rows.select("token", part_of(key, F.coalesce("parts", F.lit(1))).alias("part"), key, "places")
-        ordered = rows.repartitionByRange("token", "part", key).sortWithinPartitions("token", "part", key)
+        ordered = rows.sortWithinPartitions("token", "part", key)
         ordered.write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/entries/segment={number}")
         counts = counts.repartitionByRange("token").sortWithinPartitions("token")
         counts.write.mode("overwrite").parquet(f"{path}/vocabulary/segment={number}")
@@ -141,7 +148,7 @@ def read_index(spark: SparkSession, path: str, key: str = "md5", version: int |
     latest = None
     if len(segments) > 1:
         latest = read("keys", segments[1:]).groupBy(key).agg(F.max("segment").alias("latest"))
-    return TextIndex(read("entries", segments), read("vocabulary", segments), latest, key)
+    return TextIndex(read("entries", segments), read("vocabulary", segments), latest, key, segments[-1])
 
 
 def add_segment(spark: SparkSession, path: str, entries: DataFrame, keys: DataFrame, key: str = "md5", part: int = PART) -> int:
